@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import aggregate_queries, graph_queries, join_queries, text_queries, version_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (graph_queries, join_queries, aggregate_queries, text_queries, version_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.SQL
