@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY = 86_400
 # Seconds of the units of look-back windows and of durations ('m' is a month of 30 days in
@@ -60,7 +61,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """A unified diff of two texts; null counts as empty."""
     import difflib

@@ -119,7 +119,7 @@ def parse_tree(files: DataFrame) -> DataFrame:
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """path, n, line of whole text files: a report's lines have an order."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
 
@@ -202,8 +202,8 @@ def makefile(spark: SparkSession, path: str) -> DataFrame:
     rows = _numbered(spark, path)
     variable, target = r"^(\w+)\s*[:+?]?=\s*(.*)$", r"^([\w./%-]+)\s*:(?!=)\s*(.*)$"
     kind = F.when(F.col("line").rlike(variable), "variable").when(F.col("line").rlike(target), "target")
-    pattern = F.when(F.col("line").rlike(variable), F.lit(variable)).otherwise(F.lit(target))
-    return rows.withColumn("kind", kind).where("kind is not null").select("kind", F.regexp_extract("line", pattern, 1).alias("name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value"))
+    part = lambda i: F.when(F.col("kind") == "variable", F.regexp_extract("line", variable, i)).otherwise(F.regexp_extract("line", target, i))
+    return rows.withColumn("kind", kind).where("kind is not null").select("kind", part(1).alias("name"), F.trim(part(2)).alias("value"))
 
 
 def semgrep(spark: SparkSession, path: str) -> DataFrame:
