@@ -94,19 +94,21 @@ def frontier(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
 def layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """node, layer: 0 calls nothing, else one more than the highest callee's; -1 on or above a cycle.
 
-    Kahn's peeling: a round takes the nodes without a call to an unassigned node."""
-    left = write_round(edges.select("src", "dst").distinct(), "edges")
-    open_nodes = write_round(nodes.select(F.col("id").alias("node")).union(left.select("src")).union(left.select("dst")).distinct(), "nodes")
-    done = []
+    Kahn's peeling: each node holds the number of callees without a layer; a round takes the nodes at
+    zero and counts them off at their callers. One table is written a round."""
+    calls = write_round(edges.select("src", "dst").distinct(), "edges")
+    every = nodes.select(F.col("id").alias("node")).union(calls.select("src")).union(calls.select("dst")).distinct()
+    out = calls.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("left"))
+    state = every.join(out, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("layer"))
+    state = write_round(state, "layers")
     for layer in range(most):
-        free = write_round(open_nodes.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("layer", F.lit(layer)), "layer")
+        free = state.where("layer is null and left = 0").select(F.col("node").alias("dst"))
         if free.isEmpty():
             break
-        done.append(free)
-        open_nodes = write_round(open_nodes.join(free, "node", "left_anti"), "nodes")
-        left = write_round(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"), "edges")
-    done.append(open_nodes.withColumn("layer", F.lit(-1)))
-    return _union(done)
+        done = calls.join(free, "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_done"))
+        now = F.when(F.col("layer").isNull() & (F.col("left") == 0), layer).otherwise(F.col("layer"))
+        state = write_round(state.join(done, "node", "left").select("node", (F.col("left") - F.coalesce("_done", F.lit(0))).alias("left"), now.alias("layer")), "layers")
+    return state.select("node", F.coalesce("layer", F.lit(-1)).alias("layer"))
 
 
 def cycles(edges: DataFrame, longest: int = 3, trim_rounds: int = 2) -> DataFrame:
