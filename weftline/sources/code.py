@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship_package
+
 # File extensions by language.
 LANGUAGES = {
     "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust",
@@ -99,6 +101,7 @@ PARSED = "path string, language string, hash string, fact string, scope string,
 
 def parse_tree(files: DataFrame) -> DataFrame:
     """One row for each fact (symbol, call or import) of the files; equal contents are parsed once."""
+    ship_package(files.sparkSession)
     once = files.dropDuplicates(["hash", "language"]).select("hash", "language", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship_package
+
 
 def merge_kind(before: str | None, now: str, mode: str = "watcher") -> str | None:
     """The kind that two events of one path make; None: they cancel out (only in 'scheduler' mode)."""
@@ -86,6 +88,8 @@ def coalesce_stream(events: DataFrame, key: str, ts: str, kind: str, quiet_ms: i
     events has to have). The same transitions as the batch form; state is one kind and count a key."""
     import pandas as pd
 
+    ship_package(events.sparkSession)
+
     def run(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             last, n, _ = state.get
@@ -110,6 +114,8 @@ def hash_diff_stream(events: DataFrame, key: str, ts: str, hash_: str) -> DataFr
     """key, hash, change of events whose hash is new for the key; state is the last hash."""
     import pandas as pd
 
+    ship_package(events.sparkSession)
+
     def run(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
