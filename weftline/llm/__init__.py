@@ -1,4 +1,4 @@
 """Operators for preparing language-model training data.
 
-Nothing else in the library imports this subpackage; it imports nothing from the rest.
+Nothing else in the library imports this subpackage.
 """

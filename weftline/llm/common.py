@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship_package
+
 #: A word is a run of anything but ASCII white space (space, tab, LF, VT, FF, CR).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -52,6 +54,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def require(df: DataFrame, *columns: str) -> None:
+    """Raises if a column is missing; sends the package to the executors, whose Python workers need it."""
+    ship_package(df.sparkSession)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
