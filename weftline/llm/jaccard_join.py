@@ -31,6 +31,8 @@ PERCENT = 85
 #: Cost of an entry of an inverted list against one of an enumerated subset: entries have to be
 #: sorted by frequency and scanned again.
 LIST_COST = 4
+#: Common shingles that a pair must show among the listed ones, unless it has fewer.
+FEWEST = 48
 #: Shingles seen this often among one class in SAMPLE take a way around the counting shuffle.
 HOT_SEEN, SAMPLE, HOT_MOST = 32, 64, 50_000
 CHUNK = 256
@@ -45,14 +47,15 @@ def least_common(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def tenth(n: int) -> int:
-    """Shingles among the listed ones that linked sets of n or more must share."""
-    return max(1, n // 10)
+def shared(n: int, percent: int = PERCENT) -> int:
+    """Shingles among the listed ones that linked sets of n or more must share: a tenth, but FEWEST if
+    they have as many in common. Small sets are listed whole, as a tenth of few says little."""
+    return min(least_common(n, percent), max(FEWEST, n // 10))
 
 
 def least_shared(n: int, percent: int = PERCENT) -> int:
-    """As tenth, whatever the size of the other set."""
-    return tenth(least_common(n, percent))
+    """As shared, whatever the size of the other set."""
+    return shared(least_common(n, percent), percent)
 
 
 def n_subsets(n: int, percent: int = PERCENT) -> int:
@@ -60,7 +63,7 @@ def n_subsets(n: int, percent: int = PERCENT) -> int:
 
 
 def listed(n: int, percent: int = PERCENT) -> int:
-    return min(n, n - least_common(n, percent) + tenth(n))
+    return min(n, n - least_common(n, percent) + shared(n, percent))
 
 
 def boundary(percent: int = PERCENT, list_cost: float = LIST_COST) -> int:
@@ -144,7 +147,7 @@ def _sets(docs: DataFrame, percent: int, size: int, light: int) -> DataFrame:
 def _need(n: Column, percent: int) -> Column:
     """least_shared, of a column."""
     common = F.ceil(n * percent / F.lit(100.0))
-    return F.greatest(F.lit(1), F.floor(common / F.lit(10.0))).cast("int")
+    return F.least(F.ceil(common * percent / F.lit(100.0)), F.greatest(F.lit(FEWEST), F.floor(common / F.lit(10.0)))).cast("int")
 
 
 def _meetings(sets: DataFrame, percent: int) -> DataFrame:
