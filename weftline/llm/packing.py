@@ -9,6 +9,7 @@ at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,33 +24,59 @@ WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 2048
 #: Words whose ids a Python worker remembers (about 250 bytes each).
-CACHE = 600_000
+CACHE = 900_000
 
 OUTPUT = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, ids binary"
 )
 
 
+#: Visible Latin-1 text without apostrophes, and the runs that the pre-tokeniser makes of it in lower
+#: case: letters, single digits, the rest.
+LATIN = re.compile("[!-&(-~¡-¬®-ÿ]+")
+LATIN_RUNS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+PROBES = "The end. naïve, ÀB c'est 1a2 ½ #x! <|endoftext|> «Übung» ...!!? a_b İx ΣΑΣ, thand%%% 007 ªº ×÷"
+
+
+def byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves,
+    the others for code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+    return [rest.get(b, chr(b)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids of a white-space free chunk of text, as little-endian 32-bit bytes.
 
     The vocabulary's normaliser and pre-tokeniser never look across white space, so a text's ids
-    are those of its chunks one after the other; chunks repeat, so most need no encoding.
+    are those of its chunks one after the other; chunks repeat, so most need no encoding. Chunks of
+    Latin-1 are cut into runs here and only new runs go to the vocabulary's merges; whether that is
+    what the whole tokenizer does is probed first, else every chunk goes to it.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.fast = all(self.cut(w) == self.plain(w) for w in PROBES.split())
+
+    def plain(self, text: str) -> bytes:
+        return np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def cut(self, text: str) -> bytes:
+        if "<|" in text or not LATIN.fullmatch(text):
+            return self.plain(text)
+        runs = LATIN_RUNS.findall(text.lower())
+        if len(runs) > 1 or runs[0] != text:
+            return b"".join([self[r.encode()] for r in runs])
+        return np.asarray([x.id for x in self.merge("".join([self.letters[b] for b in text.encode()]))], "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in ".," and text[:-1].isalpha():  # letters and punctuation never share a token
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif text.isascii() and text.isalpha() and not text.islower():
-            ids = self[text.lower().encode()]
-        else:
-            ids = np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CACHE and len(word) <= 64:
+        ids = self.cut(text) if getattr(self, "fast", True) else self.plain(text)
+        # The last half of the places is for single runs: the rest can be put together from them.
+        if len(self) < (CACHE if text.islower() and text.isalpha() else CACHE // 2) and len(word) <= 64:
             self[word] = ids
         return ids
 
