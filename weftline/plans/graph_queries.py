@@ -227,3 +227,45 @@ def tree_rollup(spark, sf):
     pairs = g.descend(children, part.where("p_partkey < 20").select(F.col("p_partkey").alias("id")))
     done = F.count_if(F.col("p_size") >= 25)
     return pairs.join(part, F.col("node") == F.col("p_partkey")).groupBy("ancestor").agg(F.count("*").alias("total"), done.alias("done"), g.ratio(done, F.count("*")).alias("progress"))
+
+
+@query("symbol_detail", f"""with {EDGES}, o as (select src as id, array_to_string(list_sort(list_distinct(list(dst))), ',') as calls_out from edges where src < 6 group by src),
+    i as (select dst as id, array_to_string(list_sort(list_distinct(list(src))), ',') as calls_in from edges where dst < 6 group by dst),
+    f as (select user_id % 6 as id, count(*) as n_findings from events where event_type = 'error' and value >= 33 group by 1)
+    select p_partkey as id, p_name as name, coalesce(calls_out, '') as calls_out, coalesce(calls_in, '') as calls_in, coalesce(n_findings, 0) as n_findings
+    from part left join o on o.id = p_partkey left join i on i.id = p_partkey left join f on f.id = p_partkey where p_partkey < 6""")
+def symbol_detail(spark, sf):
+    e = edges(spark, sf)
+    listed = lambda at, other, name: e.where(F.col(at) < 6).groupBy(F.col(at).alias("id")).agg(F.array_join(F.sort_array(F.collect_set(other)).cast("array<string>"), ",").alias(name))
+    found = read(spark, sf, "events").where("event_type = 'error' and value >= 33").groupBy((F.col("user_id") % 6).alias("id")).agg(F.count("*").alias("n_findings"))
+    rows = entities(spark, sf).where("id < 6").select("id", "name")
+    for part in (listed("src", "dst", "calls_out"), listed("dst", "src", "calls_in"), found):
+        rows = rows.join(part, "id", "left")
+    return rows.select("id", "name", F.coalesce("calls_out", F.lit("")).alias("calls_out"), F.coalesce("calls_in", F.lit("")).alias("calls_in"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+
+
+@query("review_readiness", _reach_sql("dst", "src", 2) + """, hit as (select node, min(depth) as depth from walk group by node)
+    select count(*) as impacted, count_if(depth = 1) as direct, count_if(p_size >= 25) as must_test, case when count(*) > 20 then 'high' when count(*) > 5 then 'medium' else 'low' end as risk
+    from hit join part on p_partkey = node where depth > 0""")
+def review(spark, sf):
+    hit = g.reach(edges(spark, sf), _one(spark, 1), 2, up=True).where("depth > 0").join(read(spark, sf, "part"), F.col("p_partkey") == F.col("node"))
+    return hit.agg(F.count("*").alias("impacted"), F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("p_size") >= 25).alias("must_test"), g.risk_of(F.count("*"), 20, 5).alias("risk"))
+
+
+@query("context_edges", f"""with e as (select o_orderpriority as context, l_partkey as callee from lineitem join orders on o_orderkey = l_orderkey)
+    select context, count(*) as edges, count_if(callee % 7 <> 0) as resolved, round(count_if(callee % 7 <> 0)::double / count(*), 4) as rate from e group by context""")
+def context_edges(spark, sf):
+    e = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(read(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("context")), "o_orderkey")
+    ok = F.count_if(F.col("l_partkey") % 7 != 0)
+    return e.groupBy("context").agg(F.count("*").alias("edges"), ok.alias("resolved"), g.ratio(ok, F.count("*")).alias("rate"))
+
+
+@query("graph_local_delta", f"""with recursive {EDGES}, a as (select distinct src, dst from edges where src < dst and (src + dst) % 8 = 0), b as (select * from a where src % 3 <> 0),
+    wa(node, layer) as (select p_partkey, 0 from part union select a.src, wa.layer + 1 from wa join a on a.dst = wa.node),
+    wb(node, layer) as (select p_partkey, 0 from part union select b.src, wb.layer + 1 from wb join b on b.dst = wb.node),
+    la as (select node, max(layer)::int as old_layer from wa group by node), lb as (select node, max(layer)::int as new_layer from wb group by node)
+    select node, old_layer, new_layer from la join lb using (node) where old_layer <> new_layer""")
+def local_delta(spark, sf):
+    ids, dag = entities(spark, sf).select("id"), edges(spark, sf).where("src < dst and (src + dst) % 8 = 0")
+    old = g.layers(ids, dag).withColumnRenamed("layer", "old_layer")
+    return old.join(g.layers(ids, dag.where("src % 3 <> 0")).withColumnRenamed("layer", "new_layer"), "node").where("old_layer <> new_layer").select("node", "old_layer", "new_layer")

@@ -153,3 +153,35 @@ def guard(spark, sf):
 
     rows = read(spark, sf, "events").select("event_id", F.col("user_id").alias("session"), F.lit(0).alias("epoch"), ((F.col("event_id") * 7919) % 1000).alias("seq"))
     return generation_guard(rows, "session", "event_id").select("event_id", "verdict")
+
+
+@query("delta_symbols", f"""with {SNAPSHOTS} select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' else 'changed' end as change
+    from olds a full join news b on a.id = b.id where a.id is null or b.id is null or a.module <> b.module or a.signature <> b.signature""")
+def delta_symbols(spark, sf):
+    old, new = [df.select("id", F.struct("module", "signature").alias("v")) for df in snapshots(spark, sf)]
+    return o.diff(old, new, "id", "v").where("change != 'unchanged'").select("id", F.when(F.col("change") == "modified", "changed").otherwise(F.col("change")).alias("change"))
+
+
+@query("hist_windowed", "select event_id from events where ts > (select max(ts) - interval 2 day from events)")
+def windowed(spark, sf):
+    from ..functions.scalars import window_seconds
+
+    e = read(spark, sf, "events")
+    last = e.agg((F.max("ts") - F.expr(f"make_dt_interval(0, 0, 0, {window_seconds('2d')})")).alias("cut"))
+    return e.crossJoin(F.broadcast(last)).where("ts > cut").select("event_id")  # one row
+
+
+@query("cross_repo_deps", """with a as (select doc_id, source, sha256(text) as h from documents where text is not null), first as (select h, min(doc_id) as target from a group by h)
+    select a.doc_id, f.target, 0.95::double as confidence, t.source as target_workspace from a join first f using (h) join a t on t.doc_id = f.target where a.source <> t.source""")
+def cross_deps(spark, sf):
+    a = read(spark, sf, "documents").where("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    first = a.groupBy("h").agg(F.min(F.struct(F.col("doc_id").alias("target"), F.col("source").alias("target_workspace"))).alias("t"))
+    return a.join(first, "h").where("source != t.target_workspace").select("doc_id", "t.target", F.lit(0.95).alias("confidence"), "t.target_workspace")
+
+
+@query("edit_revert_rate", "select c_nationkey, count(*) as edits, coalesce(round(count_if(c_acctbal < 0)::double / nullif(count_if(c_acctbal < 5000), 0), 4), 0)::double as revert_rate from customer group by 1")
+def revert_rate(spark, sf):
+    from ..operators.graph import ratio
+
+    bal = F.col("c_acctbal")
+    return read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("edits"), ratio(F.count_if(bal < 0), F.count_if(bal < 5000)).alias("revert_rate"))
