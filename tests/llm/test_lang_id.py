@@ -56,3 +56,14 @@ def test_odd_tables(spark):
     rows = spark.createDataFrame([(None, None, None), (1, "abc", "x"), (1, "abc", "x")], "doc_id long, text string, score string")
     assert [tuple(r)[1:3] for r in lang_id.identify(rows, model).collect()] == [("und", 0.0)] * 3
     assert lang_id.identify(empty, small_model()).count() == 0
+
+
+def test_scores_do_not_depend_on_what_a_worker_saw_before(monkeypatch):
+    monkeypatch.setattr(lang_id, "CACHE", 20)
+    monkeypatch.setattr(lang_id, "SPARE", 5)
+    model = small_model()
+    used, rng = lang_id.WordScores(model), np.random.default_rng(2)
+    words = ["the", "House,", "MAISON", "qui", "дом", "that.", "x1y", "été", "%%%", "chose-bien", "was!", "Est", "estb", "quia"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)))
+        assert lang_id.label(text, used) == lang_id.label(text, lang_id.WordScores(model))
