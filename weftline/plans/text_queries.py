@@ -96,7 +96,7 @@ def keywords(spark, sf):
 @query("rag_budget", """with x as (select doc_id, length(text) as n, sum(length(text)) over (order by n_chars, doc_id) as total from documents where length(text) > 0)
     select doc_id, n, (select max(total) > 8000 from x) as truncated from x where total <= 8000""")
 def rag(spark, sf):
-    return t.budgeted(docs(spark, sf).select("doc_id", "n_chars", "text"), "text", ["n_chars", "doc_id"], 8000).select("doc_id", F.length("text").alias("n"), "truncated")
+    return t.budgeted(docs(spark, sf).select("doc_id", "n_chars", "text"), "text", ["n_chars", "doc_id"], 8000).select("doc_id", F.length("text").cast("long").alias("n"), "truncated")
 
 
 @query("text_cross_layer", r"""with x as (select doc_id, 'secret' as kind, unnest(list_distinct(regexp_extract_all(text, 'token = "([0-9a-f]+)"', 1))) as name from documents
