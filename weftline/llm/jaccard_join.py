@@ -35,6 +35,7 @@ LIST_COST = 4
 FEWEST = 48
 #: Shingles seen this often among one class in SAMPLE take a way around the counting shuffle.
 HOT_SEEN, SAMPLE, HOT_MOST = 32, 64, 50_000
+STAR_SALTS = 32
 CHUNK = 256
 BROADCAST_IDS = 500_000
 CACHE = 400_000
@@ -176,6 +177,17 @@ def _meetings(sets: DataFrame, percent: int) -> DataFrame:
     return lists.select("key", F.explode(F.expr("slice(found, 1, size(found) - need + 1)")).alias("t")).select("key", F.col("t.token").alias("token"))
 
 
+def _stars(meetings: DataFrame) -> DataFrame:
+    """a, b: links that connect all keys of a token. A token's keys are dealt out by salt; each links to
+    the least of its salt, and those to the least of the token: linear, and no task has all of a token."""
+    salted = meetings.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(STAR_SALTS)))
+    lead = F.first("key").over(Window.partitionBy("token", "salt").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    led = salted.select("token", F.col("key").alias("a"), lead.alias("b"))
+    top = F.first("a").over(Window.partitionBy("token").orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    tops = led.where("a = b").select("a", top.alias("b"))
+    return led.where("a != b").select("a", "b").union(tops.where("a != b"))
+
+
 def verify_block(keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """For each set its root (the least key it is linked to, directly or not) and its number of linked
     documents. first: who is of the first of two chunks, of which only pairs across are compared; None:
@@ -251,8 +263,7 @@ def jaccard_components(
     sets = materialise(_sets(texts, percent, size, light), "sets")
 
     meetings = materialise(_meetings(sets, percent), "meetings")
-    stars = meetings.groupBy("token").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
-    blocks = materialise(connected_components(meetings.join(stars, "token").select(F.col("key").alias("a"), F.col("least").alias("b"))), "blocks")
+    blocks = materialise(connected_components(_stars(meetings)), "blocks")
 
     # The text of one document of each class that is in a block, fetched by id; the set's key,
     # computed again, tells rows with the same id apart.
