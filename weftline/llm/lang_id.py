@@ -8,6 +8,7 @@ spans. The document's language is the one with most letters in its spans.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -23,12 +24,14 @@ from .common import hash_fraction, require
 UNKNOWN = "und"
 #: Training rows: about so many a language, drawn by a hash of the id.
 TRAIN_DOCS = 1500
+#: Languages learned: the most frequent ones.
+MAX_LANGUAGES = 1000
 #: n-grams and words kept over all languages, the most frequent first.
 MAX_GRAMS = 150_000
 ORDER = 3
 SWITCH = 12.0
 WORD_LIMIT = 6.0
-CACHE = 500_000
+CACHE, SPARE = 400_000, 200_000
 
 # First code points of Unicode blocks, and the scripts they begin.
 SCRIPTS = (
@@ -77,6 +80,7 @@ class Model:
     """languages, and for each n-gram the log probabilities by language; pickled to the tasks."""
 
     def __init__(self, counts: list[tuple[str, str, int]], scripts: list[tuple[str, str, int]]):
+        self.name = uuid.uuid4().hex
         self.languages = sorted({lang for lang, _, _ in scripts})
         at = {x: i for i, x in enumerate(self.languages)}
         k = len(at)
@@ -89,7 +93,7 @@ class Model:
             rows = np.array([g.startswith("=") == whole for g in names], bool)
             total = table[rows].sum(0) + 0.5 * max(1, rows.sum())
             table[rows] = np.log((table[rows] + 0.5) / total)
-        self.table = (table - table.mean(1, keepdims=True)).astype(np.float32) if k else table
+        self.table = np.concatenate([table - table.mean(1, keepdims=True), np.zeros((1, k))]).astype(np.float32) if k else table
         # A language is written in the scripts that hold a hundredth of its letters.
         share = Counter()
         for lang, script, n in scripts:
@@ -102,19 +106,26 @@ class Model:
             if 100 * n >= whole[lang]:
                 self.written.setdefault(script, np.zeros(k, bool))[at[lang]] = True
 
-    def score(self, word: str) -> np.ndarray:
-        """Of one run of letters, at most WORD_LIMIT apart."""
-        k = len(self.languages)
-        fits = self.written.get(script_of(word))
-        rows = [i for g in grams(word.lower()) if (i := self.grams.get(g)) is not None]
-        out = self.table[rows].sum(0) if rows else np.zeros(k, np.float32)
-        if fits is not None:
-            out = np.where(fits, out, -np.inf)
-        return np.maximum(out - out.max(), -WORD_LIMIT)
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row for each run of letters, its scores at most WORD_LIMIT apart."""
+        known, none = self.grams.get, len(self.grams)
+        rows, starts = [], []
+        for word in words:
+            starts.append(len(rows))
+            rows += [i for g in grams(word.lower()) if (i := known(g)) is not None] or [none]
+        out = np.add.reduceat(self.table[rows], starts, axis=0)
+        every = np.ones(len(self.languages), bool)
+        fits = [self.written.get(script_of(w), every) for w in words]
+        if not all(f.all() for f in fits):
+            out = np.where(np.array(fits), out, -np.inf)
+        return np.maximum(out - out.max(1, keepdims=True), -WORD_LIMIT)
 
 
 class WordScores(dict):
-    """Row numbers of the scores of chunks of text between white space; letters counts theirs."""
+    """Row numbers of the scores of chunks of text between white space; letters counts theirs.
+
+    The first CACHE chunks stay, which are mostly the frequent ones; later ones make room for others
+    SPARE at a time. New chunks are scored together, once a text has been looked up."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -122,28 +133,55 @@ class WordScores(dict):
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int32)
         self.rows = 0
+        self.kept: int | None = None
+        self.later: list[bytes] = []
+        self.new: list[tuple[int, str]] = []
 
     def __missing__(self, chunk: bytes) -> int:
-        if self.rows == len(self.letters):
+        if self.kept is None and len(self) >= CACHE:
+            self.kept = self.rows
+        if self.kept is not None:
+            self.later.append(chunk)
+        text = chunk.decode("utf-8", "replace")
+        words = LETTERS.findall(text)
+        if len(words) == 1 and (low := words[0].lower()) != text and len(low) == len(words[0]):
+            row = self[chunk] = self[low.encode()]  # as the bare word in lower case
+            return row
+        row = self.rows
+        if row == len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        words = LETTERS.findall(chunk.decode("utf-8", "replace"))
-        row = self.rows
-        for w in words:
-            self.scores[row] += self.model.score(w)
-            self.letters[row] += len(w)
+        self.new += [(row, w) for w in words]
         self.rows += 1
         self[chunk] = row
         return row
 
     def of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.rows > CACHE:
-            self.clear()
-            self.scores[:], self.letters[:], self.rows = 0, 0, 0
+        if len(self.later) > SPARE:
+            for chunk in self.later:
+                self.pop(chunk, None)
+            self.scores[self.kept : self.rows], self.letters[self.kept : self.rows] = 0, 0
+            self.later, self.rows = [], self.kept
         rows = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        if self.new:
+            at, words = zip(*self.new, strict=True)
+            np.add.at(self.scores, list(at), self.model.score(words))
+            np.add.at(self.letters, list(at), [len(w) for w in words])
+            self.new = []
         return self.scores[rows], self.letters[rows]
 
 
+_KNOWN: dict[str, WordScores] = {}
+
+
+def word_scores(model: Model) -> WordScores:
+    """A Python worker keeps the scores of the last model over its tasks."""
+    if model.name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[model.name] = WordScores(model)
+    return _KNOWN[model.name]
+
+
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The labels of the words with the largest sum of scores less penalties; ties: the label kept,
     then the first."""
@@ -212,9 +250,13 @@ def fit(
     and labels everything 'und'. Counts are summed by Spark; the driver gets max_grams rows."""
     require(docs, doc_id, text, lang)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(F.col(lang).alias("_lang")).agg((F.lit(float(train_docs)) / F.count("*")).alias("_share"))
-    sample = known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), hash_fraction(F.col(doc_id), seed).alias("_u"))
-    sample = sample.join(sizes, "_lang").where("_u < _share").select("_lang", "_text")
+    # Shares are a literal map, so that no text is shuffled by its language.
+    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return Model([], [])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], train_docs / r["n"])])
+    drawn = hash_fraction(F.col(doc_id), seed) < F.coalesce(F.try_element_at(share, F.col(lang)), F.lit(0.0))
+    sample = known.where(drawn).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -263,7 +305,7 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value)
+        scores = word_scores(shared.value)
         kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
         for batch in batches:
             found = [label(t.as_py(), scores, penalty) for t in batch.column(1)]
