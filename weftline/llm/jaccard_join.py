@@ -33,7 +33,7 @@ PERCENT = 85
 LIST_COST = 4
 #: Common shingles that a pair must show among the listed ones, unless it has fewer.
 FEWEST = 48
-#: Shingles seen this often among one class in SAMPLE take a way around the counting shuffle.
+#: Shingles seen this often among one class in SAMPLE are not counted by one task.
 HOT_SEEN, SAMPLE, HOT_MOST = 32, 64, 50_000
 STAR_SALTS = 32
 CHUNK = 256
@@ -162,15 +162,15 @@ def _meetings(sets: DataFrame, percent: int) -> DataFrame:
 
     # A very common shingle would bring all its sets to one task of the count. Those that a hash
     # sample of the classes shows are common get the sample's count for a frequency instead (it is
-    # only an order) and are left out of the shuffle. At most HOT_MOST of them: what is not caught
-    # is counted like the rest.
+    # only an order), and their rows are dealt out by salt. At most HOT_MOST of them: what is not
+    # caught is counted like the rest.
     seen = sets.where(f"key is not null and pmod(key, {SAMPLE}) = 0").groupBy("key").agg(F.first("heavy").alias("heavy"))
     seen = seen.select(F.explode("heavy").alias("token")).groupBy("token").agg(F.count("*").alias("seen")).where(f"seen >= {HOT_SEEN}")
     hot = materialise(seen.orderBy(F.col("seen").desc(), "token").limit(HOT_MOST), "hot")
     marked = tokens.join(F.broadcast(hot), "token", "left")
-    counted = marked.where("seen is null").withColumn("often", F.count("*").over(Window.partitionBy("token"))).where("often > 1")
-    known = marked.where("seen is not null").withColumn("often", F.col("seen") * SAMPLE)
-    found = counted.select("key", "need", "often", "token").union(known.select("key", "need", "often", "token"))
+    salt = F.when(F.col("seen").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.lit(STAR_SALTS)) + 1)
+    count = F.count("*").over(Window.partitionBy("token", "salt"))
+    found = marked.withColumn("salt", salt).withColumn("often", F.coalesce(F.col("seen") * SAMPLE, count)).where("often > 1")
 
     lists = found.groupBy("key", "need").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("found"))
     lists = lists.where("size(found) >= need")
