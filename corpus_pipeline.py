@@ -14,6 +14,8 @@ from weftline.llm.common import fold, materialise, table
 
 #: Documents whose language holds less of their letters are rejected, as are those without one.
 MIN_LANGUAGE_SHARE = 0.5
+#: Near copies of the stage; op10's query has its own shingles and share.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard_join.drop_near_copies(docs)
+    """One document of each group of near copies: four fifths of the five-word shingles of two are common."""
+    return jaccard_join.drop_near_copies(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

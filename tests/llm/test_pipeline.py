@@ -33,6 +33,15 @@ def test_stages(spark, tmp_path):
     assert last.where("start = 0").count() == whole
 
 
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(49)]
+    edited = [*words[:24], "x", *words[25:]]  # 40 of 50 five-word shingles, 42 of 50 four-word ones
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join([*words[:23], "x", "y", *words[25:]]))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in cp.near_copies(spark, docs.where("doc_id < 3"), DATA).collect()] == [1]
+    assert sorted(r["doc_id"] for r in cp.near_copies(spark, docs.where("doc_id in (1, 3)"), DATA).collect()) == [1, 3]
+
+
 def test_packed_tokens(spark):
     from weftline.llm.packing import pack_documents
 
