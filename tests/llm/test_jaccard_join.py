@@ -82,6 +82,19 @@ def test_small_and_empty(spark):
     assert found(spark, [(1, "a b c d e"), (2, "x")]) == [(1, 2, 1, 0), (2, 1, 2, 0)]
 
 
+def test_one_row_of_each_component(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base, *(f"e{k}" for k in range(n))]) for n in range(3)]
+    rows = [(None, near[0], "a"), (None, near[1], "a"), (None, "alone one", "a"), (None, "alone two", "a"), (None, "alone two", "a"), (None, "alone two", "b")]
+    rows += [(7, "first of seven", "a"), (7, "second of seven", "a"), (7, "second of seven", "a"), (9, "with an id", "a"), (None, "with an id", "a"), (8, "With AN id", "a")]
+    rows += [(None, " ", "a"), (None, " ", "a"), (7, None, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in jj.drop_near_copies(frame).collect()), key=str)
+    assert [x for x in got if x[1] and x[1].startswith("w0 ")] in ([(None, near[0])], [(None, near[1])])
+    rest = [(None, "alone one"), (None, "alone two"), (7, "first of seven"), (7, "second of seven"), (8, "With AN id"), (None, " "), (None, " "), (7, None)]
+    assert [x for x in got if not (x[1] and x[1].startswith("w0 "))] == sorted(rest, key=str)
+
+
 def test_subsets_meet():
     rng = np.random.default_rng(0)
     for n in range(1, jj.boundary() + 1):

@@ -121,7 +121,7 @@ def subset_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, percent: int, size: int, light: int) -> DataFrame:
-    """did, n, key (of the set), light and heavy tokens of every document."""
+    """did, row, n, key (of the set), light and heavy tokens of every document (did, text, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -138,11 +138,11 @@ def _sets(docs: DataFrame, percent: int, size: int, light: int) -> DataFrame:
                 lights.append(subset_keys(shingles, percent).view(np.int64) if 0 < k <= light else None)
                 heavies.append(shingles[: listed(k, percent)].view(np.int64) if k >= least_common(light + 1, percent) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lights, kind), pa.array(heavies, kind)],
-                names=["did", "n", "key", "light", "heavy"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lights, kind), pa.array(heavies, kind)],
+                names=["did", "row", "n", "key", "light", "heavy"],
             )
 
-    return docs.mapInArrow(run, "did long, n long, key long, light array<long>, heavy array<long>")
+    return docs.mapInArrow(run, "did long, row long, n long, key long, light array<long>, heavy array<long>")
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -258,8 +258,22 @@ def jaccard_components(
     equal sets. Other columns are not read. Empty input: no rows.
     """
     require(docs, doc_id, text)
+    texts = docs.select(F.col(doc_id).cast("long").alias("did"), F.col(text).alias("text"), F.lit(0).cast("long").alias("row"))
+    sets, ids = _classes(texts, percent, size, list_cost)
+    least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = ids.join(least, "component").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sets.select("did", "n", "key").join(named, "key", "left").select(
+        F.col("did").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("key").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def _classes(texts: DataFrame, percent: int, size: int, list_cost: float) -> tuple[DataFrame, DataFrame]:
+    """The sets of texts (did, text, row) and their classes: key, first (least did), copies, component
+    (the least key reachable by links), links."""
     light = boundary(percent, list_cost)
-    texts = docs.select(F.col(doc_id).cast("long").alias("did"), F.col(text).alias("text"))
     sets = materialise(_sets(texts, percent, size, light), "sets")
 
     meetings = materialise(_meetings(sets, percent), "meetings")
@@ -283,15 +297,7 @@ def jaccard_components(
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     ids = sets.where("key is not null").groupBy("key").agg(F.min("did").alias("first"), F.count("*").alias("copies"))
     ids = ids.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")).join(links, "key", "left")
-    ids = materialise(ids, "classes")
-    least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = ids.join(least, "component").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sets.select("did", "n", "key").join(named, "key", "left").select(
-        F.col("did").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    return sets, materialise(ids, "classes")
 
 
 def _keyed(texts: DataFrame, size: int) -> DataFrame:
@@ -308,14 +314,23 @@ def _keyed(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("did", "text").mapInArrow(run, "did long, text string, key long")
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component stays: that of the smallest id (then the smallest hash of all its
-    columns); rows whose text has no words stay all. Columns of docs."""
-    found = jaccard_components(docs, doc_id, text, **options)
-    keep = found.where("n_shingles > 0 and (doc_id = component_id or component_id is null)").select(F.col("doc_id").alias("_id"))
-    keep = keep.distinct()
+def drop_near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, list_cost: float = LIST_COST
+) -> DataFrame:
+    """One row of each component stays: that of the smallest id, null last (then the smallest hash of all
+    its columns); rows whose text has no words stay all. Rows with a null id or one that occurs again
+    are documents of their own. Columns of docs."""
+    require(docs, doc_id, text)
+    columns = [F.col(c) for c in docs.columns]
+    did, row = F.col(doc_id).cast("long"), F.xxhash64(*columns, *(c.isNull() for c in columns))
+    sets, ids = _classes(docs.select(did.alias("did"), F.col(text).alias("text"), row.alias("row")), percent, size, list_cost)
+    least = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "row")).alias("least")
+    firsts = sets.where("key is not null").groupBy("key").agg(least).join(ids.select("key", "component"), "key")
+    keep = firsts.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.did").alias("_id"), F.col("least.row").alias("_row"))
+
     wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.where(~wordless).join(keep, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    once = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    marked = docs.where(~wordless).withColumn("_did", did).withColumn("_hash", row)
+    kept = marked.join(keep, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_semi")
+    same = Window.partitionBy("_did", "_hash").orderBy("_hash")  # rows equal in all columns
+    once = kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
     return once.select(*docs.columns).unionByName(docs.where(wordless))
