@@ -22,6 +22,9 @@ def query(name: str, sql: str | None = None):
 
 STEPS = f"with recursive {EDGES}, steps as (select distinct src, dst from edges where src <> dst)"
 
+# Queries named _whole have no SQL: they take all calls or rows where the SQL of the shorter name,
+# which that query has to match, takes a part.
+
 
 def _one(spark, key, extra=0):
     return spark.createDataFrame([(extra, key)], "source long, node long")
@@ -67,6 +70,11 @@ def orphans(spark, sf):
     return g.orphans(entities(spark, sf).select("id"), edges(spark, sf).where("(src + dst) % 8 = 0"))
 
 
+@query("graph_orphans_whole")
+def orphans_whole(spark, sf):
+    return g.orphans(entities(spark, sf).select("id"), edges(spark, sf))
+
+
 def _reach_sql(a, b, depth, seeds="select 1::bigint, 1::bigint, 0", table="steps"):
     return f"""{STEPS}, walk(source, node, depth) as ({seeds} union select w.source, s.{b}, w.depth + 1 from walk w join {table} s on s.{a} = w.node where w.depth < {depth})"""
 
@@ -108,7 +116,15 @@ def vulnerability(spark, sf):
 @query("graph_test_impact", _reach_sql("dst", "src", 60, "select 0, p_partkey, 0 from part where p_partkey % 50 = 49", "dag").replace("walk(source", "dag as (select * from steps where src < dst and (src + dst) % 8 = 0), walk(source")
        + " select distinct node, p_name as name from walk join part on p_partkey = node where node % 2 = 1 and node % 50 <> 49")
 def test_impact(spark, sf):
-    dag = edges(spark, sf).where("src < dst and (src + dst) % 8 = 0")
+    return _test_impact(spark, sf, edges(spark, sf).where("src < dst and (src + dst) % 8 = 0"))
+
+
+@query("graph_test_impact_whole")
+def test_impact_whole(spark, sf):
+    return _test_impact(spark, sf, edges(spark, sf).where("src < dst"))
+
+
+def _test_impact(spark, sf, dag):
     seeds = read(spark, sf, "part").where("p_partkey % 50 = 49").select(F.lit(0).cast("long").alias("source"), F.col("p_partkey").alias("node"))
     hit = g.reach(dag, seeds, None, up=True).where("depth > 0 and node % 2 = 1")
     return hit.join(entities(spark, sf).select(F.col("id").alias("node"), "name"), "node").select("node", "name")
@@ -146,6 +162,21 @@ def topological(spark, sf):
     return layers(spark, sf).orderBy(F.desc("layer"), "node").limit(100)
 
 
+@query("graph_layers_whole")
+def layers_whole(spark, sf):
+    return g.layers(entities(spark, sf).select("id"), edges(spark, sf).where("src < dst"))
+
+
+@query("graph_depth_histogram_whole")
+def depth_histogram_whole(spark, sf):
+    return layers_whole(spark, sf).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("graph_topological_whole")
+def topological_whole(spark, sf):
+    return layers_whole(spark, sf).orderBy(F.desc("layer"), "node").limit(100)
+
+
 @query("graph_cycles", f"""with {EDGES}, s as (select distinct src, dst from edges where src <> dst)
     select [a.src, a.dst] as cycle from s a join s b on a.dst = b.src and b.dst = a.src where a.src < a.dst
     union all select [a.src, a.dst, b.dst] from s a join s b on a.dst = b.src join s c on c.src = b.dst and c.dst = a.src
@@ -161,6 +192,11 @@ def shortest_cycle(spark, sf):
     return g.shortest_cycle(edges(spark, sf).where("src <> dst and (src + dst) % 8 = 0"))
 
 
+@query("graph_shortest_cycle_whole")
+def shortest_cycle_whole(spark, sf):
+    return g.shortest_cycle(edges(spark, sf).where("src <> dst"))
+
+
 @query("mod_edges", f"""with {EDGES} select a.p_brand as src_module, b.p_brand as dst_module, count(*) as calls, count(distinct src) as callers, count(distinct dst) as callees
     from edges join part a on a.p_partkey = src join part b on b.p_partkey = dst where a.p_brand <> b.p_brand group by all""")
 def module_edges(spark, sf):
@@ -266,6 +302,15 @@ def context_edges(spark, sf):
     la as (select node, max(layer)::int as old_layer from wa group by node), lb as (select node, max(layer)::int as new_layer from wb group by node)
     select node, old_layer, new_layer from la join lb using (node) where old_layer <> new_layer""")
 def local_delta(spark, sf):
-    ids, dag = entities(spark, sf).select("id"), edges(spark, sf).where("src < dst and (src + dst) % 8 = 0")
+    return _local_delta(spark, sf, edges(spark, sf).where("src < dst and (src + dst) % 8 = 0"))
+
+
+@query("graph_local_delta_whole")
+def local_delta_whole(spark, sf):
+    return _local_delta(spark, sf, edges(spark, sf).where("src < dst"))
+
+
+def _local_delta(spark, sf, dag):
+    ids = entities(spark, sf).select("id")
     old = g.layers(ids, dag).withColumnRenamed("layer", "old_layer")
     return old.join(g.layers(ids, dag.where("src % 3 <> 0")).withColumnRenamed("layer", "new_layer"), "node").where("old_layer <> new_layer").select("node", "old_layer", "new_layer")
