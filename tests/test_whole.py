@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 from weftline.catalog import ORACLE_SQL, QUERIES
+from weftline.operators import vector
 
 DATA = "/root/testdata/sf0.001"
 EIGHTH = [(" and (src + dst) % 8 = 0", ""), (" where (src + dst) % 8 = 0", "")]
 GRAPH = ["graph_orphans", "graph_layers", "graph_depth_histogram", "graph_topological", "graph_test_impact", "graph_shortest_cycle", "graph_local_delta"]
-CUTS = dict.fromkeys(GRAPH, EIGHTH)
+CUTS = dict.fromkeys(GRAPH, EIGHTH) | {"vec_similar": [("b.vec_id < 10", "b.vec_id % 50 = 0")]}
 FIXTURE = {
     "lineitem": "select * replace (l_partkey % 50 as l_partkey) from t where l_orderkey < 150",
     "part": "select * from t where p_partkey < 60",
@@ -42,3 +43,12 @@ def test_whole(spark, small, name):
     assert sorted(found.columns) == sorted(columns) and f"{name}_whole" not in ORACLE_SQL
     assert sorted((tuple(x[c] for c in columns) for x in found.collect()), key=str) == want
     assert want and (name == "graph_shortest_cycle" or want != fetched(con, ORACLE_SQL[name])[1])
+
+
+def test_blocks_of_queries(spark, small, monkeypatch):
+    rows = spark.read.parquet(f"{small[1]}/embeddings.parquet")
+    asked = rows.where("vec_id % 7 = 0")
+    want = sorted(tuple(r) for r in vector.similar(rows, asked, 3, 0.0).collect())
+    monkeypatch.setattr(vector, "BLOCK", 4)
+    found = vector.similar(rows, asked, 3, 0.0)
+    assert sorted(tuple(r) for r in found.collect()) == want and len({r[0] for r in want}) > 4

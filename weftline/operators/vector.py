@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import small_enough
+from ..plans.iterate import SMALL_BYTES
+
+#: Queries that one broadcast holds, a KB each.
+BLOCK = SMALL_BYTES >> 10
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,10 +35,13 @@ def topk(vectors: DataFrame, query: list[float], k: int, threshold: float = -1.0
 
 def similar(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query, vec, score, rank: each query's k nearest of at least threshold, itself excluded. Queries are
-    a stated set, checked to be small; partial top-k lists are cut before the ranks are shuffled."""
+    broadcast, in blocks if they are over BLOCK; partial top-k lists are cut before the ranks are shuffled."""
     q = with_norm(queries, embedding).select(F.col(key).alias("query"), F.col(embedding).alias("_q"), F.col("_norm").alias("_qn"))
     v = with_norm(vectors, embedding).select(F.col(key).alias("vec"), F.col(embedding).alias("_v"), "_norm")
-    pairs = v.join(small_enough(q, 1024), F.col("query") != F.col("vec"))
+    rows = q.count()
+    n = 1 if rows <= BLOCK else -(-2 * rows // BLOCK)  # half full on average, as keys are dealt by hash
+    parts = [q.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i) for i in range(n)] if n > 1 else [q]
+    pairs = reduce(DataFrame.unionByName, [v.join(F.broadcast(x), F.col("query") != F.col("vec")) for x in parts])
     scored = pairs.select("query", "vec", F.round(dot(F.col("_v"), F.col("_q")) / (F.col("_norm") * F.col("_qn")), 4).alias("score")).where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

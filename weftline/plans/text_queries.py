@@ -218,6 +218,12 @@ def similar(spark, sf):
     return v.similar(rows, rows.where("vec_id < 10"), 20, 0.2)
 
 
+@query("vec_similar_whole")  # the SQL of vec_similar asks for ten vectors only
+def similar_whole(spark, sf):
+    rows = read(spark, sf, "embeddings")
+    return v.similar(rows, rows.where("vec_id % 50 = 0"), 20, 0.2)
+
+
 @query("vec_missing", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")
 def missing(spark, sf):
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
