@@ -10,6 +10,18 @@ DATA = "/root/testdata/sf0.001"
 EIGHTH = [(" and (src + dst) % 8 = 0", ""), (" where (src + dst) % 8 = 0", "")]
 GRAPH = ["graph_orphans", "graph_layers", "graph_depth_histogram", "graph_topological", "graph_test_impact", "graph_shortest_cycle", "graph_local_delta"]
 CUTS = dict.fromkeys(GRAPH, EIGHTH) | {"vec_similar": [("b.vec_id < 10", "b.vec_id % 50 = 0")]}
+CUTS |= {
+    "resolve_cascade": [(" where l_orderkey % 10 = 0", "")],
+    "interval_overlap": [(" where p_partkey % 40 = 0", "")],
+    "stab_narrowest": [(" where p_brand like '%1'", "")],
+    "stab_first": [(" where p_brand like '%1'", "")],
+    "dependency_providers": [(" where o_orderkey % 50 = 0", ""), (" and s_suppkey % 7 = 0", "")],
+    "attribution": [(" where c_custkey % 10 = 0", "")],
+    "delta_resolve": [(" where l_orderkey % 100 = 0", "")],
+    "graph_vulnerability": [(" and event_id % 97 = 0", "")],
+    "tree_rollup": [(" where p_partkey < 20", "")],
+    "symbol_detail": [(" where src < 6", ""), (" where dst < 6", ""), (" where p_partkey < 6", "")],
+}
 FIXTURE = {
     "lineitem": "select * replace (l_partkey % 50 as l_partkey) from t where l_orderkey < 150",
     "part": "select * from t where p_partkey < 60",

@@ -304,16 +304,34 @@ def file_levels(spark, sf):
 @query("dependency_providers", f"""with d as (select l_orderkey, l_partkey from lineitem where l_orderkey % 50 = 0), p as (select s_nationkey, s_suppkey from supplier)
     select o_orderkey, count(s_suppkey) as providers, case when count(s_suppkey) = 1 then min(s_suppkey) end as chosen from orders join customer on c_custkey = o_custkey left join supplier on s_nationkey = c_nationkey and s_suppkey % 7 = 0 where o_orderkey % 50 = 0 group by o_orderkey""")
 def providers(spark, sf):
-    o = read(spark, sf, "orders").where("o_orderkey % 50 = 0").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    s = read(spark, sf, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
+    return _providers(spark, sf, read(spark, sf, "orders").where("o_orderkey % 50 = 0"), read(spark, sf, "supplier").where("s_suppkey % 7 = 0"))
+
+
+@query("dependency_providers_whole")  # _whole, here and below: without SQL, all rows where that of the shorter name takes a part
+def providers_whole(spark, sf):
+    return _providers(spark, sf, read(spark, sf, "orders"), read(spark, sf, "supplier"))
+
+
+def _providers(spark, sf, orders, suppliers):
+    o = orders.join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    s = suppliers.select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
     n = F.count("s_suppkey")
     return o.join(s, "c_nationkey", "left").groupBy("o_orderkey").agg(n.alias("providers"), F.when(n == 1, F.min("s_suppkey")).alias("chosen"))
 
 
 @query("attribution", """select c_custkey, count(distinct o_orderkey) as commits, count(*) as changes, count(distinct l_partkey) as symbols from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where c_custkey % 10 = 0 group by 1""")
 def attribution(spark, sf):
+    return _attribution(spark, sf, read(spark, sf, "orders").where("o_custkey % 10 = 0"))
+
+
+@query("attribution_whole")
+def attribution_whole(spark, sf):
+    return _attribution(spark, sf, read(spark, sf, "orders"))
+
+
+def _attribution(spark, sf, orders):
     lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    mine = read(spark, sf, "orders").where("o_custkey % 10 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    mine = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     both = lines.join(mine, "o_orderkey").join(read(spark, sf, "customer").select("c_custkey"), "c_custkey", "left_semi")
     return both.groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("commits"), F.count("*").alias("changes"), F.countDistinct("l_partkey").alias("symbols"))
 

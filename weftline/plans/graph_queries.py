@@ -108,8 +108,17 @@ def frontier(spark, sf):
 @query("graph_vulnerability", _reach_sql("dst", "src", 2, "select event_id, event_id % (select count(*) from part), 0 from events where event_type = 'error' and event_id % 97 = 0")
        + " select node, count(distinct source) as n_findings from walk group by node having count(distinct source) >= 2 order by n_findings desc, node limit 20")
 def vulnerability(spark, sf):
+    return _vulnerability(spark, sf, read(spark, sf, "events").where("event_type = 'error' and event_id % 97 = 0"))
+
+
+@query("graph_vulnerability_whole")
+def vulnerability_whole(spark, sf):
+    return _vulnerability(spark, sf, read(spark, sf, "events").where("event_type = 'error'"))
+
+
+def _vulnerability(spark, sf, events):
     n = read(spark, sf, "part").count()
-    found = read(spark, sf, "events").where("event_type = 'error' and event_id % 97 = 0").select(F.col("event_id").alias("id"), (F.col("event_id") % n).alias("node"))
+    found = events.select(F.col("event_id").alias("id"), (F.col("event_id") % n).alias("node"))
     return g.vulnerability(edges(spark, sf), found, 2)
 
 
@@ -258,9 +267,18 @@ def tree(spark, sf):
     t(ancestor, node) as (select p_partkey, p_partkey from part where p_partkey < 20 union all select ancestor, child from t join n on parent = node)
     select ancestor, count(*) as total, count_if(p_size >= 25) as done, round(count_if(p_size >= 25)::double / count(*), 4) as progress from t join part on p_partkey = node group by ancestor""")
 def tree_rollup(spark, sf):
+    return _tree_rollup(spark, sf, "p_partkey < 20")
+
+
+@query("tree_rollup_whole")
+def tree_rollup_whole(spark, sf):
+    return _tree_rollup(spark, sf, "true")
+
+
+def _tree_rollup(spark, sf, roots):
     part = read(spark, sf, "part")
     children = part.where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent"))
-    pairs = g.descend(children, part.where("p_partkey < 20").select(F.col("p_partkey").alias("id")))
+    pairs = g.descend(children, part.where(roots).select(F.col("p_partkey").alias("id")))
     done = F.count_if(F.col("p_size") >= 25)
     return pairs.join(part, F.col("node") == F.col("p_partkey")).groupBy("ancestor").agg(F.count("*").alias("total"), done.alias("done"), g.ratio(done, F.count("*")).alias("progress"))
 
@@ -271,10 +289,19 @@ def tree_rollup(spark, sf):
     select p_partkey as id, p_name as name, coalesce(calls_out, '') as calls_out, coalesce(calls_in, '') as calls_in, coalesce(n_findings, 0) as n_findings
     from part left join o on o.id = p_partkey left join i on i.id = p_partkey left join f on f.id = p_partkey where p_partkey < 6""")
 def symbol_detail(spark, sf):
+    return _symbol_detail(spark, sf, "id < 6")
+
+
+@query("symbol_detail_whole")
+def symbol_detail_whole(spark, sf):
+    return _symbol_detail(spark, sf, "true")
+
+
+def _symbol_detail(spark, sf, asked):
     e = edges(spark, sf)
-    listed = lambda at, other, name: e.where(F.col(at) < 6).groupBy(F.col(at).alias("id")).agg(F.array_join(F.sort_array(F.collect_set(other)).cast("array<string>"), ",").alias(name))
+    listed = lambda at, other, name: e.withColumn("id", F.col(at)).where(asked).groupBy(F.col(at).alias("id")).agg(F.array_join(F.sort_array(F.collect_set(other)).cast("array<string>"), ",").alias(name))
     found = read(spark, sf, "events").where("event_type = 'error' and value >= 33").groupBy((F.col("user_id") % 6).alias("id")).agg(F.count("*").alias("n_findings"))
-    rows = entities(spark, sf).where("id < 6").select("id", "name")
+    rows = entities(spark, sf).where(asked).select("id", "name")
     for part in (listed("src", "dst", "calls_out"), listed("dst", "src", "calls_in"), found):
         rows = rows.join(part, "id", "left")
     return rows.select("id", "name", F.coalesce("calls_out", F.lit("")).alias("calls_out"), F.coalesce("calls_in", F.lit("")).alias("calls_in"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))

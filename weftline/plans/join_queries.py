@@ -24,9 +24,9 @@ def _intervals(spark, sf):
     return entities(spark, sf).select("module", "id", "start_line", "end_line")
 
 
-def _points(spark, sf):
+def _points(spark, sf, like="%1"):
     e = read(spark, sf, "lineitem").select((F.col("l_partkey") + 3).alias("line")).distinct()
-    modules = read(spark, sf, "part").select(F.col("p_brand").alias("module")).distinct().where("module like '%1'")
+    modules = read(spark, sf, "part").select(F.col("p_brand").alias("module")).distinct().where(F.col("module").like(like))
     return e.crossJoin(F.broadcast(modules))  # brands: a handful
 
 
@@ -38,15 +38,34 @@ def stab(spark, sf):
     return j.stab_narrowest(_points(spark, sf), _intervals(spark, sf), ["module"])
 
 
+@query("stab_narrowest_whole")  # _whole, here and below: without SQL, all rows where that of the shorter name takes a part
+def stab_whole(spark, sf):
+    return j.stab_narrowest(_points(spark, sf, "%"), _intervals(spark, sf), ["module"])
+
+
 @query("stab_first", f"with {ENTITIES}, {POINTS} select module, line, arg_min(id, [start_line, id]) as id from points join entities using (module) where line between start_line and end_line group by module, line")
 def first(spark, sf):
     return j.stab_first(_points(spark, sf), _intervals(spark, sf), ["module"])
 
 
+@query("stab_first_whole")
+def first_whole(spark, sf):
+    return j.stab_first(_points(spark, sf, "%"), _intervals(spark, sf), ["module"])
+
+
 @query("interval_overlap", f"""with {ENTITIES}, hunks as (select p_brand as module, p_partkey as hunk, p_partkey as from_line, p_partkey + 7 as to_line from part where p_partkey % 40 = 0)
     select module, hunk, id from hunks join entities using (module) where start_line <= to_line and end_line >= from_line""")
 def overlap(spark, sf):
-    hunks = read(spark, sf, "part").where("p_partkey % 40 = 0").select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("hunk"), F.col("p_partkey").alias("from_line"), (F.col("p_partkey") + 7).alias("to_line"))
+    return _overlap(spark, sf, read(spark, sf, "part").where("p_partkey % 40 = 0"))
+
+
+@query("interval_overlap_whole")
+def overlap_whole(spark, sf):
+    return _overlap(spark, sf, read(spark, sf, "part"))
+
+
+def _overlap(spark, sf, part):
+    hunks = part.select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("hunk"), F.col("p_partkey").alias("from_line"), (F.col("p_partkey") + 7).alias("to_line"))
     return j.overlaps(hunks, _intervals(spark, sf), ["module"]).select("module", "hunk", "id")
 
 
@@ -68,8 +87,17 @@ def lookahead(spark, sf):
         when s3.id is not null then 'same_file' else 'unresolved' end as method
     from calls c left join s1 on s1.module = c.module and s1.name = c.name left join s2 on s2.name = c.name left join s3 on s3.module = c.module and s3.kind = c.kind""")
 def cascade(spark, sf):
+    return _cascade(spark, sf, read(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query("resolve_cascade_whole")
+def cascade_whole(spark, sf):
+    return _cascade(spark, sf, read(spark, sf, "lineitem"))
+
+
+def _cascade(spark, sf, lines):
     e = entities(spark, sf)
-    calls = read(spark, sf, "lineitem").where("l_orderkey % 10 = 0").join(read(spark, sf, "part"), F.expr("p_partkey = (l_partkey + l_suppkey) % 50"))
+    calls = lines.join(read(spark, sf, "part"), F.expr("p_partkey = (l_partkey + l_suppkey) % 50"))
     calls = calls.select("l_orderkey", "l_linenumber", F.col("p_brand").alias("module"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
     found = j.cascade(
         calls,

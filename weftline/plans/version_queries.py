@@ -92,8 +92,17 @@ def edge_delta(spark, sf):
     new as (select call_id, 'new' as effect, a.id as symbol from calls join added a on a.name = callee_name), lost as (select call_id, 'lost' as effect, callee_id as symbol from calls where callee_id in (select id from removed))
     select * from new union all select * from lost union all select call_id, 'unresolved', 0 from lost where call_id not in (select call_id from new)""")
 def delta_resolve(spark, sf):
+    return _delta_resolve(spark, sf, read(spark, sf, "lineitem").where("l_orderkey % 100 = 0"))
+
+
+@query("delta_resolve_whole")  # without SQL: all calls, where that of delta_resolve takes a part
+def delta_resolve_whole(spark, sf):
+    return _delta_resolve(spark, sf, read(spark, sf, "lineitem"))
+
+
+def _delta_resolve(spark, sf, lines):
     part = read(spark, sf, "part")
-    calls = read(spark, sf, "lineitem").where("l_orderkey % 100 = 0").join(part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("p_type").alias("callee_name"), F.col("l_partkey").alias("callee_id"))
+    calls = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("p_type").alias("callee_name"), F.col("l_partkey").alias("callee_id"))
     added = part.where("p_partkey % 400 = 1").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
     return o.resolve_delta(added, part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id")), calls)
 
