@@ -73,3 +73,17 @@ def test_tree(spark):
     children = spark.createDataFrame([(2, 1), (3, 1), (4, 3)], "child long, parent long")
     got = sorted(tuple(r) for r in g.descend(children, spark.createDataFrame([(1,)], "id long")).collect())
     assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2)]
+
+
+def test_bounds_are_not_silent(spark):
+    nodes, chain = spark.createDataFrame([(0,)], "id long"), [(i, i + 1) for i in range(4)]
+    with pytest.raises(RuntimeError):
+        g.layers(nodes, frame(spark, chain), most=3)
+    assert {r["node"]: r["layer"] for r in g.layers(nodes, frame(spark, chain), most=5).collect()} == {i: 4 - i for i in range(5)}
+    children = frame(spark, chain).toDF("parent", "child")
+    with pytest.raises(RuntimeError):
+        g.descend(children, nodes, most=3)
+    assert sorted(tuple(r) for r in g.descend(children, nodes, most=4).collect()) == [(0, i, i) for i in range(5)]
+    with pytest.raises(RuntimeError):
+        g.descend(frame(spark, [(0, 1), (1, 0)]).toDF("parent", "child"), nodes)
+    assert g.layers.__defaults__ == (None,) and g.descend.__defaults__ == (None,)

@@ -3,6 +3,8 @@ round to shared storage."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,20 +93,23 @@ def frontier(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
     return up.unionByName(down).groupBy("node").agg(F.min("r").alias("r")).select("node", roles.alias("role"))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """node, layer: 0 calls nothing, else one more than the highest callee's; -1 on or above a cycle.
 
     Kahn's peeling: each node holds the number of callees without a layer; a round takes the nodes at
-    zero and counts them off at their callers. One table is written a round."""
+    zero and counts them off at their callers. One table is written a round. Raises if nodes are left
+    to take after `most` rounds."""
     calls = write_round(edges.select("src", "dst").distinct(), "edges")
     every = nodes.select(F.col("id").alias("node")).union(calls.select("src")).union(calls.select("dst")).distinct()
     out = calls.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("left"))
     state = every.join(out, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("layer"))
     state = write_round(state, "layers")
-    for layer in range(most):
+    for layer in count():
         free = state.where("layer is null and left = 0").select(F.col("node").alias("dst"))
         if free.isEmpty():
             break
+        if most is not None and layer >= most:
+            raise RuntimeError(f"layers did not end in {most} rounds")
         done = calls.join(free, "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_done"))
         now = F.when(F.col("layer").isNull() & (F.col("left") == 0), layer).otherwise(F.col("layer"))
         state = write_round(state.join(done, "node", "left").select("node", (F.col("left") - F.coalesce("_done", F.lit(0))).alias("left"), now.alias("layer")), "layers")
@@ -185,16 +190,20 @@ def vulnerability(edges: DataFrame, findings: DataFrame, depth: int = 3, top: in
     return counts.orderBy(F.col("n_findings").desc(), "node").limit(top)
 
 
-def descend(children: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """ancestor, node, depth of a tree given as (child, parent), by a recursive query in one plan."""
-    spark = children.sparkSession
-    names = [f"_tree_{id(children):x}", f"_roots_{id(roots):x}"]
-    children.select("child", "parent").createOrReplaceTempView(names[0])
-    roots.select("id").createOrReplaceTempView(names[1])
-    return spark.sql(
-        f"""with recursive t(ancestor, node, depth) as (
-            select id, id, 0 from {names[1]}
-            union all
-            select t.ancestor, c.child, t.depth + 1 from t join {names[0]} c on c.parent = t.node where t.depth < {most})
-        select ancestor, node, depth from t"""
-    )
+def descend(children: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """ancestor, node, depth of a tree given as (child, parent), level by level to its end. Raises if it
+    is deeper than `most`, or has a cycle."""
+    steps = write_round(children.select(F.col("child").alias("next"), F.col("parent").alias("node")), "children")
+    longest = steps.count()  # a path with more steps has one twice
+    frontier = write_round(roots.select(F.col("id").alias("ancestor"), F.col("id").alias("node"), F.lit(0).alias("depth")), "frontier")
+    levels = [frontier]
+    for level in count(1):
+        fresh = frontier.join(steps, "node").select("ancestor", F.col("next").alias("node"), F.lit(level).alias("depth"))
+        frontier = write_round(fresh, "frontier")
+        if frontier.isEmpty():
+            return _union(levels)
+        if level > longest or (most is not None and level > most):
+            raise RuntimeError(f"the tree did not end at depth {level - 1}")
+        levels.append(frontier)
+        if len(levels) > 16:  # deep trees: one table for what was reached
+            levels = [write_round(_union(levels), "reached")]
