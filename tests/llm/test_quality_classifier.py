@@ -22,6 +22,10 @@ def test_dual_coordinate_descent_finds_the_optimum():
     assert all(loss(w) <= loss(w + rng.normal(0, s, 13)) + 1e-2 for s in (0.01, 0.1, 1) for _ in range(50))
 
 
+def test_shape_of_a_whole_word():
+    assert qc.shape("a" * 70 + "7B") == "a0A"
+
+
 def test_one_class_and_empty(spark):
     assert qc.fit_rows([], np.zeros(0)).score(np.zeros(0, np.int32)) == 0.5
     docs = spark.createDataFrame([(1, "a b"), (None, None), (2, "")], "doc_id long, text string")

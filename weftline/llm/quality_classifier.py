@@ -28,7 +28,7 @@ CACHE = 600_000
 
 def shape(word: str) -> str:
     """A run of capitals is A, of other letters a, of digits 0; the rest stays."""
-    letters = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    letters = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1+", r"\1", letters)
 
 
