@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,44 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Has every executor collect its garbage. A heap that one operator has grown is given back to the
+    system, where the Python workers of the next one need the memory. Nothing to do in local mode."""
+    if not spark.sparkContext.master.startswith("local["):
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
+def release_worker() -> None:
+    """Gives back what a task of a Python worker has freed; the worker lives on for other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 18
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, and where each one begins (and the last one ends); null is empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8), at
+
+
+def slices(at: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Rows (from, to) whose texts hold about `most` bytes together, at least one row."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (most or SLICE), "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Raises if a column is missing; sends the package to the executors, whose Python workers need it."""
     ship_package(df.sparkSession)

@@ -7,8 +7,10 @@ hash, so many that two linked sets share a tenth of their size among them; what
 dropped there, sets that cannot link any more go, and of the rest only the rarest shingles are
 listed. The boundary between light and heavy is where enumerating costs more than listing.
 
-Sets that meet, directly or by others, form a block; pairs within blocks are verified exactly,
-chunk by chunk, from the whole texts. Only spanning links leave a chunk, never all pairs.
+Sets that meet, directly or by others, form a block, which is cut into chunks of sets with the same
+least token. Scanning the tokens' lists of chunks gives the pairs of chunks with a token in common;
+only these are compared, set by set and exactly, from the whole texts. Only spanning links leave a
+pair of chunks, never all pairs of sets.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialise, require
+from .common import ASCII_SPACE, flat, materialise, release_heaps, release_worker, require, slices
 from .components import connected_components
 
 SHINGLE = 4
@@ -34,11 +36,11 @@ LIST_COST = 4
 #: Common shingles that a pair must show among the listed ones, unless it has fewer.
 FEWEST = 48
 #: Shingles seen this often among one class in SAMPLE are not counted by one task.
-HOT_SEEN, SAMPLE, HOT_MOST = 32, 64, 50_000
+HOT_SEEN, SAMPLE = 32, 64
 STAR_SALTS = 32
 CHUNK = 256
+#: Ids or shingles that are broadcast at most (16 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 500_000
-CACHE = 400_000
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -81,29 +83,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = xxh64_intdigest(word)
-        if len(self) < CACHE:
-            self[word] = value
-        return value
+#: Random multipliers of a word's bytes by value and by place (up to LONG); longer words are hashed as such.
+LONG = 64
+_RANDOM = np.random.default_rng(0x5EED)
+BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
+PLACE = _RANDOM.integers(0, 1 << 64, LONG, np.uint64) | np.uint64(1)
+SPACE = np.isin(np.arange(256), list(ASCII_SPACE.encode()))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and how many each text has. data: the
+    bytes, at: where each text begins (and the last one ends) in it."""
+    from xxhash import xxh64_intdigest
+
+    inside = ~SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]  # a text ends a word, too
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    counts = np.diff(np.searchsorted(start, at))
+    if not len(start):
+        return np.zeros(0, np.uint64), counts
+    length = stop - start
+    begins = np.cumsum(length) - length
+    low = LOWER[data]
+    place = np.arange(int(length.sum())) - np.repeat(begins, length)
+    with np.errstate(over="ignore"):
+        codes = np.add.reduceat(BYTE[low[inside]] * PLACE[place % LONG], begins)
+        codes = mix(codes + length.astype(np.uint64) * FACTORS[0])
+    for i in np.flatnonzero(length > LONG):
+        codes[i] = xxh64_intdigest(low[start[i] : stop[i]].tobytes())
+    return codes, counts
 
 
-def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; A-Z are lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(n, size)
+def shingled(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
+    n = len(codes) - width + 1
     with np.errstate(over="ignore"):
-        total = np.full(n - width + 1, width, np.uint64)
+        total = np.full(n, width, np.uint64)
         for k in range(width):
-            total += mix(codes[k : n - width + 1 + k] + FACTORS[k % len(FACTORS)] * np.uint64(k // len(FACTORS) + 1)) * FACTORS[k % len(FACTORS)]
-        return np.unique(mix(total))
+            total += mix(codes[k : n + k] + FACTORS[k % len(FACTORS)] * np.uint64(k // len(FACTORS) + 1)) * FACTORS[k % len(FACTORS)]
+        return mix(total)
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles. Bytes are hashed for many texts at
+    once; nothing is remembered between slices."""
+    data, at = flat(texts)
+    for i, j in slices(at):
+        codes, counts = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        every = shingled(codes, size) if len(codes) >= size else None
+        begin = 0
+        for n in counts.tolist():
+            if n >= size:
+                yield np.unique(every[begin : begin + n - size + 1])
+            else:
+                yield shingled(codes[begin : begin + n], n) if n else np.zeros(0, np.uint64)
+            begin += n
 
 
 def subset_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -126,12 +167,10 @@ def _sets(docs: DataFrame, percent: int, size: int, light: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        hashes = WordHashes()
         kind = pa.list_(pa.int64())
         for batch in batches:
             n, keys, lights, heavies = [], [], [], []
-            for text in batch.column(1):
-                shingles = shingle_set(text.as_py(), hashes, size)
+            for shingles in shingle_sets(batch.column(1), size):
                 k = len(shingles)
                 n.append(k)
                 keys.append(np.uint64(xxh64_intdigest(shingles.tobytes())).astype(np.int64) if k else None)
@@ -141,6 +180,7 @@ def _sets(docs: DataFrame, percent: int, size: int, light: int) -> DataFrame:
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lights, kind), pa.array(heavies, kind)],
                 names=["did", "row", "n", "key", "light", "heavy"],
             )
+        release_worker()
 
     return docs.mapInArrow(run, "did long, row long, n long, key long, light array<long>, heavy array<long>")
 
@@ -162,12 +202,11 @@ def _meetings(sets: DataFrame, percent: int) -> DataFrame:
 
     # A very common shingle would bring all its sets to one task of the count. Those that a hash
     # sample of the classes shows are common get the sample's count for a frequency instead (it is
-    # only an order), and their rows are dealt out by salt. At most HOT_MOST of them: what is not
-    # caught is counted like the rest.
+    # only an order), and their rows are dealt out by salt.
     seen = sets.where(f"key is not null and pmod(key, {SAMPLE}) = 0").groupBy("key").agg(F.first("heavy").alias("heavy"))
     seen = seen.select(F.explode("heavy").alias("token")).groupBy("token").agg(F.count("*").alias("seen")).where(f"seen >= {HOT_SEEN}")
-    hot = materialise(seen.orderBy(F.col("seen").desc(), "token").limit(HOT_MOST), "hot")
-    marked = tokens.join(F.broadcast(hot), "token", "left")
+    hot = materialise(seen, "hot")
+    marked = tokens.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "token", "left")
     salt = F.when(F.col("seen").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.lit(STAR_SALTS)) + 1)
     count = F.count("*").over(Window.partitionBy("token", "salt"))
     found = marked.withColumn("salt", salt).withColumn("often", F.coalesce(F.col("seen") * SAMPLE, count)).where("often > 1")
@@ -224,25 +263,51 @@ def verify_block(keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, f
     return keys[roots], links @ copies
 
 
-def _verified(members: DataFrame, percent: int, size: int) -> DataFrame:
-    """members: block, key, text, copies, chunks (of its block). key, root, links for each chunk pair."""
-    chunk = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    dealt = members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
-    dealt = dealt.select(
-        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key", "text", "copies", "chunk"
-    )
+def _chunked(meetings: DataFrame, blocks: DataFrame) -> DataFrame:
+    """key, block, chunk: the classes of a block in chunks of about CHUNK. Classes with the same least
+    token, which similar sets mostly share, are in one chunk, or in some of their own if they are many."""
+    lead = meetings.groupBy("key").agg(F.min("token").alias("lead"))
+    members = materialise(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")).join(lead, "key"), "members")
+    sizes = members.groupBy("block").agg(F.count("*").alias("size"))
+    leads = members.groupBy("block", "lead").agg(F.count("*").alias("led"))
+    sized = members.join(leads, ["block", "lead"]).join(sizes, "block")
+    own = F.xxhash64(F.lit(1), "lead", F.pmod(F.xxhash64(F.lit(3), "key"), F.ceil(F.col("led") / CHUNK)))
+    some = F.xxhash64(F.lit(2), F.pmod(F.xxhash64(F.lit(4), "lead"), F.ceil(F.col("size") / CHUNK)))
+    return sized.select("key", "block", F.when(F.col("led") >= CHUNK, own).otherwise(some).alias("chunk"))
+
+
+def _chunk_pairs(meetings: DataFrame, chunked: DataFrame) -> DataFrame:
+    """block, i, j (i <= j): the chunks that have to be compared: those with a token in common, found by
+    scanning each token's list of chunks; and every chunk with itself."""
+    chunks = materialise(chunked.groupBy("block", "chunk").agg(F.count("*").alias("members")), "chunks")
+    alone = chunks.select("block", F.col("chunk").alias("i"), F.col("chunk").alias("j"))
+    many = chunks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    # Equal lists (in a group of near copies most tokens are in all chunks) are scanned once.
+    lists = meetings.join(chunked, "key").join(many, "block").select("block", "token", "chunk", "n").distinct()
+    lists = lists.groupBy("block", "token").agg(F.sort_array(F.collect_list("chunk")).alias("c"), F.first("n").alias("n")).where("size(c) > 1")
+    lists = lists.select("block", "c", (F.size("c") == F.col("n")).alias("all")).distinct()
+    whole = lists.where("all").select("block").distinct()
+    lists = lists.where("all").unionByName(lists.where("not all").join(whole, "block", "left_anti"))
+    across = lists.select("block", "c", F.posexplode("c").alias("at", "i")).select("block", "i", F.explode(F.expr("slice(c, at + 2, size(c))")).alias("j"))
+    return alone.unionByName(across.distinct())
+
+
+def _verified(members: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """members: block, chunk, key, text, copies. key, root, links for each of the pairs of chunks."""
+    ends = F.array_distinct(F.array("i", "j"))
+    dealt = pairs.withColumn("chunk", F.explode(ends)).join(members, ["block", "chunk"]).select("block", "i", "j", "key", "text", "copies", "chunk")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        hashes = WordHashes()
         rows = rows.sort_by("key")
         keys = rows.column("key").to_numpy()
-        sets = [shingle_set(t.as_py(), hashes, size) for t in rows.column("text")]
-        chunks = rows.column("chunk").to_numpy()
-        first = None if key[1] == key[2] else chunks == key[1].as_py()
+        sets = list(shingle_sets(rows.column("text").combine_chunks(), size))
+        first = None if key[1] == key[2] else rows.column("chunk").to_numpy() == key[1].as_py()
         roots, links = verify_block(keys, sets, rows.column("copies").to_numpy(), first, percent)
         return pa.table({"key": keys, "root": roots, "links": links.astype(np.int64)})
 
-    return dealt.groupBy("block", "i", "j").applyInArrow(run, "key long, root long, links long")
+    # Pairs of chunks differ in cost more than in bytes: as many partitions as the session has, whatever they hold.
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "block", "i", "j").groupBy("block", "i", "j").applyInArrow(run, "key long, root long, links long")
 
 
 def jaccard_components(
@@ -273,6 +338,7 @@ def jaccard_components(
 def _classes(texts: DataFrame, percent: int, size: int, list_cost: float) -> tuple[DataFrame, DataFrame]:
     """The sets of texts (did, text, row) and their classes: key, first (least did), copies, component
     (the least key reachable by links), links."""
+    release_heaps(texts.sparkSession)
     light = boundary(percent, list_cost)
     sets = materialise(_sets(texts, percent, size, light), "sets")
 
@@ -280,18 +346,18 @@ def _classes(texts: DataFrame, percent: int, size: int, list_cost: float) -> tup
     blocks = materialise(connected_components(_stars(meetings)), "blocks")
 
     # The text of one document of each class that is in a block, fetched by id; the set's key,
-    # computed again, tells rows with the same id apart.
-    chunks = blocks.groupBy(F.col("component").alias("block")).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    classes = sets.where("key is not null").groupBy("key").agg(F.min(F.coalesce("did", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"))
-    chosen = blocks.select(F.col("node").alias("key"), F.col("component").alias("block")).join(classes, "key").join(chunks, "block")
-    chosen = materialise(chosen, "chosen")
+    # computed again, tells rows with the same id (or none) apart.
+    chunked = materialise(_chunked(meetings, blocks), "chunked")
+    pairs = materialise(_chunk_pairs(meetings, chunked), "pairs")
+    rep = F.coalesce(F.min("did").cast("string"), F.lit("none"))
+    classes = sets.where("key is not null").groupBy("key").agg(rep.alias("rep"), F.count("*").alias("copies"))
+    chosen = materialise(chunked.join(classes, "key"), "chosen")
     wanted = chosen.select("rep").distinct()
-    if chosen.count() <= BROADCAST_IDS:  # 8 bytes each
+    if chosen.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    fetched = texts.withColumn("did", F.coalesce("did", F.lit(-(1 << 63)))).join(wanted.withColumnRenamed("rep", "did"), "did", "left_semi")
-    fetched = _keyed(fetched, size).dropDuplicates(["did", "key"]).withColumnRenamed("did", "rep")
-    members = chosen.join(fetched, ["rep", "key"])
-    verified = materialise(_verified(members, percent, size), "verified")
+    fetched = texts.withColumn("rep", F.coalesce(F.col("did").cast("string"), F.lit("none"))).join(wanted, "rep", "left_semi")
+    members = chosen.join(_keyed(fetched, size).dropDuplicates(["rep", "key"]), ["rep", "key"])
+    verified = materialise(_verified(members, pairs, percent, size), "verified")
 
     linked = connected_components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
@@ -301,17 +367,17 @@ def _classes(texts: DataFrame, percent: int, size: int, list_cost: float) -> tup
 
 
 def _keyed(texts: DataFrame, size: int) -> DataFrame:
-    """did, text with the key of its set."""
+    """rep (the id as text), text with the key of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        hashes = WordHashes()
         for batch in batches:
-            keys = [np.uint64(xxh64_intdigest(shingle_set(t.as_py(), hashes, size).tobytes())).astype(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["did", "text", "key"])
+            keys = [np.uint64(xxh64_intdigest(x.tobytes())).astype(np.int64) for x in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["rep", "text", "key"])
+        release_worker()
 
-    return texts.select("did", "text").mapInArrow(run, "did long, text string, key long")
+    return texts.select("rep", "text").mapInArrow(run, "rep string, text string, key long")
 
 
 def drop_near_copies(
@@ -322,15 +388,16 @@ def drop_near_copies(
     are documents of their own. Columns of docs."""
     require(docs, doc_id, text)
     columns = [F.col(c) for c in docs.columns]
-    did, row = F.col(doc_id).cast("long"), F.xxhash64(*columns, *(c.isNull() for c in columns))
-    sets, ids = _classes(docs.select(did.alias("did"), F.col(text).alias("text"), row.alias("row")), percent, size, list_cost)
+    row = F.xxhash64(*columns, *(c.isNull() for c in columns))
+    # The row in one column: no name of docs can clash with those used here.
+    packed = docs.select(F.struct(*columns).alias("doc"), F.col(doc_id).cast("long").alias("did"), F.col(text).alias("text"), row.alias("row"))
+    sets, ids = _classes(packed.select("did", "text", "row"), percent, size, list_cost)
     least = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "row")).alias("least")
     firsts = sets.where("key is not null").groupBy("key").agg(least).join(ids.select("key", "component"), "key")
-    keep = firsts.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.did").alias("_id"), F.col("least.row").alias("_row"))
-
-    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = docs.where(~wordless).withColumn("_did", did).withColumn("_hash", row)
-    kept = marked.join(keep, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_semi")
-    same = Window.partitionBy("_did", "_hash").orderBy("_hash")  # rows equal in all columns
-    once = kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
-    return once.select(*docs.columns).unionByName(docs.where(wordless))
+    keep = firsts.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.did").alias("kept_did"), F.col("least.row").alias("kept_row"))
+
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = packed.where(~wordless).join(keep, F.col("did").eqNullSafe(F.col("kept_did")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    same = Window.partitionBy("did", "row").orderBy("row")  # rows equal in all columns
+    once = kept.withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return once.select("doc").unionByName(packed.where(wordless).select("doc")).select("doc.*")
