@@ -1,5 +1,6 @@
 import itertools
 import os
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -25,21 +26,60 @@ def test_viterbi_is_optimal():
 
 def small_model():
     words = {"en": "the house that was there and with this thing", "fr": "le maison qui est avec pour une chose bien", "ru": "дом который был там"}
-    grams = [(lang, g, 5) for lang, text in words.items() for w in text.split() for g in lang_id.grams(w)]
-    scripts = [("en", "latin", 99), ("fr", "latin", 99), ("ru", "cyrillic", 99)]
-    return lang_id.Model(grams, scripts)
+    rows = [(i, kind, code, 5 * n) for i, text in enumerate(words.values()) for kind, codes, often in lang_id.count([text]) for code, n in zip(codes.tolist(), often.tolist())]
+    return lang_id.Model(list(words), np.array(rows, np.int64))
+
+
+def slow(text, model, penalty=lang_id.SWITCH):
+    """Word by word and run by run, with regular expressions."""
+    chunks = re.findall(r"[^\x20\x09-\x0D]+", text)
+    values, letters = [], []
+    for chunk in chunks:
+        value, n = np.zeros(len(model.languages), np.float32), 0
+        for run in ["".join(g) for alpha, g in itertools.groupby(chunk, str.isalpha) if alpha]:
+            value = value + model.score(lang_id.Runs([run]))[0]
+            n += len(run)
+        values.append(value)
+        letters.append(n)
+    if not sum(letters):
+        return "und", 0.0, []
+    labels = lang_id.viterbi(np.array(values), penalty).tolist()
+    shares = [sum(n for n, x in zip(letters, labels) if x == k) for k in range(len(model.languages))]
+    best = shares.index(max(shares))
+    spans, at = [], 0
+    for x, group in itertools.groupby(labels):
+        n = len(list(group))
+        spans.append((model.languages[x], at, n))
+        at += n
+    return model.languages[best], shares[best] / sum(letters), spans
+
+
+def test_grams_of_a_run():
+    one, two = lang_id.Runs(["Ab"]), lang_id.Runs(["x ab,AB ab1a"])
+    assert len(one.grams()[0]) == 2 and two.n.tolist() == [1, 2, 2, 2, 1] and len(two.unique) == 3
+    assert set(one.grams()[0].tolist()) < set(two.grams()[0].tolist())
+    assert two.chunks.tolist() == [3] and two.chunk.tolist() == [0, 1, 1, 2, 2]
+
+
+def test_against_word_by_word():
+    model, rng = small_model(), np.random.default_rng(2)
+    words = ["the", "House,", "MAISON", "qui", "дом", "that.", "x1y", "été", "%%%", "chose-bien", "was!", "Est", "estb", "quia", "漢字", "\u00a0", "½", "\x1c", "İx", "a" * 300]
+    texts = ["", " \n", *("".join(w + rng.choice([" ", "\n", "\t "]) for w in rng.choice(words, rng.integers(0, 40))) for _ in range(150))]
+    for text, (lang, share, spans) in zip(texts, lang_id.label(texts, model), strict=True):
+        want = slow(text, model)
+        assert (lang, spans) == (want[0], want[2]) and abs(share - want[1]) < 1e-9
 
 
 def test_mixed_spans():
-    scores = lang_id.WordScores(small_model())
+    model = small_model()
     text = " ".join(["the house that was there with this thing"] * 3 + ["le maison qui est avec pour une chose"] * 4 + ["дом был там"] * 3)
-    lang, share, spans = lang_id.label(text, scores)
+    ((lang, share, spans),) = lang_id.label([text], model)
     assert lang == "fr" and 0 < share < 1
     assert [(s[0], s[2]) for s in spans] == [("en", 24), ("fr", 32), ("ru", 9)]
-    assert lang_id.label("дом", scores)[0] == "ru"
-    for text in (None, "", "123 !?", " \n"):
-        assert lang_id.label(text, scores) == ("und", 0.0, [])
-    assert lang_id.label("漢字", scores)[0] in ("en", "fr", "ru")
+    assert lang_id.label(["дом"], model)[0][0] == "ru"
+    for text in ("", "123 !?", " \n", "² ½ ① Ⅷ"):  # numbers are no letters
+        assert lang_id.label([text], model) == [("und", 0.0, [])]
+    assert lang_id.label(["漢字"], model)[0][0] in ("en", "fr", "ru")
 
 
 def test_held_out_accuracy(spark):
@@ -58,12 +98,18 @@ def test_odd_tables(spark):
     assert lang_id.identify(empty, small_model()).count() == 0
 
 
-def test_scores_do_not_depend_on_what_a_worker_saw_before(monkeypatch):
-    monkeypatch.setattr(lang_id, "CACHE", 20)
-    monkeypatch.setattr(lang_id, "SPARE", 5)
-    model = small_model()
-    used, rng = lang_id.WordScores(model), np.random.default_rng(2)
-    words = ["the", "House,", "MAISON", "qui", "дом", "that.", "x1y", "été", "%%%", "chose-bien", "was!", "Est", "estb", "quia"]
-    for _ in range(200):
-        text = " ".join(rng.choice(words, rng.integers(0, 12)))
-        assert lang_id.label(text, used) == lang_id.label(text, lang_id.WordScores(model))
+def test_all_languages_and_ngrams_are_learned(spark):
+    langs = [f"l{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, f"onlyin{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}", x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    assert model.languages == sorted(langs)
+    found = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs, model).collect()}
+    assert found == dict(enumerate(langs))
+
+
+def test_very_long_text_and_clashing_names(spark):
+    text = " ".join(["the house that was there"] * 60_000)
+    rows = spark.createDataFrame([(1, text, "mine", 7, "own")], "doc_id long, text string, lang_pred string, score int, spans string")
+    found = lang_id.labelled(rows, small_model())
+    assert found.select("doc.*").columns == rows.columns and found.select("doc.*").drop("text").collect() == rows.drop("text").collect()
+    assert [tuple(r) for r in found.select("lang_pred", "score", "spans").collect()] == [("en", 1.0, [("en", 0, 300_000)])]

@@ -3,35 +3,30 @@
 Each word's script (Unicode ranges) narrows the languages to those written in it; character n-grams
 and whole words score the rest; Viterbi over the words, with a penalty for each switch, labels
 spans. The document's language is the one with most letters in its spans.
+
+Texts are taken as arrays of code points, many at a time: runs of letters, their n-grams and the
+scores of all different runs come from array operations, and nothing is remembered in between.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import hash_fraction, require
+from .common import flat, hash_fraction, release_heaps, release_worker, require, slices
 
 UNKNOWN = "und"
 #: Training rows: about so many a language, drawn by a hash of the id.
 TRAIN_DOCS = 1500
-#: Languages learned: the most frequent ones.
-MAX_LANGUAGES = 1000
-#: n-grams and words kept over all languages, the most frequent first.
-MAX_GRAMS = 150_000
-ORDER = 3
 SWITCH = 12.0
 WORD_LIMIT = 6.0
-CACHE, SPARE = 400_000, 200_000
 
 # First code points of Unicode blocks, and the scripts they begin.
 SCRIPTS = (
@@ -61,127 +56,123 @@ SCRIPTS = (
     (0xFB00, "other"),
     (0x20000, "han"),
 )
-STARTS = [a for a, _ in SCRIPTS]
-LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def script_of(word: str) -> str:
-    """The script of a word's first letter."""
-    return SCRIPTS[bisect_right(STARTS, ord(word[0])) - 1][1]
-
-
-def grams(word: str) -> list[str]:
-    """Of a lower-case run of letters: its n-grams with edges, and the word as such."""
-    edged = f"^{word}$"
-    return [edged[i : i + ORDER] for i in range(len(edged) - ORDER + 1)] + [f"={word}"]
+STARTS = np.array([a for a, _ in SCRIPTS])
+NAMES = sorted({name for _, name in SCRIPTS})
+SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
+#: Kinds of what is counted: n-grams, whole words, letters of a script.
+GRAM, WORD, SCRIPT = 0, 1, 2
+#: No letters are beyond this code point.
+LIMIT = 0x40000
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
+
+
+@lru_cache(1)
+def letters_of() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is a letter (Unicode categories L*), and its lower case, if that is
+    one code point. The same for all models."""
+    every = [chr(c) for c in range(LIMIT)]
+    low = np.fromiter((ord(y) if len(y := x.lower()) == 1 else i for i, x in enumerate(every)), np.uint32, LIMIT)
+    return np.fromiter(map(str.isalpha, every), bool, LIMIT), low
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * ODD[3]
+    x = (x ^ (x >> np.uint64(29))) * ODD[4]
+    return x ^ (x >> np.uint64(32))
+
+
+class Runs:
+    """The runs of letters in some texts, in order. chunks: white-space free pieces of each text; chunk:
+    that of each run; n: letters of each run; unique, which: its different spellings in lower case."""
+
+    def __init__(self, texts: list[str]):
+        letter, lower = letters_of()
+        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.minimum(points, LIMIT - 1)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        free = (points != 32) & ((points < 9) | (points > 13))
+        begins = free.copy()
+        begins[1:] &= ~free[:-1]
+        number = np.cumsum(begins)
+        self.chunks = np.diff(np.append(0, number[ends - 1])) if len(texts) else np.zeros(0, np.int64)
+        is_letter = letter[points]
+        self.first = np.flatnonzero(is_letter & ~np.append(False, is_letter[:-1]))
+        stop = np.flatnonzero(is_letter & ~np.append(is_letter[1:], False)) + 1
+        self.n = stop - self.first
+        self.chunk = number[self.first] - 1
+        self.low = lower[points].astype(np.uint64)
+        self.points = points
+        if not len(self.first):
+            self.unique = self.which = np.zeros(0, np.int64)
+            self.codes = np.zeros(0, np.uint64)
+            return
+        at = np.flatnonzero(is_letter)
+        begin = np.cumsum(self.n) - self.n
+        place = np.arange(len(at)) - np.repeat(begin, self.n)
+        with np.errstate(over="ignore"):
+            codes = np.add.reduceat(scramble(self.low[at] + (place.astype(np.uint64) << np.uint64(20))), begin)
+            codes = scramble(codes + self.n.astype(np.uint64) * ODD[0])
+        self.codes, self.unique, self.which = np.unique(codes, return_index=True, return_inverse=True)
+
+    def scripts(self) -> np.ndarray:
+        """Number of the script of each different run's first letter."""
+        return SCRIPT_OF[np.searchsorted(STARTS, self.points[self.first[self.unique]], "right") - 1]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the three-letter n-grams, edges included, of all different runs, and where each run's begin:
+        one around each letter."""
+        first, n = self.first[self.unique], self.n[self.unique]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(begin, n)
+        at = np.repeat(first, n) + place
+        left = np.where(place == 0, np.uint64(1), self.low[at - 1])
+        right = np.where(place == np.repeat(n - 1, n), np.uint64(2), self.low[np.minimum(at + 1, len(self.low) - 1)])
+        with np.errstate(over="ignore"):
+            return scramble(left * ODD[0] + self.low[at] * ODD[1] + right * ODD[2]), begin
 
 
 class Model:
-    """languages, and for each n-gram the log probabilities by language; pickled to the tasks."""
-
-    def __init__(self, counts: list[tuple[str, str, int]], scripts: list[tuple[str, str, int]]):
-        self.name = uuid.uuid4().hex
-        self.languages = sorted({lang for lang, _, _ in scripts})
-        at = {x: i for i, x in enumerate(self.languages)}
-        k = len(at)
-        names = {g: i for i, g in enumerate(sorted({g for _, g, _ in counts}))}
-        table = np.zeros((len(names), k))
-        for lang, gram, n in counts:
-            table[names[gram], at[lang]] = n
-        self.grams = names
-        for whole in (False, True):  # words and n-grams are two distributions
-            rows = np.array([g.startswith("=") == whole for g in names], bool)
-            total = table[rows].sum(0) + 0.5 * max(1, rows.sum())
-            table[rows] = np.log((table[rows] + 0.5) / total)
-        self.table = np.concatenate([table - table.mean(1, keepdims=True), np.zeros((1, k))]).astype(np.float32) if k else table
+    """languages; hashes and table: for each n-gram and word its centred log probabilities by language,
+    the last row for unknown ones; written: the languages of each script. A dense table: n-grams of the
+    training rows times languages."""
+
+    def __init__(self, languages: list[str], counts: np.ndarray):
+        """counts: rows of (language's number, kind, code as a signed integer, n)."""
+        self.languages = languages
+        k = len(languages)
+        lang, kind, code, n = counts.T if len(counts) else np.zeros((4, 0), np.int64)
+        hashes, tables = [], []
+        for which in (GRAM, WORD):  # two distributions
+            mine = kind == which
+            found, row = np.unique(code[mine].view(np.uint64), return_inverse=True)
+            table = np.zeros((len(found), k))
+            np.add.at(table, (row, lang[mine]), n[mine])
+            table = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(found))))
+            hashes.append(found)
+            tables.append((table - table.mean(1, keepdims=True)).astype(np.float32) if k else table.astype(np.float32))
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.table = np.concatenate([*tables, np.zeros((1, k), np.float32)])[np.append(order, len(every))]
         # A language is written in the scripts that hold a hundredth of its letters.
-        share = Counter()
-        for lang, script, n in scripts:
-            share[lang, script] += n
-        whole = Counter()
-        for (lang, _), n in share.items():
-            whole[lang] += n
-        self.written = {}
-        for (lang, script), n in share.items():
-            if 100 * n >= whole[lang]:
-                self.written.setdefault(script, np.zeros(k, bool))[at[lang]] = True
-
-    def score(self, words: list[str]) -> np.ndarray:
-        """A row for each run of letters, its scores at most WORD_LIMIT apart."""
-        known, none = self.grams.get, len(self.grams)
-        rows, starts = [], []
-        for word in words:
-            starts.append(len(rows))
-            rows += [i for g in grams(word.lower()) if (i := known(g)) is not None] or [none]
-        out = np.add.reduceat(self.table[rows], starts, axis=0)
-        every = np.ones(len(self.languages), bool)
-        fits = [self.written.get(script_of(w), every) for w in words]
-        if not all(f.all() for f in fits):
-            out = np.where(np.array(fits), out, -np.inf)
+        share = np.zeros((len(NAMES), k))
+        mine = kind == SCRIPT
+        np.add.at(share, (code[mine], lang[mine]), n[mine])
+        self.written = 100 * share >= np.maximum(share.sum(0), 1)
+        self.written[~self.written.any(1)] = True  # no language is: all may be
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, codes), max(0, len(self.hashes) - 1))
+        return np.where(self.hashes[at] == codes, at, len(self.hashes)) if len(self.hashes) else np.zeros(len(codes), np.int64)
+
+    def score(self, runs: Runs) -> np.ndarray:
+        """A row for each different run of letters, its scores at most WORD_LIMIT apart."""
+        codes, begin = runs.grams()
+        out = np.add.reduceat(self.table[self.rows(codes)], begin, axis=0) + self.table[self.rows(runs.codes)]
+        out = np.where(self.written[runs.scripts()], out, -np.inf)
         return np.maximum(out - out.max(1, keepdims=True), -WORD_LIMIT)
 
 
-class WordScores(dict):
-    """Row numbers of the scores of chunks of text between white space; letters counts theirs.
-
-    The first CACHE chunks stay, which are mostly the frequent ones; later ones make room for others
-    SPARE at a time. New chunks are scored together, once a text has been looked up."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int32)
-        self.rows = 0
-        self.kept: int | None = None
-        self.later: list[bytes] = []
-        self.new: list[tuple[int, str]] = []
-
-    def __missing__(self, chunk: bytes) -> int:
-        if self.kept is None and len(self) >= CACHE:
-            self.kept = self.rows
-        if self.kept is not None:
-            self.later.append(chunk)
-        text = chunk.decode("utf-8", "replace")
-        words = LETTERS.findall(text)
-        if len(words) == 1 and (low := words[0].lower()) != text and len(low) == len(words[0]):
-            row = self[chunk] = self[low.encode()]  # as the bare word in lower case
-            return row
-        row = self.rows
-        if row == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.new += [(row, w) for w in words]
-        self.rows += 1
-        self[chunk] = row
-        return row
-
-    def of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.later) > SPARE:
-            for chunk in self.later:
-                self.pop(chunk, None)
-            self.scores[self.kept : self.rows], self.letters[self.kept : self.rows] = 0, 0
-            self.later, self.rows = [], self.kept
-        rows = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        if self.new:
-            at, words = zip(*self.new, strict=True)
-            np.add.at(self.scores, list(at), self.model.score(words))
-            np.add.at(self.letters, list(at), [len(w) for w in words])
-            self.new = []
-        return self.scores[rows], self.letters[rows]
-
-
-_KNOWN: dict[str, WordScores] = {}
-
-
-def word_scores(model: Model) -> WordScores:
-    """A Python worker keeps the scores of the last model over its tasks."""
-    if model.name not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[model.name] = WordScores(model)
-    return _KNOWN[model.name]
-
-
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The labels of the words with the largest sum of scores less penalties; ties: the label kept,
     then the first."""
@@ -218,108 +209,133 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
-def label(text: str | None, scores: WordScores, penalty: float = SWITCH) -> tuple[str, float, list[tuple]]:
-    """Language, share of letters in its spans, and the spans (language, first word, words)."""
-    chunks = (text or "").encode("utf-8", "surrogatepass").split()
-    languages = scores.model.languages
-    if not chunks or not languages:
-        return UNKNOWN, 0.0, []
-    values, letters = scores.of(chunks)
-    if not letters.any():
-        return UNKNOWN, 0.0, []
-    labels = viterbi(values, penalty)
-    shares = np.bincount(labels, weights=letters, minlength=len(languages))
-    best = int(np.argmax(shares))
-    spans, at = [], 0
-    if (labels == labels[0]).all():
-        spans = [(languages[int(labels[0])], 0, len(chunks))]
-    else:
+def label(texts: list[str], model: Model, penalty: float = SWITCH) -> list[tuple[str, float, list[tuple]]]:
+    """Of each text the language, the share of letters in its spans, and the spans (language, first word,
+    words)."""
+    languages = model.languages
+    nothing = (UNKNOWN, 0.0, [])
+    runs = Runs(texts)
+    if not languages or not len(runs.first):
+        return [nothing] * len(texts)
+    total = int(runs.chunks.sum())
+    letters = np.bincount(runs.chunk, weights=runs.n, minlength=total)
+    values = np.zeros((total, len(languages)), np.float32)
+    heads = np.flatnonzero(np.append(True, runs.chunk[1:] != runs.chunk[:-1]))
+    values[runs.chunk[heads]] = np.add.reduceat(model.score(runs)[runs.which], heads, axis=0)
+    found, end = [], 0
+    for n in runs.chunks.tolist():
+        start, end = end, end + n
+        mine = letters[start:end]
+        if not mine.any():
+            found.append(nothing)
+            continue
+        labels = viterbi(values[start:end], penalty)
+        if (labels == labels[0]).all():
+            found.append((languages[int(labels[0])], 1.0, [(languages[int(labels[0])], 0, n)]))
+            continue
+        shares = np.bincount(labels, weights=mine, minlength=len(languages))
+        spans, at = [], 0
         for x, group in groupby(labels.tolist()):
-            n = sum(1 for _ in group)
-            spans.append((languages[x], at, n))
-            at += n
-    return languages[best], float(shares[best] / letters.sum()), spans
-
-
-def fit(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS, seed: int = 11,
-) -> Model:
-    """A model of the languages of docs, from about train_docs whole texts of each (all, if there
-    are fewer). Rows with null lang or text are left out; without any, the model knows no language
-    and labels everything 'und'. Counts are summed by Spark; the driver gets max_grams rows."""
+            k = sum(1 for _ in group)
+            spans.append((languages[x], at, k))
+            at += k
+        best = int(np.argmax(shares))
+        found.append((languages[best], float(shares[best] / mine.sum()), spans))
+    return found
+
+
+def count(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, codes, numbers of occurrences) of n-grams, words and scripts in some texts."""
+    runs = Runs(texts)
+    if not len(runs.first):
+        return []
+    often = np.bincount(runs.which)
+    codes, begin = runs.grams()
+    n = runs.n[runs.unique]
+    grams, which = np.unique(codes, return_inverse=True)
+    letters = np.bincount(runs.scripts(), weights=often * n, minlength=len(NAMES)).astype(np.int64)
+    return [
+        (GRAM, grams.view(np.int64), np.bincount(which, weights=np.repeat(often, n)).astype(np.int64)),
+        (WORD, runs.codes.view(np.int64), often),
+        (SCRIPT, np.flatnonzero(letters), letters[letters > 0]),
+    ]
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, seed: int = 11) -> Model:
+    """A model of all languages of docs, from about train_docs whole texts of each (all, if there are
+    fewer), with all their n-grams. Rows with null lang or text are left out; without any, the model
+    knows no language and labels everything 'und'. Counts are summed by Spark; the driver gets a row
+    for each language and n-gram of the training rows."""
     require(docs, doc_id, text, lang)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # Shares are a literal map, so that no text is shuffled by its language.
-    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    # Numbers and shares are literal maps, so that no text is shuffled by its language.
+    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not sizes:
-        return Model([], [])
+        return Model([], np.zeros((0, 4), np.int64))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], train_docs / r["n"])])
-    drawn = hash_fraction(F.col(doc_id), seed) < F.coalesce(F.try_element_at(share, F.col(lang)), F.lit(0.0))
-    sample = known.where(drawn).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    number = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["lang"], i)])
+    drawn = hash_fraction(F.col(doc_id), seed) < F.element_at(share, F.col(lang))
+    sample = known.where(drawn).select(F.element_at(number, F.col(lang)).alias("_lang"), F.col(text).alias("_text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in Counter(LETTERS.findall(text)).items():
-                    found[lang, f"@{script_of(word)}"] += n * len(word)
-                    for g in grams(word.lower()):
-                        found[lang, g] += n
-            if len(found) > 500_000:
-                yield rows(found)
-                found.clear()
-        yield rows(found)
-
-    def rows(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())],
-            names=["lang", "gram", "n"],
-        )
-
-    counted = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Script rows first (a few a language), then the most frequent; words seen once teach nothing.
-    top = counted.where("n > 1 or gram like '@%'").orderBy(F.col("gram").startswith("@").desc(), F.col("n").desc(), "lang", "gram").limit(max_grams).collect()
-    return Model(
-        [(r["lang"], r["gram"], r["n"]) for r in top if r["gram"][0] != "@"],
-        [(r["lang"], r["gram"][1:], r["n"]) for r in top if r["gram"][0] == "@"],
-    )
-
-
-OUTPUT = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>"
-
-
-def identify(
-    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = SWITCH,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """lang_pred, score (share of the letters that its spans hold) and spans of every row's whole
-    text, with the id and the columns named in keep.
+            texts, langs = batch.column(1), batch.column(0).to_numpy()
+            for i in np.unique(langs):
+                mine = texts.filter(pa.array(langs == i))
+                for a, b in slices(flat(mine)[1]):
+                    for kind, codes, n in count(mine.slice(a, b - a).to_pylist()):
+                        whole = [np.full(len(codes), i, np.int32), np.full(len(codes), kind, np.int32), codes, n]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(whole, KINDS, strict=True)], names=["lang", "kind", "code", "n"])
+        release_worker()
+
+    counted = sample.mapInArrow(run, "lang int, kind int, code long, n long").groupBy("lang", "kind", "code").agg(F.sum("n").alias("n")).toArrow()
+    return Model([r["lang"] for r in sizes], np.stack([counted.column(c).to_numpy().astype(np.int64) for c in ("lang", "kind", "code", "n")], 1))
+
+
+KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+FOUND = "lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>"
+SPAN = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())])
+
+
+def labelled(docs: DataFrame, model: Model, text: str = "text", penalty: float = SWITCH, keep: list[str] | None = None) -> DataFrame:
+    """doc, a struct of the columns of docs (or those in keep), whose names then cannot clash, and the
+    columns of FOUND: language, share of the letters that its spans hold, and spans of every row's
+    whole text.
 
     'und' with score 0 and no spans: null text, text without a letter, or a model without
     languages. A text in scripts that no language is written in gets the language its n-grams fit
-    best, the first by code point if none does. Null ids and repeated rows are rows like others;
-    other columns are not read. Empty input: no rows.
+    best; ties go to the first language by code point. Null ids and repeated rows are rows like
+    others. Empty input: no rows.
     """
-    require(docs, doc_id, text, *keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS rows
+    require(docs, text)
+    release_heaps(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many rows as the training texts have n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = word_scores(shared.value)
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
+        model = shared.value
         for batch in batches:
-            found = [label(t.as_py(), scores, penalty) for t in batch.column(1)]
-            spans = [[dict(zip(("lang", "first", "words"), s, strict=True)) for s in x[2]] for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([x[0] for x in found], pa.string()),
-                    pa.array([x[1] for x in found], pa.float64()),
-                    pa.array(spans, kind),
-                    *(batch.column(i) for i in range(2, batch.num_columns)),
-                ],
-                names=["doc_id", "lang_pred", "score", "spans", *keep],
-            )
-
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), *keep).mapInArrow(run, OUTPUT + kept)
+            for a, b in slices(flat(batch.column(1))[1]):
+                found = label([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], model, penalty)
+                spans = [s for x in found for s in x[2]]
+                parts = [pa.array([s[i] for s in spans], SPAN.field(i).type) for i in range(3)]
+                ends = np.cumsum([0, *(len(x[2]) for x in found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([x[0] for x in found], pa.string()),
+                        pa.array([x[1] for x in found], pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, fields=list(SPAN))),
+                    ],
+                    names=["doc", "lang_pred", "score", "spans"],
+                )
+        release_worker()
+
+    packed = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("doc"), docs[text].alias("text"))
+    return packed.mapInArrow(run, StructType([packed.schema["doc"], *StructType.fromDDL(FOUND).fields]))
+
+
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = SWITCH) -> DataFrame:
+    """doc_id, lang_pred, score, spans of every row, as `labelled` finds them; other columns are not read."""
+    require(docs, doc_id, text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return labelled(rows, model, penalty=penalty, keep=["doc_id"]).select("doc.doc_id", "lang_pred", "score", "spans")
