@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, require
+from .common import ASCII_SPACE, materialise, release_heaps, require
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -57,29 +57,24 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text cleaned, plus n_lines (lines with a word) and n_removed (of those).
-
-    The earliest occurrence of a window (by id, null last, then line) stays, and lines covered by
-    any later one go; lines without a word go only between removed ones. A text of which nothing
-    was removed is unchanged, a null text stays null with zero lines; one of which all lines were
-    removed becomes ''. Rows with the same id and the same text are one document and share its
-    result. Rows with the same id and other texts are ordered by a hash of the text. Columns named
-    n_lines or n_removed are replaced. Empty input: no rows.
-    """
+def _deduped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc (a struct of all columns of docs but the text), text (cleaned), n_lines, n_removed."""
     require(docs, doc_id, text)
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
-    windows = line_windows(docs, doc_id, text).withColumn("_at", _place(F.col("_id"), F.col("_th"), F.col("_s").cast("long")))
+    release_heaps(docs.sparkSession)
+    rest = [docs[c] for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*rest).alias("doc"), docs[doc_id].alias("id"), docs[text].alias("text"))
+    # Written once: 50 bytes a line, read by the count and by the join.
+    windows = line_windows(rows, "id", "text").withColumn("_at", _place(F.col("_id"), F.col("_th"), F.col("_s").cast("long")))
+    windows = materialise(windows, "windows")
     # One row a window and map task reaches the shuffle, however often it occurs; the join below
     # leaves a hot window to AQE, which splits the large side.
     repeated = windows.groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).where("_n > 1")
     later = windows.join(repeated, ["_a", "_b"]).where("_at > _first")
     spans = later.groupBy("_id", "_th").agg(F.collect_set(F.struct("_s", "_e")).alias("_spans"))
-    spans = spans.select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth"), "_spans")
 
-    keyed = docs.withColumn("_th", F.xxhash64(F.col(text)))
-    found = keyed.join(spans, F.col(doc_id).eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
-    found = _with_lines(found, text)
+    keyed = rows.withColumn("_key", F.xxhash64("text"))
+    found = keyed.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    found = _with_lines(found, "text")
     worded = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(HAS_WORD)))
     gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["_s"], s["_e"]))))
     left_over = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
@@ -90,9 +85,31 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = found.withColumns(
         {"n_lines": worded(F.col("_lines")).cast("long"), "_left": F.when(F.col("_kept").isNotNull(), worded(F.col("_kept")))}
     )
-    cleaned = F.when(F.col("_kept").isNull(), F.col(text)).when(F.col("_left") == 0, F.lit("")).otherwise(F.array_join("_kept", "\n"))
-    return found.select(
-        *[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns],
-        "n_lines",
-        F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.col("_left")).cast("long").alias("n_removed"),
-    )
+    cleaned = F.when(F.col("_kept").isNull(), F.col("text")).when(F.col("_left") == 0, F.lit("")).otherwise(F.array_join("_kept", "\n"))
+    removed = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.col("_left")).cast("long")
+    return found.select("doc", cleaned.alias("text"), "n_lines", removed.alias("n_removed"))
+
+
+def _columns(docs: DataFrame, text: str, without: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("text").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns if c not in without]
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the text cleaned, plus n_lines (lines with a word) and n_removed (of those).
+
+    The earliest occurrence of a window (by id, null last, then line) stays, and lines covered by
+    any later one go; lines without a word go only between removed ones. A text of which nothing
+    was removed is unchanged, a null text stays null with zero lines; one of which all lines were
+    removed becomes ''. Rows with the same id and the same text are one document and share its
+    result. Rows with the same id and other texts are ordered by a hash of the text. Columns named
+    n_lines or n_removed are replaced, other names cannot clash. Empty input: no rows.
+    """
+    return _deduped(docs, doc_id, text).select(*_columns(docs, text, ("n_lines", "n_removed")), "n_lines", "n_removed")
+
+
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """docs, with its columns, as dedup_lines cleans it; rows of whose text nothing is left go. n_chars: a
+    column that gets the new length, if docs has it."""
+    kept = _deduped(docs, doc_id, text).where("n_removed = 0 or text != ''")
+    length = F.length("text").cast(docs.schema[n_chars].dataType) if n_chars in docs.columns else None
+    return kept.select(*[length.alias(c) if c == n_chars else x for c, x in zip(docs.columns, _columns(docs, text), strict=True)])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, require
+from .common import WORD_PATTERN, materialise, release_heaps, require
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -67,67 +67,63 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, HEX), 16, 10).cast("long") / F.lit(float(16**HEX))
 
 
-def plan_mix(
-    docs: DataFrame,
-    seed: int = 7,
-    weights: tuple = WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST,
-    salts: int = SALTS,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
+def _planned(
+    docs: DataFrame, keep: list[str], seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST,
+    salts: int = SALTS, doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """One row for each document with size, source_size, target, copies, taken.
-
-    Columns: those of docs, and the five (replaced if docs has such names). Null text or no words:
-    size 0. A null source is a source of its own. Null ids stand first in their bucket, equal rows
-    get their copies in an arbitrary order among themselves, so the multiset of rows is the same in
-    each run. A source without words has target 0 and copies 0. Empty input: no rows.
-    """
+    """doc (a struct of the columns in keep), size, source_size, target, copies, taken of each row."""
     require(docs, doc_id, text, source)
-    added = {"size", "source_size", "target", "copies", "taken"}
-    keep = [c for c in docs.columns if c not in added]
-    docs = docs.select(*keep).withColumn("_size", n_words(F.col(text)))
-    sized = docs.select(F.col(source).alias("source"), F.col("_size").alias("size"))
-    targets = source_targets(sized, weights, share, most).select(
-        F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
-    salt = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, HEX), 16, 10).cast("long"), F.lit(salts))
-    docs = docs.withColumns({"_class": _class(F.col("_size")), "_salt": salt})
-
-    buckets = docs.groupBy(F.col(source).alias("_src"), "_class", "_salt").agg(F.count("*").alias("_n"))
+    release_heaps(docs.sparkSession)
+    size = n_words(docs[text])
+    salt = F.pmod(F.conv(F.substring(F.md5(F.coalesce(docs[doc_id].cast("string"), F.lit("")).cast("binary")), 1, HEX), 16, 10).cast("long"), F.lit(salts))
+    ordered = [docs[source].alias("src"), size.alias("size"), _class(size).alias("class"), salt.alias("salt")]
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), docs[doc_id].alias("id"), *ordered)
+    if text in keep:  # the counts are written, the texts are read again
+        narrow = materialise(docs.select(*ordered), "sizes")
+    else:
+        narrow = rows = materialise(rows, "sizes")
+
+    targets = source_targets(narrow.select(F.col("src").alias("source"), "size"), weights, share, most)
+    buckets = narrow.groupBy("src", "class", "salt").agg(F.count("*").alias("n"))
     # The prefix sums run over bucket counts: at most salts * size classes rows for a source.
-    ahead = Window.partitionBy("_src").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    buckets = buckets.alias("b").join(targets.alias("t"), F.col("b._src").eqNullSafe(F.col("t._src"))).select(
-        "b.*", "_source_size", "_target"
-    )
-    buckets = buckets.select(
-        F.col("_src").alias("_bsrc"), F.col("_class").alias("_bclass"), F.col("_salt").alias("_bsalt"), "_ahead", "_source_size", "_target"
-    )
-    within = Window.partitionBy(source, "_class", "_salt").orderBy(doc_id, "_size")
-    ranked = docs.withColumn("_rank", F.row_number().over(within)).join(
-        buckets,
-        F.col(source).eqNullSafe(F.col("_bsrc")) & (F.col("_class") == F.col("_bclass")) & (F.col("_salt") == F.col("_bsalt")),
+    ahead = Window.partitionBy("src").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    buckets = buckets.join(targets, F.col("src").eqNullSafe(F.col("source"))).select(
+        F.col("src").alias("b_src"), F.col("class").alias("b_class"), F.col("salt").alias("b_salt"), "ahead", "source_size", "target"
     )
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    at = F.col("_ahead") + F.col("_rank")
-    crossed = F.floor(F.col("_offset") + at * F.col("_rate")) - F.floor(F.col("_offset") + (at - 1) * F.col("_rate"))
-    ranked = ranked.withColumns({"_rate": rate, "_offset": offset(F.col(source), seed)})
-    copies = F.least(crossed, F.ceil(F.col("_rate"))).cast("long")
-    return ranked.select(
-        *keep,
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        copies.alias("copies"),
-        (copies * F.col("_size")).alias("taken"),
+    within = Window.partitionBy("src", "class", "salt").orderBy("id", "size")
+    ranked = rows.withColumn("rank", F.row_number().over(within)).join(
+        buckets, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt"))
     )
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    at = F.col("ahead") + F.col("rank")
+    ranked = ranked.withColumns({"rate": rate, "offset": offset(F.col("src"), seed)})
+    crossed = F.floor(F.col("offset") + at * F.col("rate")) - F.floor(F.col("offset") + (at - 1) * F.col("rate"))
+    copies = F.least(crossed, F.ceil(F.col("rate"))).cast("long")
+    return ranked.select("doc", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+#: Columns that plan_mix adds.
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
+def plan_mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """One row for each document with size, source_size, target, copies, taken.
+
+    options: seed, weights, share, most, salts, doc_id, source. Columns: those of docs but the text, and
+    the five (which replace columns of docs with such names). Null text or no words: size 0. A null
+    source is a source of its own. Null ids stand first in their bucket, equal rows get their copies
+    in an arbitrary order among themselves, so the multiset of rows is the same in each run. A source
+    without words has target 0 and copies 0. Empty input: no rows.
+    """
+    keep = [c for c in docs.columns if c != text]
+    planned = _planned(docs, keep, text=text, **options)
+    return planned.select(*[F.col("doc").getField(c).alias(c) for c in keep if c not in ADDED], *ADDED)
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it was taken, with the columns of docs."""
-    planned = plan_mix(docs, **options).where("copies > 0")
+    """The mix itself, planned as by plan_mix: each row of docs as often as it was taken, with all the
+    columns of docs unchanged, whatever their names."""
+    planned = _planned(docs, docs.columns, **options).where("copies > 0")
     repeats = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
-    return planned.select("*", repeats).select(*docs.columns)
+    return planned.select("doc", repeats).select("doc.*")

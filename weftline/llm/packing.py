@@ -2,9 +2,10 @@
 
 A document's ids (its tokens and an end token) are cut into full windows and a rest. The rest goes
 to the fill level for which the sum of the squared counts of partly filled windows over all levels
-becomes least; the counts are an array with one entry a level. Windows still open at the end of a
-task (or beyond max_open, which bounds memory) are cut together into full ones; what is left is cut
-at powers of two, which need no padding.
+becomes least; the counts are an array with one entry a level. Beyond max_open open windows, which
+bounds memory, those of the levels with most windows are cut together into full ones, all others
+stay; so are the windows still open at the end of a task, and what is left is cut at powers of two,
+which need no padding.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import require
+from .common import release_heaps, release_worker, require
 
 WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 2048
-#: Words whose ids a Python worker remembers (about 250 bytes each).
-CACHE = 900_000
+#: Bytes of word ids that a task remembers; those of an entry besides its word and ids.
+CACHE, ENTRY = 64 << 20, 180
 
 OUTPUT = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, ids binary"
@@ -57,6 +58,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
+        self.bytes = 0
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
         self.letters = byte_letters()
         self.fast = all(self.cut(w) == self.plain(w) for w in PROBES.split())
@@ -75,17 +77,22 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         ids = self.cut(text) if getattr(self, "fast", True) else self.plain(text)
-        # The last half of the places is for single runs: the rest can be put together from them.
-        if len(self) < (CACHE if text.islower() and text.isalpha() else CACHE // 2) and len(word) <= 64:
+        # The last half of the room is for single runs: the rest can be put together from them.
+        if self.bytes < (CACHE if text.islower() and text.isalpha() else CACHE // 2) and len(word) <= 64:
             self[word] = ids
+            self.bytes += ENTRY + len(word) + len(ids)
         return ids
 
 
 @lru_cache(1)
-def word_ids(path: str) -> WordIds:
+def tokenizer_of(path: str):
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(path))
+    return Tokenizer.from_file(path)
+
+
+def word_ids(path: str) -> WordIds:
+    return WordIds(tokenizer_of(path))
 
 
 class Levels:
@@ -122,10 +129,18 @@ class Levels:
         self.open += 1
         self.windows[level].append(window)
 
-    def drain(self) -> list:
-        """Open windows, fullest first; none is left."""
-        out = [w for level in range(self.window, 0, -1) for w in self.windows[level]]
-        self.__init__(self.window)
+    def drain(self, some: int) -> list:
+        """At least `some` open windows, fullest first, of the levels with most of them; they are closed."""
+        levels, found = [], 0
+        for level in np.argsort(-self.counts, kind="stable").tolist():
+            if found >= some or not self.counts[level]:
+                break
+            levels.append(level)
+            found += int(self.counts[level])
+        out = [w for level in sorted(levels, reverse=True) for w in self.windows[level]]
+        for level in levels:
+            self.counts[level], self.windows[level] = 0, []
+        self.open -= found
         return out
 
 
@@ -163,11 +178,11 @@ class Packer:
                 self.flush(False)
 
     def flush(self, last: bool) -> None:
-        """Cut all open windows together into full ones. The last, partial one is closed in powers
-        of two if `last`, else stays open."""
+        """Cut open windows together into full ones: all if `last`, and the partial one that is left is
+        closed in powers of two; else half of max_open, and it stays open."""
         current: list[tuple] = []
         room = self.window
-        for doc, start, ids, total in (p for w in self.levels.drain() for p in w):
+        for doc, start, ids, total in (p for w in self.levels.drain(self.levels.open if last else self.max_open // 2 + 1) for p in w):
             while ids:
                 part, ids = ids[: 4 * room], ids[4 * room :]
                 n = len(part) // 4
@@ -212,6 +227,7 @@ def pack_documents(
     input: no rows. tokenizer_path: a `tokenizers` file whose pre-tokeniser splits at white space.
     """
     require(docs, doc_id, text)
+    release_heaps(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
     names = [x.split()[0].strip("`") for x in OUTPUT.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.binary()]
@@ -236,5 +252,7 @@ def pack_documents(
                     yield out()
         packer.flush(True)
         yield out()
+        known.clear()
+        release_worker()
 
     return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, OUTPUT)
