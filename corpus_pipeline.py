@@ -18,32 +18,38 @@ MIN_LANGUAGE_SHARE = 0.5
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
+# All stages: rows with null or repeated ids are documents like others, columns of any name come through
+# as they are, an empty table gives an empty one.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; what lang says of a document is not asked."""
-    model = lang_id.fit(docs.where(fold(F.col("doc_id")) != 0))
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = lang_id.identify(docs.select("doc_id", "text", *rest), model, keep=("text", *rest))
-    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
+    """Documents with a language; what lang says of a document is not asked. Null texts, empty ones and
+    those without a letter have none and go; repeated rows go or stay together."""
+    model = lang_id.fit(docs.where(fold(docs["doc_id"]) != 0))
+    found = lang_id.labelled(docs, model)
+    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select("doc.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur before; documents of which nothing is left go."""
-    cleaned = line_dedup.dedup_lines(docs).where("n_removed = 0 or text != ''")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the passages that occur before, n_chars with their new lengths; documents of which
+    nothing is left go, null and empty texts stay. The smallest id keeps a passage (null is last)."""
+    return line_dedup.drop_repeated_lines(docs, n_chars="n_chars")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: four fifths of the five-word shingles of two are common."""
+    """One document of each group of near copies, that of the smallest id: four fifths of the five-word
+    shingles of two are common. Texts without words, null ones too, are no copies and stay."""
     return jaccard_join.drop_near_copies(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their weights; a document may come twice or not at all."""
+    """Sources in proportion to their weights; a document may come twice or not at all. Null is a source
+    like others, null texts count no words."""
     return mixing.mix_sources(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences; a null or empty text is its end token alone."""
     return queries.packed(docs)
 
 
