@@ -48,12 +48,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Files a core that a narrow table is written to at most.
+FILES = 4
+
+
+def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs only the tasks that it ran."""
+    executor costs only the tasks that it ran. narrow: some numbers a document or less; such a table
+    is written to FILES files a core at most, not to as many as the shuffle has partitions."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,14 +16,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     and loops are left out; no edges: no rows.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a != b")
-    both = materialise(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    both = materialise(pairs.union(pairs.select("b", "a")).distinct(), "edges", narrow=True)
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels", narrow=True)
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         lower = labels.join(near, "node", "left").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("_low"))
         jump = labels.select(F.col("node").alias("_low"), F.col("label").alias("_far"))
         after = materialise(
-            lower.join(jump, "_low", "left").select("node", F.least("_low", "_far").alias("label"), "_old"), "labels"
+            lower.join(jump, "_low", "left").select("node", F.least("_low", "_far").alias("label"), "_old"), "labels", narrow=True
         )
         changed = after.where("label != _old").limit(1).count()
         labels = after.select("node", "label")

@@ -205,7 +205,7 @@ def _meetings(sets: DataFrame, percent: int) -> DataFrame:
     # only an order), and their rows are dealt out by salt.
     seen = sets.where(f"key is not null and pmod(key, {SAMPLE}) = 0").groupBy("key").agg(F.first("heavy").alias("heavy"))
     seen = seen.select(F.explode("heavy").alias("token")).groupBy("token").agg(F.count("*").alias("seen")).where(f"seen >= {HOT_SEEN}")
-    hot = materialise(seen, "hot")
+    hot = materialise(seen, "hot", narrow=True)
     marked = tokens.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "token", "left")
     salt = F.when(F.col("seen").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.lit(STAR_SALTS)) + 1)
     count = F.count("*").over(Window.partitionBy("token", "salt"))
@@ -267,7 +267,7 @@ def _chunked(meetings: DataFrame, blocks: DataFrame) -> DataFrame:
     """key, block, chunk: the classes of a block in chunks of about CHUNK. Classes with the same least
     token, which similar sets mostly share, are in one chunk, or in some of their own if they are many."""
     lead = meetings.groupBy("key").agg(F.min("token").alias("lead"))
-    members = materialise(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")).join(lead, "key"), "members")
+    members = materialise(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")).join(lead, "key"), "members", narrow=True)
     sizes = members.groupBy("block").agg(F.count("*").alias("size"))
     leads = members.groupBy("block", "lead").agg(F.count("*").alias("led"))
     sized = members.join(leads, ["block", "lead"]).join(sizes, "block")
@@ -279,11 +279,12 @@ def _chunked(meetings: DataFrame, blocks: DataFrame) -> DataFrame:
 def _chunk_pairs(meetings: DataFrame, chunked: DataFrame) -> DataFrame:
     """block, i, j (i <= j): the chunks that have to be compared: those with a token in common, found by
     scanning each token's list of chunks; and every chunk with itself."""
-    chunks = materialise(chunked.groupBy("block", "chunk").agg(F.count("*").alias("members")), "chunks")
+    chunks = materialise(chunked.groupBy("block", "chunk").agg(F.count("*").alias("members")), "chunks", narrow=True)
     alone = chunks.select("block", F.col("chunk").alias("i"), F.col("chunk").alias("j"))
     many = chunks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     # Equal lists (in a group of near copies most tokens are in all chunks) are scanned once.
-    lists = meetings.join(chunked, "key").join(many, "block").select("block", "token", "chunk", "n").distinct()
+    wide = materialise(chunked.join(many, "block"), "wide", narrow=True)
+    lists = meetings.join(wide, "key").select("block", "token", "chunk", "n").distinct()
     lists = lists.groupBy("block", "token").agg(F.sort_array(F.collect_list("chunk")).alias("c"), F.first("n").alias("n")).where("size(c) > 1")
     lists = lists.select("block", "c", (F.size("c") == F.col("n")).alias("all")).distinct()
     whole = lists.where("all").select("block").distinct()
@@ -343,19 +344,20 @@ def _classes(texts: DataFrame, percent: int, size: int, list_cost: float) -> tup
     sets = materialise(_sets(texts, percent, size, light), "sets")
 
     meetings = materialise(_meetings(sets, percent), "meetings")
-    blocks = materialise(connected_components(_stars(meetings)), "blocks")
+    blocks = materialise(connected_components(_stars(meetings)), "blocks", narrow=True)
 
     # The text of one document of each class that is in a block, fetched by id; the set's key,
     # computed again, tells rows with the same id (or none) apart.
-    chunked = materialise(_chunked(meetings, blocks), "chunked")
-    pairs = materialise(_chunk_pairs(meetings, chunked), "pairs")
+    chunked = materialise(_chunked(meetings, blocks), "chunked", narrow=True)
+    pairs = materialise(_chunk_pairs(meetings, chunked), "pairs", narrow=True)
     rep = F.coalesce(F.min("did").cast("string"), F.lit("none"))
     classes = sets.where("key is not null").groupBy("key").agg(rep.alias("rep"), F.count("*").alias("copies"))
-    chosen = materialise(chunked.join(classes, "key"), "chosen")
+    chosen = materialise(chunked.join(classes, "key"), "chosen", narrow=True)
     wanted = chosen.select("rep").distinct()
     if chosen.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     fetched = texts.withColumn("rep", F.coalesce(F.col("did").cast("string"), F.lit("none"))).join(wanted, "rep", "left_semi")
+    release_heaps(texts.sparkSession)
     members = chosen.join(_keyed(fetched, size).dropDuplicates(["rep", "key"]), ["rep", "key"])
     verified = materialise(_verified(members, pairs, percent, size), "verified")
 
@@ -363,7 +365,7 @@ def _classes(texts: DataFrame, percent: int, size: int, list_cost: float) -> tup
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     ids = sets.where("key is not null").groupBy("key").agg(F.min("did").alias("first"), F.count("*").alias("copies"))
     ids = ids.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")).join(links, "key", "left")
-    return sets, materialise(ids, "classes")
+    return sets, materialise(ids, "classes", narrow=True)
 
 
 def _keyed(texts: DataFrame, size: int) -> DataFrame:
