@@ -1,4 +1,4 @@
-"""Queries named _whole against the SQL of the shorter name without its cut, on a small fixture."""
+"""Queries over whole tables against their SQL, on a small fixture."""
 
 import duckdb
 import pytest
@@ -7,21 +7,10 @@ from weftline.catalog import ORACLE_SQL, QUERIES
 from weftline.operators import vector
 
 DATA = "/root/testdata/sf0.001"
-EIGHTH = [(" and (src + dst) % 8 = 0", ""), (" where (src + dst) % 8 = 0", "")]
-GRAPH = ["graph_orphans", "graph_layers", "graph_depth_histogram", "graph_topological", "graph_test_impact", "graph_shortest_cycle", "graph_local_delta"]
-CUTS = dict.fromkeys(GRAPH, EIGHTH) | {"vec_similar": [("b.vec_id < 10", "b.vec_id % 50 = 0")]}
-CUTS |= {
-    "resolve_cascade": [(" where l_orderkey % 10 = 0", "")],
-    "interval_overlap": [(" where p_partkey % 40 = 0", "")],
-    "stab_narrowest": [(" where p_brand like '%1'", "")],
-    "stab_first": [(" where p_brand like '%1'", "")],
-    "dependency_providers": [(" where o_orderkey % 50 = 0", ""), (" and s_suppkey % 7 = 0", "")],
-    "attribution": [(" where c_custkey % 10 = 0", "")],
-    "delta_resolve": [(" where l_orderkey % 100 = 0", "")],
-    "graph_vulnerability": [(" and event_id % 97 = 0", "")],
-    "tree_rollup": [(" where p_partkey < 20", "")],
-    "symbol_detail": [(" where src < 6", ""), (" where dst < 6", ""), (" where p_partkey < 6", "")],
-}
+NAMES = [
+    "graph_orphans", "graph_layers", "graph_depth_histogram", "graph_topological", "graph_test_impact", "graph_shortest_cycle", "graph_local_delta", "vec_similar", "resolve_cascade",
+    "interval_overlap", "stab_narrowest", "stab_first", "dependency_providers", "attribution", "delta_resolve", "graph_vulnerability", "tree_rollup", "symbol_detail", "suffix_match",
+]
 FIXTURE = {
     "lineitem": "select * replace (l_partkey % 50 as l_partkey) from t where l_orderkey < 150",
     "part": "select * from t where p_partkey < 60",
@@ -43,18 +32,14 @@ def fetched(con, sql):
     return [c[0] for c in result.description], sorted((tuple(r) for r in result.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", CUTS)
+@pytest.mark.parametrize("name", NAMES)
 def test_whole(spark, small, name):
     con, folder = small
-    sql = ORACLE_SQL[name]
-    for cut, instead in CUTS[name]:
-        sql = sql.replace(cut, instead)
-    assert sql != ORACLE_SQL[name]
-    columns, want = fetched(con, sql)
-    found = QUERIES[f"{name}_whole"](spark, folder)
-    assert sorted(found.columns) == sorted(columns) and f"{name}_whole" not in ORACLE_SQL
+    columns, want = fetched(con, ORACLE_SQL[name])
+    found = QUERIES[name](spark, folder)
+    assert sorted(found.columns) == sorted(columns)
     assert sorted((tuple(x[c] for c in columns) for x in found.collect()), key=str) == want
-    assert want and (name == "graph_shortest_cycle" or want != fetched(con, ORACLE_SQL[name])[1])
+    assert want or name == "graph_orphans"
 
 
 def test_blocks_of_queries(spark, small, monkeypatch):

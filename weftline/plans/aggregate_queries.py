@@ -66,23 +66,6 @@ def test_ratio(spark, sf):
     return rows.groupBy(F.col("p_brand").alias("module")).agg(F.count("*").alias("entities"), n.alias("tested"), (n > 0).alias("has_tests"), ratio(n, F.count("*")).alias("ratio"))
 
 
-@query("test_relations", """with t as (select p_partkey as test, p_type as name, p_brand as m, p_size as s from part where p_partkey % 20 = 0),
-    f as (select p_partkey as fn, p_type as name, p_brand as m, p_size as s from part where p_partkey % 20 = 1),
-    every as (select test, fn, 1 as rank, 'direct_call' as method from t join f on t.m = f.m and t.s = f.s
-        union all select test, fn, 2, 'name_convention' from t join f on t.m = f.m and t.name = f.name union all select test, fn, 3, 'indirect' from t join f on t.s = f.s)
-    select test, fn, arg_min(method, rank) as method from every group by all""")
-def test_relations(spark, sf):
-    part = read(spark, sf, "part")
-    t = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("test"), F.col("p_type").alias("name"), F.col("p_brand").alias("m"), F.col("p_size").alias("s"))
-    f = part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("fn"), F.col("p_type").alias("name"), F.col("p_brand").alias("m"), F.col("p_size").alias("s"))
-    ways = [(["m", "s"], 1, "direct_call"), (["m", "name"], 2, "name_convention"), (["s"], 3, "indirect")]
-    every = None
-    for keys, rank, method in ways:
-        one = t.join(f.select("fn", *keys), keys).select("test", "fn", F.lit(rank).alias("rank"), F.lit(method).alias("method"))
-        every = one if every is None else every.unionByName(one)
-    return every.groupBy("test", "fn").agg(F.min_by("method", "rank").alias("method"))
-
-
 @query("test_stability", f"""with t as (select user_id, case when event_type = 'error' then 'failed' else 'passed' end as status, value, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events)
     select user_id, count(*) as n, count_if(status = 'passed') as passed, {RATIO.format("count_if(status = 'passed')", 'count(*)', 4)} as pass_rate, round(avg(value), 3) as avg_ms from t where n <= 50 group by user_id""")
 def stability(spark, sf):
@@ -302,13 +285,8 @@ def file_levels(spark, sf):
 
 
 @query("dependency_providers", f"""with d as (select l_orderkey, l_partkey from lineitem where l_orderkey % 50 = 0), p as (select s_nationkey, s_suppkey from supplier)
-    select o_orderkey, count(s_suppkey) as providers, case when count(s_suppkey) = 1 then min(s_suppkey) end as chosen from orders join customer on c_custkey = o_custkey left join supplier on s_nationkey = c_nationkey and s_suppkey % 7 = 0 where o_orderkey % 50 = 0 group by o_orderkey""")
+    select o_orderkey, count(s_suppkey) as providers, case when count(s_suppkey) = 1 then min(s_suppkey) end as chosen from orders join customer on c_custkey = o_custkey left join supplier on s_nationkey = c_nationkey group by o_orderkey""")
 def providers(spark, sf):
-    return _providers(spark, sf, read(spark, sf, "orders").where("o_orderkey % 50 = 0"), read(spark, sf, "supplier").where("s_suppkey % 7 = 0"))
-
-
-@query("dependency_providers_whole")  # _whole, here and below: without SQL, all rows where that of the shorter name takes a part
-def providers_whole(spark, sf):
     return _providers(spark, sf, read(spark, sf, "orders"), read(spark, sf, "supplier"))
 
 
@@ -319,13 +297,8 @@ def _providers(spark, sf, orders, suppliers):
     return o.join(s, "c_nationkey", "left").groupBy("o_orderkey").agg(n.alias("providers"), F.when(n == 1, F.min("s_suppkey")).alias("chosen"))
 
 
-@query("attribution", """select c_custkey, count(distinct o_orderkey) as commits, count(*) as changes, count(distinct l_partkey) as symbols from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where c_custkey % 10 = 0 group by 1""")
+@query("attribution", """select c_custkey, count(distinct o_orderkey) as commits, count(*) as changes, count(distinct l_partkey) as symbols from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by 1""")
 def attribution(spark, sf):
-    return _attribution(spark, sf, read(spark, sf, "orders").where("o_custkey % 10 = 0"))
-
-
-@query("attribution_whole")
-def attribution_whole(spark, sf):
     return _attribution(spark, sf, read(spark, sf, "orders"))
 
 

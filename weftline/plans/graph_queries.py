@@ -22,10 +22,6 @@ def query(name: str, sql: str | None = None):
 
 STEPS = f"with recursive {EDGES}, steps as (select distinct src, dst from edges where src <> dst)"
 
-# Queries named _whole have no SQL: they take all calls or rows where the SQL of the shorter name,
-# which that query has to match, takes a part.
-
-
 def _one(spark, key, extra=0):
     return spark.createDataFrame([(extra, key)], "source long, node long")
 
@@ -65,13 +61,8 @@ def fan(spark, sf):
     return d.select("node", "fan_in", "fan_out", "total").orderBy(F.desc("total"), "node").limit(30)
 
 
-@query("graph_orphans", f"with {EDGES} select p_partkey as id from part where p_partkey not in (select dst from edges where (src + dst) % 8 = 0)")
+@query("graph_orphans", f"with {EDGES} select p_partkey as id from part where p_partkey not in (select dst from edges)")
 def orphans(spark, sf):
-    return g.orphans(entities(spark, sf).select("id"), edges(spark, sf).where("(src + dst) % 8 = 0"))
-
-
-@query("graph_orphans_whole")
-def orphans_whole(spark, sf):
     return g.orphans(entities(spark, sf).select("id"), edges(spark, sf))
 
 
@@ -89,10 +80,10 @@ def bfs_up(spark, sf):
     return g.reach(edges(spark, sf), _one(spark, 1), 2, up=True).select("node", "depth")
 
 
-@query("graph_blast_multi", _reach_sql("dst", "src", 2, "select p_partkey, p_partkey, 0 from part where p_partkey % 100 = 0")
+@query("graph_blast_multi", _reach_sql("dst", "src", 2, "select p_partkey, p_partkey, 0 from part")
        + " select source, depth, count(*) as n from (select source, node, min(depth)::int as depth from walk group by source, node) group by source, depth")
 def blast_multi(spark, sf):
-    seeds = read(spark, sf, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("node"))
+    seeds = read(spark, sf, "part").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("node"))
     return g.reach(edges(spark, sf), seeds, 2, up=True).groupBy("source", "depth").agg(F.count("*").alias("n"))
 
 
@@ -105,14 +96,9 @@ def frontier(spark, sf):
     return g.frontier(edges(spark, sf), spark.createDataFrame([(1,), (2,)], "id long"), 2)
 
 
-@query("graph_vulnerability", _reach_sql("dst", "src", 2, "select event_id, event_id % (select count(*) from part), 0 from events where event_type = 'error' and event_id % 97 = 0")
+@query("graph_vulnerability", _reach_sql("dst", "src", 2, "select event_id, event_id % (select count(*) from part), 0 from events where event_type = 'error'")
        + " select node, count(distinct source) as n_findings from walk group by node having count(distinct source) >= 2 order by n_findings desc, node limit 20")
 def vulnerability(spark, sf):
-    return _vulnerability(spark, sf, read(spark, sf, "events").where("event_type = 'error' and event_id % 97 = 0"))
-
-
-@query("graph_vulnerability_whole")
-def vulnerability_whole(spark, sf):
     return _vulnerability(spark, sf, read(spark, sf, "events").where("event_type = 'error'"))
 
 
@@ -122,14 +108,9 @@ def _vulnerability(spark, sf, events):
     return g.vulnerability(edges(spark, sf), found, 2)
 
 
-@query("graph_test_impact", _reach_sql("dst", "src", 60, "select 0, p_partkey, 0 from part where p_partkey % 50 = 49", "dag").replace("walk(source", "dag as (select * from steps where src < dst and (src + dst) % 8 = 0), walk(source")
+@query("graph_test_impact", _reach_sql("dst", "src", 60, "select 0, p_partkey, 0 from part where p_partkey % 50 = 49", "dag").replace("walk(source", "dag as (select * from steps where src < dst), walk(source")
        + " select distinct node, p_name as name from walk join part on p_partkey = node where node % 2 = 1 and node % 50 <> 49")
 def test_impact(spark, sf):
-    return _test_impact(spark, sf, edges(spark, sf).where("src < dst and (src + dst) % 8 = 0"))
-
-
-@query("graph_test_impact_whole")
-def test_impact_whole(spark, sf):
     return _test_impact(spark, sf, edges(spark, sf).where("src < dst"))
 
 
@@ -148,13 +129,13 @@ def clone_impact(spark, sf):
     return g.reach(edges(spark, sf), seeds, 1, up=True).select("node", "depth")
 
 
-LAYER_EDGES = "dag as (select distinct src, dst from edges where src < dst and (src + dst) % 8 = 0)"
+LAYER_EDGES = "dag as (select distinct src, dst from edges where src < dst)"
 
 
 @query("graph_layers", f"""with recursive {EDGES}, {LAYER_EDGES}, walk(node, layer) as (select p_partkey, 0 from part
     union select d.src, w.layer + 1 from walk w join dag d on d.dst = w.node) select node, max(layer)::int as layer from walk group by node""")
 def layers(spark, sf):
-    return g.layers(entities(spark, sf).select("id"), edges(spark, sf).where("src < dst and (src + dst) % 8 = 0"))
+    return g.layers(entities(spark, sf).select("id"), edges(spark, sf).where("src < dst"))
 
 
 @query("graph_depth_histogram", f"""with recursive {EDGES}, {LAYER_EDGES}, walk(node, layer) as (select p_partkey, 0 from part
@@ -171,21 +152,6 @@ def topological(spark, sf):
     return layers(spark, sf).orderBy(F.desc("layer"), "node").limit(100)
 
 
-@query("graph_layers_whole")
-def layers_whole(spark, sf):
-    return g.layers(entities(spark, sf).select("id"), edges(spark, sf).where("src < dst"))
-
-
-@query("graph_depth_histogram_whole")
-def depth_histogram_whole(spark, sf):
-    return layers_whole(spark, sf).groupBy("layer").agg(F.count("*").alias("n"))
-
-
-@query("graph_topological_whole")
-def topological_whole(spark, sf):
-    return layers_whole(spark, sf).orderBy(F.desc("layer"), "node").limit(100)
-
-
 @query("graph_cycles", f"""with {EDGES}, s as (select distinct src, dst from edges where src <> dst)
     select [a.src, a.dst] as cycle from s a join s b on a.dst = b.src and b.dst = a.src where a.src < a.dst
     union all select [a.src, a.dst, b.dst] from s a join s b on a.dst = b.src join s c on c.src = b.dst and c.dst = a.src
@@ -194,15 +160,10 @@ def cycles(spark, sf):
     return g.cycles(edges(spark, sf), 3)
 
 
-@query("graph_shortest_cycle", f"""with {EDGES}, s as (select distinct src, dst from edges where src <> dst and (src + dst) % 8 = 0)
+@query("graph_shortest_cycle", f"""with {EDGES}, s as (select distinct src, dst from edges where src <> dst)
     select case when exists (select 1 from s a join s b on a.dst = b.src and b.dst = a.src) then 2
     when exists (select 1 from s a join s b on a.dst = b.src join s c on b.dst = c.src and c.dst = a.src) then 3 else 4 end as length""")
 def shortest_cycle(spark, sf):
-    return g.shortest_cycle(edges(spark, sf).where("src <> dst and (src + dst) % 8 = 0"))
-
-
-@query("graph_shortest_cycle_whole")
-def shortest_cycle_whole(spark, sf):
     return g.shortest_cycle(edges(spark, sf).where("src <> dst"))
 
 
@@ -264,14 +225,9 @@ def tree(spark, sf):
 
 
 @query("tree_rollup", """with recursive n as (select p_partkey as child, p_partkey // 3 as parent, p_size from part where p_partkey > 0),
-    t(ancestor, node) as (select p_partkey, p_partkey from part where p_partkey < 20 union all select ancestor, child from t join n on parent = node)
+    t(ancestor, node) as (select p_partkey, p_partkey from part union all select ancestor, child from t join n on parent = node)
     select ancestor, count(*) as total, count_if(p_size >= 25) as done, round(count_if(p_size >= 25)::double / count(*), 4) as progress from t join part on p_partkey = node group by ancestor""")
 def tree_rollup(spark, sf):
-    return _tree_rollup(spark, sf, "p_partkey < 20")
-
-
-@query("tree_rollup_whole")
-def tree_rollup_whole(spark, sf):
     return _tree_rollup(spark, sf, "true")
 
 
@@ -283,17 +239,12 @@ def _tree_rollup(spark, sf, roots):
     return pairs.join(part, F.col("node") == F.col("p_partkey")).groupBy("ancestor").agg(F.count("*").alias("total"), done.alias("done"), g.ratio(done, F.count("*")).alias("progress"))
 
 
-@query("symbol_detail", f"""with {EDGES}, o as (select src as id, array_to_string(list_sort(list_distinct(list(dst))), ',') as calls_out from edges where src < 6 group by src),
-    i as (select dst as id, array_to_string(list_sort(list_distinct(list(src))), ',') as calls_in from edges where dst < 6 group by dst),
+@query("symbol_detail", f"""with {EDGES}, o as (select src as id, array_to_string(list_sort(list_distinct(list(dst))), ',') as calls_out from edges group by src),
+    i as (select dst as id, array_to_string(list_sort(list_distinct(list(src))), ',') as calls_in from edges group by dst),
     f as (select user_id % 6 as id, count(*) as n_findings from events where event_type = 'error' and value >= 33 group by 1)
     select p_partkey as id, p_name as name, coalesce(calls_out, '') as calls_out, coalesce(calls_in, '') as calls_in, coalesce(n_findings, 0) as n_findings
-    from part left join o on o.id = p_partkey left join i on i.id = p_partkey left join f on f.id = p_partkey where p_partkey < 6""")
+    from part left join o on o.id = p_partkey left join i on i.id = p_partkey left join f on f.id = p_partkey""")
 def symbol_detail(spark, sf):
-    return _symbol_detail(spark, sf, "id < 6")
-
-
-@query("symbol_detail_whole")
-def symbol_detail_whole(spark, sf):
     return _symbol_detail(spark, sf, "true")
 
 
@@ -323,17 +274,12 @@ def context_edges(spark, sf):
     return e.groupBy("context").agg(F.count("*").alias("edges"), ok.alias("resolved"), g.ratio(ok, F.count("*")).alias("rate"))
 
 
-@query("graph_local_delta", f"""with recursive {EDGES}, a as (select distinct src, dst from edges where src < dst and (src + dst) % 8 = 0), b as (select * from a where src % 3 <> 0),
+@query("graph_local_delta", f"""with recursive {EDGES}, a as (select distinct src, dst from edges where src < dst), b as (select * from a where src % 3 <> 0),
     wa(node, layer) as (select p_partkey, 0 from part union select a.src, wa.layer + 1 from wa join a on a.dst = wa.node),
     wb(node, layer) as (select p_partkey, 0 from part union select b.src, wb.layer + 1 from wb join b on b.dst = wb.node),
     la as (select node, max(layer)::int as old_layer from wa group by node), lb as (select node, max(layer)::int as new_layer from wb group by node)
     select node, old_layer, new_layer from la join lb using (node) where old_layer <> new_layer""")
 def local_delta(spark, sf):
-    return _local_delta(spark, sf, edges(spark, sf).where("src < dst and (src + dst) % 8 = 0"))
-
-
-@query("graph_local_delta_whole")
-def local_delta_whole(spark, sf):
     return _local_delta(spark, sf, edges(spark, sf).where("src < dst"))
 
 

@@ -24,13 +24,13 @@ def _intervals(spark, sf):
     return entities(spark, sf).select("module", "id", "start_line", "end_line")
 
 
-def _points(spark, sf, like="%1"):
+def _points(spark, sf):
     e = read(spark, sf, "lineitem").select((F.col("l_partkey") + 3).alias("line")).distinct()
-    modules = read(spark, sf, "part").select(F.col("p_brand").alias("module")).distinct().where(F.col("module").like(like))
+    modules = read(spark, sf, "part").select(F.col("p_brand").alias("module")).distinct()
     return e.crossJoin(F.broadcast(modules))  # brands: a handful
 
 
-POINTS = "points as (select distinct l_partkey + 3 as line, module from lineitem, (select distinct p_brand as module from part where p_brand like '%1'))"
+POINTS = "points as (select distinct l_partkey + 3 as line, module from lineitem, (select distinct p_brand as module from part))"
 
 
 @query("stab_narrowest", f"with {ENTITIES}, {POINTS} select module, line, arg_min(id, [end_line - start_line, start_line, id]) as id from points join entities using (module) where line between start_line and end_line group by module, line")
@@ -38,29 +38,14 @@ def stab(spark, sf):
     return j.stab_narrowest(_points(spark, sf), _intervals(spark, sf), ["module"])
 
 
-@query("stab_narrowest_whole")  # _whole, here and below: without SQL, all rows where that of the shorter name takes a part
-def stab_whole(spark, sf):
-    return j.stab_narrowest(_points(spark, sf, "%"), _intervals(spark, sf), ["module"])
-
-
 @query("stab_first", f"with {ENTITIES}, {POINTS} select module, line, arg_min(id, [start_line, id]) as id from points join entities using (module) where line between start_line and end_line group by module, line")
 def first(spark, sf):
     return j.stab_first(_points(spark, sf), _intervals(spark, sf), ["module"])
 
 
-@query("stab_first_whole")
-def first_whole(spark, sf):
-    return j.stab_first(_points(spark, sf, "%"), _intervals(spark, sf), ["module"])
-
-
-@query("interval_overlap", f"""with {ENTITIES}, hunks as (select p_brand as module, p_partkey as hunk, p_partkey as from_line, p_partkey + 7 as to_line from part where p_partkey % 40 = 0)
+@query("interval_overlap", f"""with {ENTITIES}, hunks as (select p_brand as module, p_partkey as hunk, p_partkey as from_line, p_partkey + 7 as to_line from part)
     select module, hunk, id from hunks join entities using (module) where start_line <= to_line and end_line >= from_line""")
 def overlap(spark, sf):
-    return _overlap(spark, sf, read(spark, sf, "part").where("p_partkey % 40 = 0"))
-
-
-@query("interval_overlap_whole")
-def overlap_whole(spark, sf):
     return _overlap(spark, sf, read(spark, sf, "part"))
 
 
@@ -79,7 +64,7 @@ def lookahead(spark, sf):
 
 
 @query("resolve_cascade", f"""with {ENTITIES}, calls as (select l_orderkey, l_linenumber, p_brand as module, 'Brand' || (l_suppkey % 3)::varchar || '::' || l_partkey::varchar as q,
-        (select min(p_name) from part) as shared, p_name as name, p_type as kind from lineitem join part on p_partkey = (l_partkey + l_suppkey) % 50 where l_orderkey % 10 = 0),
+        (select min(p_name) from part) as shared, p_name as name, p_type as kind from lineitem join part on p_partkey = (l_partkey + l_suppkey) % 50),
     s1 as (select module, name, min(id) as id from entities where id % 2 = 0 group by all having count(*) = 1),
     s2 as (select name, min(id) as id from entities where id % 3 = 0 group by name having count(*) = 1),
     s3 as (select module, kind, min(id) as id from entities where id % 5 = 0 group by all)
@@ -87,11 +72,6 @@ def lookahead(spark, sf):
         when s3.id is not null then 'same_file' else 'unresolved' end as method
     from calls c left join s1 on s1.module = c.module and s1.name = c.name left join s2 on s2.name = c.name left join s3 on s3.module = c.module and s3.kind = c.kind""")
 def cascade(spark, sf):
-    return _cascade(spark, sf, read(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-@query("resolve_cascade_whole")
-def cascade_whole(spark, sf):
     return _cascade(spark, sf, read(spark, sf, "lineitem"))
 
 
@@ -111,13 +91,13 @@ def _cascade(spark, sf, lines):
 
 
 @query("suffix_match", """with f as (select p_partkey as id, 'src/' || p_brand || '/' || p_type || '/' || p_partkey::varchar as file from part),
-    p as (select case when p_partkey % 2 = 0 then p_type || '/' || p_partkey::varchar else 'root/src/' || p_brand || '/' || p_type || '/' || p_partkey::varchar end as path from part where p_partkey % 3 = 0)
+    p as (select case when p_partkey % 2 = 0 then p_type || '/' || p_partkey::varchar else 'root/src/' || p_brand || '/' || p_type || '/' || p_partkey::varchar end as path from part)
     select path, min(id) as id from p join f on ends_with('/' || path, '/' || file) or ends_with('/' || file, '/' || path) group by path""")
 def suffix(spark, sf):
     part = read(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     files = part.select(F.col("p_partkey").alias("id"), F.concat_ws("/", F.lit("src"), "p_brand", "p_type", key).alias("file"))
-    paths = part.where("p_partkey % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("/", "p_type", key)).otherwise(F.concat_ws("/", F.lit("root/src"), "p_brand", "p_type", key)).alias("path"))
+    paths = part.select(F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("/", "p_type", key)).otherwise(F.concat_ws("/", F.lit("root/src"), "p_brand", "p_type", key)).alias("path"))
     return j.suffix_match(paths, files)
 
 

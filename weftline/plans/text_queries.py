@@ -10,9 +10,6 @@ from ..operators import vector as v
 from .adapters import read
 
 QUERIES, SQL = {}, {}
-RULES = [("junk", "WARNING", r"[#$%&]{3}"), ("shout", "INFO", r"[A-Z]{4,}!!"), ("token", "ERROR", r"token = "), ("digits", "WARNING", r"\b[0-9]{16}\b")]
-
-
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -27,32 +24,58 @@ def docs(spark, sf):
     return read(spark, sf, "documents")
 
 
-def _count(pattern):
-    return f"len(regexp_extract_all(text, '{pattern}'))"
+#: The languages of the test documents stand for programming languages.
+AS_CODE = {"en": "python", "fr": "java", "de": "typescript", "es": "go"}
+CODE_SQL = "(select doc_id, text, case lang when 'en' then 'python' when 'fr' then 'java' when 'de' then 'typescript' when 'es' then 'go' end as code from documents where text is not null)"
 
 
-BRANCH_SQL = " + ".join(_count(p) for p in t.BRANCHES)
+def coded(spark, sf):
+    code = F.element_at(F.create_map(*[F.lit(x) for kv in AS_CODE.items() for x in kv]), F.col("lang"))
+    return docs(spark, sf).where("text is not null").select("doc_id", "text", F.when(F.col("lang").isin(*AS_CODE), code).alias("code"))
 
 
-@query("text_complexity", f"select doc_id, (1 + {BRANCH_SQL} + case when lang = 'en' then {_count(t.TERNARY)} else 0 end)::bigint as complexity from documents where text is not null")
-def complexity(spark, sf):
-    return docs(spark, sf).where("text is not null").select("doc_id", t.complexity(F.col("text"), F.col("lang") == "en").alias("complexity"))
+def _count(pattern):
+    return f"len(regexp_extract_all(text, '{pattern}'))"
 
 
-@query("complexity_hotspots", f"select doc_id, (1 + {BRANCH_SQL})::bigint as complexity from documents where text is not null order by complexity desc, doc_id limit 20")
-def hotspots(spark, sf):
-    return docs(spark, sf).where("text is not null").select("doc_id", t.complexity(F.col("text")).alias("complexity")).orderBy(F.desc("complexity"), "doc_id").limit(20)
+COMPLEXITY_SQL = " + ".join(_count(p) for p in (
+    r"\bif\b", r"\belse\b", r"\bfor\b", r"\bwhile\b", r"\bmatch\b", r"\bcase\b", r"\bcatch\b", r"\b&&\b", r"\b\|\|\b", r"\btry\b", r"\bexcept\b", r"\bfinally\b", r"\bwhen\b", r"\bguard\b",
+))
+COMPLEXITY_SQL = rf"""(1 + {COMPLEXITY_SQL} + case when code in ('rust', 'c', 'java', 'typescript', 'javascript', 'go') then {_count(r'\?\s*[^:]+\s*:')} when code = 'python' then {_count(r'\bfor\b.*\bin\b')} else 0 end)::bigint"""
 
 
-ISSUES_SQL = " union all ".join(f"select doc_id, '{n}' as rule, '{sev}' as severity, {_count(p)} as occurrences from documents" for n, sev, p in RULES)
+@query("text_complexity", f"select doc_id, {COMPLEXITY_SQL} as complexity from {CODE_SQL}")
+def complexity(spark, sf):
+    return coded(spark, sf).select("doc_id", t.complexity(F.col("text"), F.col("code")).alias("complexity"))
 
 
-@query("text_issues", f"select doc_id, rule, severity, occurrences::int as occurrences from ({ISSUES_SQL}) where occurrences > 0")
+@query("complexity_hotspots", f"select doc_id, {COMPLEXITY_SQL} as complexity from {CODE_SQL} order by complexity desc, doc_id limit 20")
+def hotspots(spark, sf):
+    return complexity(spark, sf).orderBy(F.desc("complexity"), "doc_id").limit(20)
+
+
+ISSUES_SQL = rf"""rules(rule, severity, code, pattern) as (values
+    ('todo_fixme', 'warn', null, '\b(TODO|FIXME|HACK|XXX|WORKAROUND)\b'),
+    ('hardcoded_path', 'warn', null, '"(?:src|docs|scripts|tests|target|\.cargo|\.git|/tmp/|/usr/|/etc/|C:\\|/home/)[/\w\-\.\\]*"'),
+    ('hardcoded_url', 'info', null, '"https?://[^\s"]+"'), ('magic_number', 'info', null, '\b\d{{4,}}\b'),
+    ('any_type', 'warn', 'typescript', ':\s*any\b|\bas\s+any\b'), ('console_log', 'info', 'typescript', 'console\.(log|error|warn|debug)\('),
+    ('ts_ignore', 'warn', 'typescript', '@ts-ignore|@ts-nocheck'), ('non_null_assertion', 'warn', 'typescript', '\w!\s*[.\(\)]'),
+    ('bare_except', 'danger', 'python', 'except\s*:'), ('print_debug', 'info', 'python', '\bprint\('), ('broad_except', 'warn', 'python', 'except\s+Exception\s*:'),
+    ('mutable_default', 'warn', 'python', 'def\s+\w+\([^)]*=\s*(\[\]|\{{\}})'),
+    ('nil_check_missing', 'warn', 'go', '\.([A-Z]\w*)\('), ('err_ignored', 'danger', 'go', '_\s*=\s*\w+\.\w+\('), ('fmt_print_debug', 'info', 'go', 'fmt\.Print(ln|f)?\('),
+    ('panic_call', 'danger', 'go', '\bpanic\('), ('unsafe_import', 'warn', 'go', '"unsafe"'),
+    ('print_stack_trace', 'warn', 'java', '\.printStackTrace\('), ('system_out_print', 'info', 'java', 'System\.out\.print(ln)?\('),
+    ('empty_catch', 'warn', 'java', 'catch\s*\([^)]+\)\s*\{{[\s;]*\}}'), ('raw_type', 'warn', 'java', '\b(List|Map|Set|Collection|Iterator|Comparable)\s*[^<\w]'),
+    ('magic_suppress', 'info', 'java', '@SuppressWarnings')),
+    hits as (select doc_id, rule, severity, len(regexp_extract_all(text, pattern)) as occurrences from {CODE_SQL} d join rules r on r.code is null or r.code = d.code)"""
+
+
+@query("text_issues", f"with {ISSUES_SQL} select doc_id, rule, severity, occurrences::int as occurrences from hits where occurrences > 0")
 def issues(spark, sf):
-    return t.issues(docs(spark, sf), RULES, "doc_id", "text")
+    return t.issues(coded(spark, sf), "doc_id", "text", "code")
 
 
-@query("issue_summary", f"""with x as (select * from ({ISSUES_SQL}) where occurrences > 0) select rule, severity, count(*) as functions, sum(occurrences)::bigint as occurrences,
+@query("issue_summary", f"""with {ISSUES_SQL}, x as (select * from hits where occurrences > 0) select rule, severity, count(*) as functions, sum(occurrences)::bigint as occurrences,
     round(count(*)::double / (select count(*) from documents), 4) as ratio from x group by rule, severity""")
 def issue_summary(spark, sf):
     n = docs(spark, sf).agg(F.count("*").alias("total"))
@@ -99,9 +122,18 @@ def rag(spark, sf):
     return t.budgeted(docs(spark, sf).select("doc_id", "n_chars", "text"), "text", ["n_chars", "doc_id"], 8000).select("doc_id", F.length("text").cast("long").alias("n"), "truncated")
 
 
-@query("text_cross_layer", r"""with x as (select doc_id, 'secret' as kind, unnest(list_distinct(regexp_extract_all(text, 'token = "([0-9a-f]+)"', 1))) as name from documents
-    union all select doc_id, 'address', unnest(list_distinct(regexp_extract_all(text, '\b([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\b', 1))) from documents) select * from x""")
+@query("text_cross_layer", r"""with hits as (select doc_id, 'db' as layer, unnest(regexp_extract_all(text, p, 1)) as item from documents, (values ('(?i)\bFROM\s+(\w+)'), ('(?i)\bUPDATE\s+(\w+)'), ('(?i)\bINSERT\s+INTO\s+(\w+)'), ('(?i)\bDELETE\s+FROM\s+(\w+)')) r(p)
+    union all select doc_id, 'config', unnest(regexp_extract_all(text, p, 1)) from documents, (values ('env::var\s*\(\s*[''"]([^''"]+)[''"]\s*\)'), ('config\.get\s*\(\s*[''"]([^''"]+)[''"]\s*\)')) r(p)
+    union all select doc_id, 'api', 'http_method_annotation' from documents where regexp_matches(text, '(?i)#\[(?:get|post|put|delete|patch|head|options)\s*\(')
+    union all select doc_id, 'api', 'route_decorator' from documents where regexp_matches(text, '(?i)@\w+\.(?:route|get|post|put|delete|patch)\s*\('))
+    select distinct doc_id, layer, item from hits""")
 def cross_layer(spark, sf):
+    return t.cross_layer(docs(spark, sf), "doc_id", "text").distinct()
+
+
+@query("text_extract", r"""with x as (select doc_id, 'secret' as kind, unnest(list_distinct(regexp_extract_all(text, 'token = "([0-9a-f]+)"', 1))) as name from documents
+    union all select doc_id, 'address', unnest(list_distinct(regexp_extract_all(text, '\b([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\b', 1))) from documents) select * from x""")
+def extract(spark, sf):
     return t.extract(docs(spark, sf), "doc_id", "text", {"secret": r'token = "([0-9a-f]+)"', "address": r"\b([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\b"})
 
 
@@ -110,19 +142,43 @@ def titles(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
 
 
-GUARD_SQL = """with x as (select doc_id, 'token' as rule, 'block' as severity, 'token = ' as p, text from documents union all select doc_id, 'junk', 'warn', '[#$%&]{3}', text from documents)
-    select doc_id, rule, severity, 1 + len(regexp_extract_all(regexp_extract(text, '(?s)^(.*?)' || p, 1), chr(10))) as line from x where regexp_matches(text, p)"""
-GUARDS = (("token", "secrets", "block", "token = "), ("junk", "style", "warn", "[#$%&]{3}"))
+GUARD_SQL = r"""with x as (select doc_id, text, rule, severity, p from documents, (values ('token', 'block', 'token = '), ('junk', 'warn', '[#$%&]{3}')) r(rule, severity, p) where text is not null),
+    cut as (select doc_id, rule, severity, regexp_extract_all(text, p) as m, string_split_regex(text, p) as s from x),
+    hits as (select doc_id, rule, severity, unnest(list_transform(range(1, len(m) + 1), lambda k: 1 + len(regexp_extract_all(array_to_string(s[1:k], '') || array_to_string(m[1:k - 1], ''), chr(10))))) as line from cut)"""
+#: Rules of a caller's own.
+OWN_RULES = (("token", "secrets", "block", "token = "), ("junk", "style", "warn", "[#$%&]{3}"))
 
 
-@query("guard_scan", f"select doc_id, rule, severity, line::int as line from ({GUARD_SQL})")
+@query("guard_scan", f"{GUARD_SQL} select doc_id, rule, severity, line::int as line from hits")
 def guard(spark, sf):
-    return t.guard(docs(spark, sf), "doc_id", "text", GUARDS).select("doc_id", "rule", "severity", "line")
+    return t.guard(docs(spark, sf), "doc_id", "text", OWN_RULES).select("doc_id", "rule", "severity", "line")
+
+
+@query("guard_builtin", r"""with rules(rule, severity, p) as (values ('GR-builtin-db-1', 'warn', '(?i)\bALTER\s+TABLE\b'), ('GR-builtin-db-2', 'block', '(?i)\bDROP\s+(?:TABLE|COLUMN)\b'),
+    ('GR-builtin-api-1', 'block', '(?i)#\s*BREAKING\s+CHANGE'), ('GR-builtin-api-2', 'block', '(?i)//\s*REMOVED\s+PARAM'), ('GR-builtin-api-3', 'block', '(?i)//\s*REMOVED\s+FIELD')),
+    code as (select p_partkey, chr(10) || repeat('x' || chr(10), p_size) || case p_partkey % 4 when 0 then 'alter  table t' when 1 then 'DROP' || chr(10) || 'COLUMN c; drop table u' when 2 then '# breaking change' else 'VARCHAR(' || p_size || ') -> VARCHAR(20)' end as text from part)
+    select p_partkey, rule, severity, count(*)::int as n, min(p_size)::int + 2 as line from code join part using (p_partkey), rules, (select unnest(range(5)) as i) where i < len(regexp_extract_all(text, p)) group by all
+    union all select p_partkey, 'GR-builtin-db-3', 'block', 1, p_size::int + 2 from part where p_partkey % 4 = 3 and p_size > 20""")
+def guard_builtin(spark, sf):
+    part, size = read(spark, sf, "part"), F.col("p_size").cast("string")
+    kinds = [F.lit("alter  table t"), F.lit("DROP\nCOLUMN c; drop table u"), F.lit("# breaking change"), F.concat(F.lit("VARCHAR("), size, F.lit(") -> VARCHAR(20)"))]
+    text = F.concat(F.lit("\n"), F.repeat(F.lit("x\n"), F.col("p_size")), F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int")))
+    found = t.guard(part.select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return found.groupBy("p_partkey", "rule", "severity").agg(F.count("*").cast("int").alias("n"), F.min("line").alias("line"))
 
 
-@query("guard_decision", f"select doc_id, case when bool_or(severity = 'block') then 'block' else 'warn' end as decision from ({GUARD_SQL}) group by doc_id")
+@query("guard_readiness", r"""with b as (select doc_id, text from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10)
+    select doc_id, 'GR-builtin-inc-1' as rule, 'warn' as severity from b where not regexp_matches(text, '\b(?:try|catch|unwrap|expect)\b|\?|Result')
+    union all select doc_id, 'GR-builtin-inc-2', 'info' from b where not regexp_matches(text, '\blog::|tracing::|println!|print!|eprintln!|warn!|info!|error!|debug!')
+    union all select doc_id, 'GR-builtin-inc-3', 'warn' from b where (regexp_matches(text, '(?i)\b(?:INSERT|UPDATE|DELETE|CREATE|DROP)\b') or regexp_matches(text, '\.(?:write|save|push|insert|update|delete)\s*\('))
+        and not regexp_matches(text, '(?i)\b(?:rollback|transaction|begin|undo|abort|commit)\b')""")
+def guard_readiness(spark, sf):
+    return t.readiness(docs(spark, sf).select("doc_id", "text"), ["doc_id"], "text")
+
+
+@query("guard_decision", f"{GUARD_SQL} select doc_id, case when bool_or(severity = 'block') then 'block' else 'warn' end as decision from hits group by doc_id")
 def decision(spark, sf):
-    return t.decide(t.guard(docs(spark, sf), "doc_id", "text", GUARDS), "doc_id")
+    return t.decide(t.guard(docs(spark, sf), "doc_id", "text", OWN_RULES), "doc_id")
 
 
 @query("content_hash_lookup", "select sha256(text) as hash, count(*) as n, min(doc_id) as first_doc from documents where text is not null group by 1 having count(*) > 1")
@@ -180,7 +236,10 @@ def clone_groups(spark, sf):
     return s.clone_groups(d, "content_hash", 1)
 
 
-@query("clone_pairs")
+@query("clone_pairs", f"""with {SETS_SQL}, {NORMAL_SQL}, t as (select id, ch, substr(sha256(n), 1, 16) as th from normals), reps as (select th, min(id) as id from t group by th)
+    select a.id as a, b.id as b, 1 as clone_type, 1.0::double as similarity from t a join t b on a.ch = b.ch and a.id < b.id
+    union all select a.id, b.id, 2, 1.0::double from t a join t b on a.th = b.th and a.id < b.id where a.ch <> b.ch
+    union all select a, b, 3, round(j, 3) from pairs where j >= 0.8 and j < 1 and a in (select id from reps) and b in (select id from reps)""")
 def clone_pairs(spark, sf):
     return s.clone_pairs(bodies(spark, sf), 0.8)
 
@@ -211,15 +270,9 @@ def topk(spark, sf):
     return v.topk(rows, q, 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("vec_similar", f"""with x as (select b.vec_id as query, a.vec_id as vec, round({COS}, 4) as score from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id)
+@query("vec_similar", f"""with x as (select b.vec_id as query, a.vec_id as vec, round({COS}, 4) as score from embeddings a, embeddings b where b.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
     select query, vec, score, rank::int as rank from (select *, row_number() over (partition by query order by score desc, vec) as rank from x where score >= 0.2) where rank <= 20""")
 def similar(spark, sf):
-    rows = read(spark, sf, "embeddings")
-    return v.similar(rows, rows.where("vec_id < 10"), 20, 0.2)
-
-
-@query("vec_similar_whole")  # the SQL of vec_similar asks for ten vectors only
-def similar_whole(spark, sf):
     rows = read(spark, sf, "embeddings")
     return v.similar(rows, rows.where("vec_id % 50 = 0"), 20, 0.2)
 

@@ -87,16 +87,11 @@ def edge_delta(spark, sf):
     return o.edge_delta(*_snapshot_edges(spark, sf))
 
 
-@query("delta_resolve", """with calls as (select l_orderkey * 10 + l_linenumber as call_id, p_type as callee_name, l_partkey as callee_id from lineitem join part on p_partkey = l_partkey where l_orderkey % 100 = 0),
+@query("delta_resolve", """with calls as (select l_orderkey * 10 + l_linenumber as call_id, p_type as callee_name, l_partkey as callee_id from lineitem join part on p_partkey = l_partkey),
     added as (select p_partkey as id, p_type as name from part where p_partkey % 400 = 1), removed as (select p_partkey as id from part where p_partkey % 3 = 0),
     new as (select call_id, 'new' as effect, a.id as symbol from calls join added a on a.name = callee_name), lost as (select call_id, 'lost' as effect, callee_id as symbol from calls where callee_id in (select id from removed))
     select * from new union all select * from lost union all select call_id, 'unresolved', 0 from lost where call_id not in (select call_id from new)""")
 def delta_resolve(spark, sf):
-    return _delta_resolve(spark, sf, read(spark, sf, "lineitem").where("l_orderkey % 100 = 0"))
-
-
-@query("delta_resolve_whole")  # without SQL: all calls, where that of delta_resolve takes a part
-def delta_resolve_whole(spark, sf):
     return _delta_resolve(spark, sf, read(spark, sf, "lineitem"))
 
 
@@ -180,14 +175,6 @@ def windowed(spark, sf):
     return e.crossJoin(F.broadcast(last)).where("ts > cut").select("event_id")  # one row
 
 
-@query("cross_repo_deps", """with a as (select doc_id, source, sha256(text) as h from documents where text is not null), first as (select h, min(doc_id) as target from a group by h)
-    select a.doc_id, f.target, 0.95::double as confidence, t.source as target_workspace from a join first f using (h) join a t on t.doc_id = f.target where a.source <> t.source""")
-def cross_deps(spark, sf):
-    a = read(spark, sf, "documents").where("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    first = a.groupBy("h").agg(F.min(F.struct(F.col("doc_id").alias("target"), F.col("source").alias("target_workspace"))).alias("t"))
-    return a.join(first, "h").where("source != t.target_workspace").select("doc_id", "t.target", F.lit(0.95).alias("confidence"), "t.target_workspace")
-
-
 @query("edit_revert_rate", "select c_nationkey, count(*) as edits, coalesce(round(count_if(c_acctbal < 0)::double / nullif(count_if(c_acctbal < 5000), 0), 4), 0)::double as revert_rate from customer group by 1")
 def revert_rate(spark, sf):
     from ..operators.graph import ratio
