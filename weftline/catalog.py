@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregate_queries, graph_queries, join_queries, resolve_queries, text_queries, version_queries
+from .plans import aggregate_queries, graph_queries, join_queries, lookup_queries, resolve_queries, text_queries, version_queries
 
 
 def bigint_counts(sql: str) -> str:
@@ -19,6 +19,6 @@ def bigint_counts(sql: str) -> str:
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (graph_queries, join_queries, resolve_queries, aggregate_queries, text_queries, version_queries):
+for _module in (graph_queries, join_queries, resolve_queries, lookup_queries, aggregate_queries, text_queries, version_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= {name: bigint_counts(sql) for name, sql in _module.SQL.items()}

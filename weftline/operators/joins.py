@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,22 +90,25 @@ def suffix_match(paths: DataFrame, files: DataFrame, path: str = "path", file: s
     return met.groupBy(path).agg(F.min(rank).alias("_m")).select(path, F.col("_m.i").alias(ident))
 
 
+GLOB = re.compile(r"(?P<escaped>\\.)|(?P<class>\[[!^]?\]?[^\]]*\])|(?P<deep>\*\*/)|(?P<all>\*\*)|(?P<star>\*)|(?P<one>\?)|(?P<plain>.)", re.S)
+
+
 def glob_to_regex(pattern: str) -> str:
-    """Of an ignore-file pattern: ** crosses separators, * and ? do not; a leading / anchors."""
-    anchored = pattern.startswith("/") or "/" in pattern.strip("/")
-    body, i, p = "", 0, pattern.strip("/")
-    while i < len(p):
-        if p.startswith("**/", i):
-            body, i = body + "(.*/)?", i + 3
-        elif p.startswith("**", i):
-            body, i = body + ".*", i + 2
-        elif p[i] == "*":
-            body, i = body + "[^/]*", i + 1
-        elif p[i] == "?":
-            body, i = body + "[^/]", i + 1
-        else:
-            body, i = body + ("\\" + p[i] if p[i] in ".+()[]{}^$|\\" else p[i]), i + 1
-    return ("^" if anchored else "(^|/)") + body + "(/|$)"
+    """Of an ignore-file pattern: ** crosses separators, * and ? do not; [a-z] and [!a] are classes, \\ takes
+    the next character as it is; a separator but the last anchors, one at the end asks for a directory."""
+    directory = pattern.endswith("/") and not pattern.endswith("\\/")
+    anchored = "/" in pattern.rstrip("/")
+
+    def part(m: re.Match) -> str:
+        kind, found = m.lastgroup, m[0]
+        if kind == "class":
+            inner = found[1:-1].replace("\\", "\\\\").replace("[", "\\[")
+            return f"[^/{inner[1:]}]" if inner[:1] in ("!", "^") else f"[{inner}]"
+        wild = {"deep": "(.*/)?", "all": ".*", "star": "[^/]*", "one": "[^/]"}
+        return wild.get(kind) or re.escape(found[-1])
+
+    body = GLOB.sub(part, pattern.strip("/"))
+    return ("^" if anchored else "(^|/)") + body + ("/" if directory else "(/|$)")
 
 
 def last_rule(items: DataFrame, rules: DataFrame, item: str = "path", value: str = "owner") -> DataFrame:

@@ -44,9 +44,10 @@ def search(df: DataFrame, query: str, columns: list[str], limit: int, *order) ->
 
 def trigram_index(df: DataFrame, key: str, column: str) -> DataFrame:
     """gram, key: an index for search at scale, written partitioned by gram hash by the caller."""
-    low = F.lower(F.col(column))
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
-    return df.where(F.length(column) >= 3).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    # Characters as an array of their own: taking substrings would read a text from its start for each gram.
+    rows = df.where(F.length(column) >= 3).select(key, F.split(F.lower(F.col(column)), "").alias("_c"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("_c") - 3), lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2)))
+    return rows.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def search_index(index: DataFrame, query: str, key: str) -> DataFrame:

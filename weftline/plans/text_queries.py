@@ -93,11 +93,11 @@ def fts_short(spark, sf):
     return t.search(docs(spark, sf), "ß", ["text", "source"], 30, "doc_id").select("doc_id")
 
 
-@query("fts_index", "select item_id from benchmark where contains(lower(text), 'ering')")
+@query("fts_index", "select doc_id from documents where contains(lower(text), 'thand') and contains(lower(text), 'ering')")
 def fts_index(spark, sf):
-    rows = read(spark, sf, "benchmark")
-    found = t.search_index(t.trigram_index(rows, "item_id", "text"), "ering", "item_id")
-    return rows.join(found, "item_id", "left_semi").where("contains(lower(text), 'ering')").select("item_id")
+    rows = docs(spark, sf).where("text is not null")
+    found = t.search_index(t.trigram_index(rows, "doc_id", "text"), "thand ering", "doc_id")
+    return rows.join(found, "doc_id", "left_semi").where("contains(lower(text), 'thand') and contains(lower(text), 'ering')").select("doc_id")
 
 
 @query("grep_lines", r"""select doc_id, line::int as line from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)

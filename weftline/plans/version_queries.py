@@ -142,7 +142,9 @@ def hash_diff(spark, sf):
     return diff(read(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "change")
 
 
-@query("stream_fold_batch")
+@query("stream_fold_batch", """with e as (select user_id as path, list(case event_type when 'click' then 'created' when 'view' then 'modified' when 'error' then 'removed' when 'purchase' then 'created' when 'login' then 'modified' end order by ts, event_id) as k
+    from events where event_type in ('click', 'view', 'error', 'purchase', 'login') group by user_id)
+    select path, list_reduce(k, lambda a, b: case when a = 'created' and b = 'modified' then 'created' when a = 'removed' and b = 'created' then 'modified' else b end) as kind, len(k)::int as n from e""")
 def fold(spark, sf):
     from ..streaming.events import coalesce_batch
 

@@ -33,12 +33,14 @@ def canonical_text(text: Column) -> Column:
     return F.regexp_replace(out, r"[ \t]+(\n|$)", "$1")
 
 
-def source_tree(spark: SparkSession, folder: str, max_bytes: int = 2_000_000) -> DataFrame:
-    """path, language, content, hash of the source files below a folder, canonical and readable ones only."""
+def source_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """path, language, content, hash of the source files below a folder, canonical. Bytes that are no UTF-8
+    are replaced, so no file is lost."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     language = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), lambda k, _: k == F.lower(F.substring_index("path", ".", -1)))), F.lit(0))
-    text = F.try_to_binary(F.hex("content"), F.lit("hex")).cast("string")
-    rows = files.where(F.col("length") <= max_bytes).select("path", language.alias("language"), canonical_text(text).alias("content"))
+    utf16 = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    text = F.when(utf16, F.decode("content", "UTF-16")).otherwise(F.col("content").cast("string"))
+    rows = files.select("path", language.alias("language"), canonical_text(F.make_valid_utf8(text)).alias("content"))
     return rows.where("language is not null").withColumn("hash", F.sha2("content", 256))
 
 
@@ -127,15 +129,21 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lcov(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, hits of an LCOV report: SF: opens a file, DA: counts a line, end_of_record closes."""
-    rows = _numbered(spark, path)
-    mark = F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 1 << 20)).when(F.col("line") == "end_of_record", "")
-    held = F.last(mark, ignorenulls=True).over(Window.partitionBy("path").orderBy("n"))
-    hits = rows.withColumn("file", held).where("line like 'DA:%' and file != ''")
-    parts = F.split(F.substring("line", 4, 1 << 10), ",")
+    """file, line, hits of an LCOV report. A record, up to its end_of_record, is one row of the scan, so a
+    large report is read by many tasks."""
+    rows = spark.read.option("lineSep", "end_of_record").text(path)
+    lines = F.split("value", "\r?\n")
+    file = F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("SF:"))), F.lit(0))
+    hits = rows.select(F.substr(file, F.lit(4)).alias("file"), F.explode(F.filter(lines, lambda x: F.startswith(x, F.lit("DA:")))).alias("l")).where("file != ''")
+    parts = F.split(F.substr("l", F.lit(4)), ",")
     return hits.select("file", F.get(parts, F.lit(0)).try_cast("int").alias("line"), F.get(parts, F.lit(1)).try_cast("long").alias("hits")).where("line is not null")
 
 
+def coverage(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, hits of a report, LCOV or Cobertura by the file's name."""
+    return cobertura(spark, path) if path.lower().rstrip("*").endswith((".xml", ".xml.gz")) else lcov(spark, path)
+
+
 def cobertura(spark: SparkSession, path: str) -> DataFrame:
     """file, line, hits of a Cobertura report."""
     line = "array<struct<_number:int,_hits:long>>"
@@ -153,15 +161,33 @@ def junit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
-    """commit, author, ts, file, added, deleted of `git log --numstat --format=commit:%H%x09%an%x09%at`."""
-    rows = _numbered(spark, path)
-    head = F.last(F.when(F.col("line").startswith("commit:"), F.col("line")), ignorenulls=True).over(Window.partitionBy("path").orderBy("n"))
-    parts, stat = F.split(F.col("head"), "\t"), F.split("line", "\t")
-    files = rows.withColumn("head", head).where(r"line rlike '^[0-9-]+\t[0-9-]+\t'")
-    return files.select(
-        F.substring(F.get(parts, F.lit(0)), 8, 64).alias("commit"), F.get(parts, F.lit(1)).alias("author"), F.get(parts, F.lit(2)).try_cast("double").alias("ts"),
-        F.get(stat, F.lit(2)).alias("file"), F.coalesce(F.get(stat, F.lit(0)).try_cast("long"), F.lit(0)).alias("added"), F.coalesce(F.get(stat, F.lit(1)).try_cast("long"), F.lit(0)).alias("deleted"),
-    )
+    """commit, author, ts, file, added, deleted of `git log --numstat --format=commit:%H%x09%an%x09%at`. A
+    commit is one row of the scan, so a long log is read by many tasks."""
+    rows = spark.read.option("lineSep", "\ncommit:").text(path).select(F.regexp_replace("value", "^commit:", "").alias("value"))
+    lines = F.split("value", "\r?\n")
+    head = F.split(F.get(lines, F.lit(0)), "\t")
+    stats = F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^[0-9-]+\t[0-9-]+\t")))
+    files = rows.select(F.get(head, F.lit(0)).alias("commit"), F.get(head, F.lit(1)).alias("author"), F.get(head, F.lit(2)).try_cast("double").alias("ts"), F.explode(stats).alias("s"))
+    stat = F.split("s", "\t", 3)
+    count = lambda i: F.coalesce(F.get(stat, F.lit(i)).try_cast("long"), F.lit(0))
+    return files.select("commit", "author", "ts", F.get(stat, F.lit(2)).alias("file"), count(0).alias("added"), count(1).alias("deleted"))
+
+
+def git_blame(spark: SparkSession, path: str) -> DataFrame:
+    """file, author, ts of each line of `git blame --line-porcelain` outputs; for lookups.blame_owners. The
+    line's own text, behind a tab, ends a row of the scan and is left out."""
+    rows = spark.read.option("lineSep", "\n\t").text(path)
+    head = F.regexp_extract("value", r"(?s)((?:^|\n)[0-9a-f]{40} .*)$", 1)
+    field = lambda name: F.regexp_extract(head, rf"(?m)^{name} (.*)$", 1)
+    return rows.where(head != "").select(field("filename").alias("file"), field("author").alias("author"), F.timestamp_seconds(field("author-time").try_cast("long")).alias("ts"))
+
+
+def symbol_changes(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """commit, file, symbol of hunks (commit, file, from_line, to_line) that overlap symbols (file, id, start_line,
+    end_line)."""
+    from ..operators.joins import overlaps
+
+    return overlaps(hunks, symbols, ["file"]).select("commit", "file", F.col("id").alias("symbol")).distinct()
 
 
 def unified_diff(spark: SparkSession, path: str) -> DataFrame:
@@ -181,23 +207,69 @@ def unified_diff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def codeowners(spark: SparkSession, path: str) -> DataFrame:
-    """idx, pattern (a regular expression), owner; for joins.last_rule."""
+    """idx, pattern (a regular expression), owner; for joins.last_rule. All rules, in order."""
     from ..operators.joins import glob_to_regex
 
+    ship_package(spark)
     rows = _numbered(spark, path).where(r"trim(line) != '' and trim(line) not like '#%'")
-    found = rows.select(F.col("n").alias("idx"), F.split(F.trim("line"), r"\s+").alias("p")).limit(10_000).collect()  # a rule file
-    out = [(r["idx"], glob_to_regex(r["p"][0]) if r["p"][0] != "*" else "", " ".join(r["p"][1:])) for r in found]
-    return spark.createDataFrame(out, "idx int, pattern string, owner string")
+    found = rows.select(F.col("n").alias("idx"), F.split(F.trim("line"), r"\s+").alias("p"))
+
+    def run(frames):
+        for frame in frames:
+            frame["pattern"] = [glob_to_regex(p[0]) if p[0] != "*" else "" for p in frame["p"]]
+            frame["owner"] = [" ".join(p[1:]) for p in frame["p"]]
+            yield frame[["idx", "pattern", "owner"]]
+
+    return found.mapInPandas(run, "idx int, pattern string, owner string")
+
+
+def requirement_lines(rows: DataFrame, line: str) -> DataFrame:
+    """rows plus name and requirement of lines such as 'name >= 1.2 ; marker'; comments and options go."""
+    at = F.col(line)
+    name = F.lower(F.regexp_extract(at, r"^\s*([A-Za-z0-9_.-]+)", 1))
+    wanted = F.trim(F.regexp_extract(at, r"^\s*[A-Za-z0-9_.-]+\s*((?:[<>=!~^]=?=?\s*[^;#,\s]+)?)", 1))
+    return rows.where(~at.rlike(r"^\s*(#|-|$)")).withColumns({"name": name, "requirement": wanted})
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, requirement of requirements files, package.json, Cargo.toml and go.mod below a folder."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    named = lambda end: files.where(F.col("path").endswith(end))
+    plain = files.where(F.col("path").rlike(r"requirements[^/]*\.txt$")).select("path", F.explode(F.split("value", "\r?\n")).alias("line"))
+    out = requirement_lines(plain, "line").select("path", "name", "requirement")
+    package = F.from_json("value", "dependencies map<string,string>, devDependencies map<string,string>")
+    for kind in ("dependencies", "devDependencies"):
+        out = out.unionByName(named("package.json").select("path", F.explode(package[kind]).alias("name", "requirement")))
+    block = F.regexp_extract("value", r"(?s)\[dependencies\](.*?)(?:\n\[|$)", 1)
+    cargo = named("Cargo.toml").select("path", F.explode(F.split(block, "\r?\n")).alias("line")).where(r"line rlike '^[A-Za-z0-9_-]+\\s*='")
+    version = F.regexp_extract("line", r"\"([^\"]+)\"", 1)
+    out = out.unionByName(cargo.select("path", F.trim(F.split_part("line", F.lit("="), F.lit(1))).alias("name"), version.alias("requirement")))
+    go = named("go.mod").select("path", F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(?:require\s+)?([\w./-]+\.[\w./-]+ v\S+)"), F.lit(1))).alias("line"))
+    return out.unionByName(go.select("path", F.split_part("line", F.lit(" "), F.lit(1)).alias("name"), F.split_part("line", F.lit(" "), F.lit(2)).alias("requirement")))
 
 
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
     """defines, includes, flags of a compilation database, unioned over its entries."""
     rows = spark.read.option("multiLine", "true").schema("directory string, command string, arguments array<string>, file string").json(path)
-    words = F.explode(F.coalesce("arguments", F.split("command", r"\s+")))
-    each = rows.select(words.alias("w"))
-    pick = lambda prefix: F.array_sort(F.collect_set(F.when(F.col("w").startswith(prefix), F.substring("w", 3, 1 << 10))))
-    other = F.col("w").startswith("-") & ~F.col("w").startswith("-D") & ~F.col("w").startswith("-I") & ~F.col("w").isin("-c", "-o")
-    return each.agg(pick("-D").alias("defines"), pick("-I").alias("includes"), F.array_sort(F.collect_set(F.when(other, F.col("w")))).alias("flags"))
+    words = rows.select(F.coalesce("arguments", F.split("command", r"\s+")).alias("w"))
+    after = lambda i: F.get("w", i + 1)
+
+    def values(*prefixes: str) -> Column:
+        """Of '-Ivalue' and '-I value'."""
+        found = F.array().cast("array<string>")
+        for prefix in prefixes:
+            mark = F.lit(prefix)
+            glued = F.filter("w", lambda x: F.startswith(x, mark) & (x != mark))  # noqa: B023
+            apart = F.transform("w", lambda x, i: F.when(x == mark, after(i)))  # noqa: B023
+            found = F.concat(found, F.transform(glued, lambda x: F.substr(x, F.length(mark) + 1)), F.array_compact(apart))  # noqa: B023
+        return found
+
+    taken = ("-D", "-I", "-isystem", "-o")
+    value = lambda i: (i > 0) & F.coalesce(F.get("w", i - 1).isin(*taken), F.lit(False))
+    own = lambda x: F.startswith(x, F.lit("-D")) | F.startswith(x, F.lit("-I")) | F.startswith(x, F.lit("-isystem")) | x.isin("-c", "-o")
+    flags = F.filter("w", lambda x, i: F.startswith(x, F.lit("-")) & ~own(x) & ~value(i))
+    each = words.select(values("-D").alias("defines"), values("-I", "-isystem").alias("includes"), flags.alias("flags"))
+    return each.agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in each.columns])
 
 
 def makefile(spark: SparkSession, path: str) -> DataFrame:
@@ -215,3 +287,12 @@ def semgrep(spark: SparkSession, path: str) -> DataFrame:
     schema = f"results array<struct<check_id:string,path:string,start:struct<line:int>,`end`:struct<line:int>,extra:{extra}>>"
     rows = spark.read.option("multiLine", "true").schema(schema).json(path).select(F.explode("results").alias("r"))
     return rows.select(F.col("r.check_id").alias("rule"), F.col("r.path").alias("file"), F.col("r.start.line").alias("start_line"), F.col("r.end.line").alias("end_line"), F.col("r.extra.severity").alias("severity"), F.col("r.extra.message").alias("message"))
+
+
+def attributed(findings: DataFrame, symbols: DataFrame) -> DataFrame:
+    """findings (file, start_line, ...) with symbol: the id of the narrowest of symbols (file, id, start_line, end_line)
+    that holds their first line; null if none does."""
+    from ..operators.joins import stab_narrowest
+
+    held = stab_narrowest(findings.select("file", F.col("start_line").alias("line")).distinct(), symbols, ["file"])
+    return findings.join(held.select("file", F.col("line").alias("start_line"), F.col("id").alias("symbol")), ["file", "start_line"], "left")
