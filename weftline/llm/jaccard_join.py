@@ -242,8 +242,9 @@ def verify_block(keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, f
     common = np.zeros((m, m), np.float32)
     order = np.argsort(codes, kind="stable")
     owner, codes = owner[order], codes[order]
-    width = max(1, (1 << 22) // max(m, 1))
-    edges = np.searchsorted(codes, np.arange(0, int((counts > 1).sum()) + width, width))
+    n_shared = int((counts > 1).sum())
+    width = max(1, min(n_shared, (1 << 22) // max(m, 1)))
+    edges = np.searchsorted(codes, np.arange(0, n_shared + width, width))
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if a < b:
             present = np.zeros((m, width), np.float32)

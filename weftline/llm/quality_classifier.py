@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams: words, shapes of words, and pairs of shapes, hashed. Each is
+Features are indicators of n-grams: words and shapes of words, and pairs of either, hashed. Each is
 scaled by its class log-count ratio; a linear model with hinge loss is fitted to the scaled
 indicators by dual coordinate descent. A logistic curve over out-of-fold margins turns margins
 into scores.
@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, require
+from .common import hash_fraction, release_heaps, release_worker, require
 
-BITS = 18
+BITS = 20
 #: Labelled rows the model is fitted to, about; drawn by a hash of the id.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
-CACHE = 600_000
+#: Words a task remembers, about 150 bytes each.
+CACHE = 400_000
 
 
 def shape(word: str) -> str:
@@ -50,10 +51,14 @@ def features(text: str | None, words: Words) -> np.ndarray:
         return np.zeros(0, np.int32)
     codes = np.fromiter(map(words.__getitem__, chunks), np.uint64, len(chunks))
     shapes = codes & np.uint64(0xFFFFFFFF)
+    names = codes >> np.uint64(32)
     pairs = shapes[:-1] * np.uint64(0x9E3779B97F4A7C15) + shapes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    single = np.unique(shapes) * np.uint64(0xD6E8FEB86659FD93)
-    every = np.concatenate([np.unique(codes >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD), single, np.unique(pairs) * np.uint64(0x9FB21C651E98DF25)])
-    return np.unique((every >> np.uint64(64 - BITS)).astype(np.int32))
+    phrases = names[:-1] * np.uint64(0x165667B19E3779F9) + names[1:] * np.uint64(0x27D4EB2F165667C5)
+    every = [
+        np.unique(names) * np.uint64(0xFF51AFD7ED558CCD), np.unique(shapes) * np.uint64(0xD6E8FEB86659FD93),
+        np.unique(pairs) * np.uint64(0x9FB21C651E98DF25), np.unique(phrases) * np.uint64(0x85EBCA77C2B2AE63),
+    ]
+    return np.unique((np.concatenate(every) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 def dual_coordinate_descent(
@@ -147,10 +152,12 @@ def fit(
 ) -> Model:
     """A model of `label` (0 or 1; others and null are left out) from about train_rows labelled rows
     of docs. The labels drawn are broadcast, which that bound allows; the driver gets their feature
-    numbers, not the texts. Ids with several labels count once for each; null ids match nothing."""
+    numbers, not the texts. An id with several labels has the one that most of them are (1, if as many);
+    null ids match nothing."""
     require(docs, doc_id, text)
     require(labels, doc_id, label)
     usable = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
+    usable = usable.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     n = usable.count()
     drawn = usable.withColumn("_u", hash_fraction(F.col("_id"), seed)).where(F.col("_u") < train_rows / max(n, 1)).drop("_u")
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
@@ -160,6 +167,7 @@ def fit(
         for batch in batches:
             rows = [features(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["id", "y", "row"])
+        release_worker()
 
     found = sample.select(F.col("_id").cast("long"), "_text", "_y").mapInArrow(run, "id long, y int, row binary").orderBy("id", "y", "row").collect()
     rows = [np.frombuffer(bytes(r["row"]), np.int32) for r in found]
@@ -175,7 +183,8 @@ def score(
     repeated rows are rows like others; other columns are not read. Empty input: no rows.
     """
     require(docs, doc_id, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB
+    release_heaps(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Words(), shared.value
@@ -185,5 +194,6 @@ def score(
                 [batch.column(0), pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())],
                 names=["doc_id", "score", "predicted"],
             )
+        release_worker()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")

@@ -28,7 +28,6 @@ BOILERPLATE = (
 #: A line of menu entries has this share of separators to words; one of symbols that of symbols.
 NAVIGATION_SHARE = 0.25
 SYMBOL_SHARE = 0.25
-SHOUTING_SHARE = 0.5
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 MAX_LOST = 0.5

@@ -146,6 +146,36 @@ cleaned as (select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed
     case when d.text is null then null when n_removed = n_lines and n_removed > 0 then '' when coalesce(n_removed, 0) = 0 then d.text else kept end as clean
     from documents d left join kept k on d.doc_id is not distinct from k.doc_id and d.text = k.text)
 select doc_id, n_lines, n_removed, length(clean)::bigint as kept_chars, sha256(clean) as kept_sha256 from cleaned""",
+    "op9_quality_rules": r"""
+with docs as (select row_number() over () as k, doc_id, coalesce(text, '') as text, text is null as missing from documents),
+words as (select k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs),
+triples as (select k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as t from (select k, w, unnest(range(1, len(w) - 1)) as i from words)),
+twice as (select k, i from (select k, i, count(*) over (partition by k, t) as n from triples) where n > 1),
+repeats as (select k, count(distinct i + d) as n_repeat_words from twice, (values (0), (1), (2)) o(d) group by k),
+lines as (select k, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from docs),
+worded as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n, row_number() over (partition by k, line order by pos) as nth from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged as (select *, len(regexp_extract_all(line, '[|»›]')) >= greatest(2, 0.25 * n) or len(regexp_extract_all(line, '[#*$%&|<>]')) + len(regexp_extract_all(line, '!!')) >= greatest(3, 0.25 * n)
+    or (n >= 5 and upper(line) = line and lower(line) <> line) or not regexp_matches(line, '[.!?…。！？:;"''”’»)][\x20\x09-\x0D]*$')
+    or regexp_matches(lower(line), 'all rights reserved|cookie policy|enable javascript|javascript is disabled|lorem ipsum|privacy policy|terms of service|terms of use|use of cookies') as fails from worded),
+counted as (select k, count(*) as n_lines, count(*) filter (where nth > 1) as n_dup_lines, count(*) filter (where fails) as n_failed_lines, coalesce(sum(n) filter (where fails), 0)::bigint as words_lost from judged group by k),
+rows as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_failed_lines, 0) as n_failed_lines, coalesce(words_lost, 0) as words_lost
+    from words left join counted using (k) left join repeats using (k))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and words_lost <= 0.5 * n_words as kept from rows""",
+    "op10_jaccard_join": r"""
+with recursive texts as (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select k, doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from texts),
+classes as (select list_sort(s) as s, min(k) as c, count(*) as copies from sets where len(s) > 0 group by 1),
+member as (select k, doc_id, len(sets.s)::bigint as n, c from sets left join classes on list_sort(sets.s) = classes.s),
+items as (select c, len(s) as n, hash(x) as x from (select c, s, unnest(s) as x from classes)),
+pairs as (select a.c as a, b.c as b from items a join items b on a.x = b.x and a.c < b.c and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2 having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+links_of as (select a, b from pairs union all select b, a from pairs),
+reach(c, r) as (select c, c from classes union select reach.c, links_of.b from reach join links_of on reach.r = links_of.a),
+first as (select reach.c, min(member.doc_id) as component_id from reach join member on member.c = reach.r group by reach.c),
+links as (select links_of.a as c, sum(copies) as n from links_of join classes on classes.c = links_of.b group by 1)
+select doc_id, n as n_shingles, case when member.c is null then doc_id else component_id end as component_id,
+    case when member.c is null then 0 else copies - 1 + coalesce(links.n, 0) end::bigint as n_links
+from member left join first on first.c = member.c left join classes on classes.c = member.c left join links on links.c = member.c""",
     "op8_chat_formatting": r"""
 with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all values (-1::bigint, 0::bigint, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
