@@ -11,6 +11,7 @@ which need no padding.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 2048
 #: Bytes of word ids that a task remembers; those of an entry besides its word and ids.
-CACHE, ENTRY = 64 << 20, 180
+CACHE, ENTRY = 96 << 20, 180
 
 OUTPUT = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, ids binary"
@@ -35,6 +36,7 @@ OUTPUT = (
 #: Visible Latin-1 text without apostrophes, and the runs that the pre-tokeniser makes of it in lower
 #: case: letters, single digits, the rest.
 LATIN = re.compile("[!-&(-~¡-¬®-ÿ]+")
+ASCII, ASCII_RUNS = re.compile(rb"[!-&(-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 LATIN_RUNS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 PROBES = "The end. naïve, ÀB c'est 1a2 ½ #x! <|endoftext|> «Übung» ...!!? a_b İx ΣΑΣ, thand%%% 007 ªº ×÷"
 
@@ -64,7 +66,7 @@ class WordIds(dict):
         self.fast = all(self.cut(w) == self.plain(w) for w in PROBES.split())
 
     def plain(self, text: str) -> bytes:
-        return np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
 
     def cut(self, text: str) -> bytes:
         if "<|" in text or not LATIN.fullmatch(text):
@@ -72,13 +74,25 @@ class WordIds(dict):
         runs = LATIN_RUNS.findall(text.lower())
         if len(runs) > 1 or runs[0] != text:
             return b"".join([self[r.encode()] for r in runs])
-        return np.asarray([x.id for x in self.merge("".join([self.letters[b] for b in text.encode()]))], "<u4").tobytes()
+        return self.run("".join([self.letters[b] for b in text.encode()]))
+
+    def run(self, letters: str) -> bytes:
+        return array("I", [x.id for x in self.merge(letters)]).tobytes()
+
+    def ascii(self, word: bytes) -> bytes:
+        """As cut, for visible ASCII without apostrophes, whose letters stand for themselves."""
+        runs = ASCII_RUNS.findall(word.lower())
+        return b"".join([self[r] for r in runs]) if len(runs) > 1 or runs[0] != word else self.run(word.decode())
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        ids = self.cut(text) if getattr(self, "fast", True) else self.plain(text)
+        fast = getattr(self, "fast", True)
+        if fast and b"<|" not in word and ASCII.fullmatch(word):
+            ids = self.ascii(word)
+        else:
+            text = word.decode("utf-8", "replace")
+            ids = self.cut(text) if fast else self.plain(text)
         # The last half of the room is for single runs: the rest can be put together from them.
-        if self.bytes < (CACHE if text.islower() and text.isalpha() else CACHE // 2) and len(word) <= 64:
+        if self.bytes < (CACHE if word.islower() and word.isalpha() else CACHE // 2) and len(word) <= 64:
             self[word] = ids
             self.bytes += ENTRY + len(word) + len(ids)
         return ids

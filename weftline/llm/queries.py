@@ -173,7 +173,7 @@ links_of as (select a, b from pairs union all select b, a from pairs),
 reach(c, r) as (select c, c from classes union select reach.c, links_of.b from reach join links_of on reach.r = links_of.a),
 first as (select reach.c, min(member.doc_id) as component_id from reach join member on member.c = reach.r group by reach.c),
 links as (select links_of.a as c, sum(copies) as n from links_of join classes on classes.c = links_of.b group by 1)
-select doc_id, n as n_shingles, case when member.c is null then doc_id else component_id end as component_id,
+select doc_id, member.n as n_shingles, case when member.c is null then doc_id else component_id end as component_id,
     case when member.c is null then 0 else copies - 1 + coalesce(links.n, 0) end::bigint as n_links
 from member left join first on first.c = member.c left join classes on classes.c = member.c left join links on links.c = member.c""",
     "op8_chat_formatting": r"""
