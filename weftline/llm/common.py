@@ -70,8 +70,15 @@ def release_heaps(spark: SparkSession) -> None:
         spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
-def release_worker() -> None:
-    """Gives back what a task of a Python worker has freed; the worker lives on for other operators."""
+#: What a worker remembers from one task to the next, by name; each is bounded by bytes.
+KEPT: dict = {}
+
+
+def release_worker(keep: str | None = None) -> None:
+    """Ends a task: gives back what it has freed, and what other operators' tasks have left in KEPT, so that
+    a worker, which lives on for other operators, holds one cache at most."""
+    for name in [x for x in KEPT if x != keep]:
+        del KEPT[name]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

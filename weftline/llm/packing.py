@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import release_heaps, release_worker, require
+from .common import KEPT, release_heaps, release_worker, require
 
 WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 2048
-#: Bytes of word ids that a task remembers; those of an entry besides its word and ids.
+#: Bytes of word ids that a worker remembers, until another operator runs in it; those of an entry besides
+#: its word and ids.
 CACHE, ENTRY = 96 << 20, 180
 
 OUTPUT = (
@@ -247,7 +248,8 @@ def pack_documents(
     kinds = [pa.int64()] * 6 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer_path)
+        known = KEPT.setdefault(f"ids of {tokenizer_path}", None) or word_ids(tokenizer_path)
+        KEPT[f"ids of {tokenizer_path}"] = known
         packer = Packer(window, max_open, TaskContext.get().partitionId() << 32)
 
         def out() -> pa.RecordBatch:
@@ -266,7 +268,6 @@ def pack_documents(
                     yield out()
         packer.flush(True)
         yield out()
-        known.clear()
-        release_worker()
+        release_worker(keep=f"ids of {tokenizer_path}")
 
     return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, OUTPUT)
