@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.iterate import Budget, write_round
@@ -96,24 +96,34 @@ def frontier(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
 def layers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """node, layer: 0 calls nothing, else one more than the highest callee's; -1 on or above a cycle.
 
-    Kahn's peeling: each node holds the number of callees without a layer; a round takes the nodes at
-    zero and counts them off at their callers. One table is written a round. Raises if nodes are left
+    Kahn's peeling: a table holds the nodes without a layer and how many of their callees have none.
+    A round takes those at zero, counts them off at their callers, and writes what is left: the table
+    shrinks, and a round is one job, which also counts the next nodes at zero. Raises if nodes are left
     to take after `most` rounds."""
     calls = write_round(edges.select("src", "dst").distinct(), "edges")
     every = nodes.select(F.col("id").alias("node")).union(calls.select("src")).union(calls.select("dst")).distinct()
     out = calls.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("left"))
-    state = every.join(out, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("layer"))
-    state = write_round(state, "layers")
+
+    def written(state: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        table = write_round(state.observe(seen, F.count_if(F.col("left") == 0).alias("free")), "layers")
+        return table, seen.get["free"]
+
+    state, free = written(every.join(out, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left")))
+    done = []
     for layer in count():
-        free = state.where("layer is null and left = 0").select(F.col("node").alias("dst"))
-        if free.isEmpty():
+        if not free:
             break
         if most is not None and layer >= most:
             raise RuntimeError(f"layers did not end in {most} rounds")
-        done = calls.join(free, "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_done"))
-        now = F.when(F.col("layer").isNull() & (F.col("left") == 0), layer).otherwise(F.col("layer"))
-        state = write_round(state.join(done, "node", "left").select("node", (F.col("left") - F.coalesce("_done", F.lit(0))).alias("left"), now.alias("layer")), "layers")
-    return state.select("node", F.coalesce("layer", F.lit(-1)).alias("layer"))
+        ready = state.where("left = 0")
+        done.append(ready.select("node", F.lit(layer).alias("layer")))
+        if len(done) > 64:  # deep graphs: one table for what is done
+            done = [write_round(_union(done), "done")]
+        off = calls.join(ready.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_off"))
+        rest = state.where("left > 0").join(off, "node", "left")
+        state, free = written(rest.select("node", (F.col("left") - F.coalesce("_off", F.lit(0))).alias("left")))
+    return _union([*done, state.select("node", F.lit(-1).alias("layer"))])
 
 
 def cycles(edges: DataFrame, longest: int = 3, trim_rounds: int = 2) -> DataFrame:
