@@ -87,3 +87,47 @@ def test_bounds_are_not_silent(spark):
     with pytest.raises(RuntimeError):
         g.descend(frame(spark, [(0, 1), (1, 0)]).toDF("parent", "child"), nodes)
     assert g.layers.__defaults__ == (None,) and g.descend.__defaults__ == (None,)
+
+
+def model_parts(pairs):
+    reached = {n: set(model_reach(pairs, n)) for n in {x for p in pairs for x in p}}
+    parts = {n: {m for m in reached[n] if n in reached[m]} for n in reached}
+    return {n: min(p) for n, p in parts.items() if len(p) > 1}
+
+
+@pytest.mark.parametrize("pairs", [
+    [(i, i + 1) for i in range(40)],
+    [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (9, 8), (8, 7)],
+    [(random.Random(i).randrange(30), random.Random(i + 1000).randrange(30)) for i in range(45)],
+    [],
+])
+def test_strong_components_against_model(spark, pairs):
+    got = {r["node"]: r["component"] for r in g.strong_components(frame(spark, pairs)).collect()}
+    assert got == model_parts(pairs)
+
+
+def test_shortest_cycle_of_any_length(spark):
+    ring = [(i, (i + 1) % 12) for i in range(12)]
+    assert g.shortest_cycle(frame(spark, ring)).first()["length"] == 12
+    assert g.shortest_cycle_path(frame(spark, ring)).first()["cycle"] == list(range(12))
+    assert g.shortest_cycle(frame(spark, ring), longest=10).count() == 0
+    assert g.shortest_cycle_path(frame(spark, [*ring, (7, 5), (4, 4)])).first()["cycle"] == [4]
+    assert g.shortest_cycle_path(frame(spark, [*ring, (7, 5)])).first()["cycle"] == [5, 6, 7]
+    assert g.shortest_cycle_path(frame(spark, [(1, 2), (2, 3)])).count() == 0
+
+
+def test_chain_by_names(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("b", "d"), ("d", "a"), ("d", "e")], "src string, dst string")
+    start = spark.createDataFrame([("a", "a")], "source string, node string")
+    found = g.chain(pairs, start).collect()
+    assert sorted((r["node"], r["via"], r["depth"]) for r in found) == [("b", "a", 1), ("c", "a", 1), ("d", "b", 2), ("e", "d", 3)]
+    levels = g.chain_levels(g.chain(pairs, start, 2)).collect()
+    assert sorted((r["depth"], r["n"], r["total"]) for r in levels) == [(1, 2, 3), (2, 1, 3)]
+
+
+def test_budget_of_a_level_and_of_time(spark):
+    pairs = [(0, i) for i in range(1, 8)] + [(7, 8), (8, 9)]
+    seed = spark.createDataFrame([(0, 0)], "source long, node long")
+    for limits, most in ((Budget(frontier=3), 1), (Budget(seconds=0.0), 2), (Budget(), 3)):
+        assert g.reach(frame(spark, pairs), seed, None, budget=limits).agg({"depth": "max"}).first()[0] == most
+        assert limits.partial == (most < 3)

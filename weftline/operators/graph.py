@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import Budget, write_round
@@ -71,11 +71,28 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, up: bool = Fals
         levels.append(frontier)
         if len(levels) > 16:  # deep graphs: one table for what was reached
             levels = [write_round(_union(levels), "reached")]
-        if budget and not budget.goes_on(level + 1, _union(levels).count()):
+        if budget and not budget.goes_on(level + 1, _union(levels).count(), frontier.count()):
             break
     return _union(levels)
 
 
+def chain(edges: DataFrame, starts: DataFrame, depth: int = 10, up: bool = False) -> DataFrame:
+    """source, node, via, depth: what each start (source, node) reaches, once, at its least depth, and the
+    smallest node of the level before that leads there. Nodes are ids or names, whichever the edges hold."""
+    a, b = ("dst", "src") if up else ("src", "dst")
+    found = write_round(reach(edges, starts, depth, up), "found")
+    steps = edges.select(F.col(a).alias("via"), F.col(b).alias("node")).distinct()
+    before = found.select("source", F.col("node").alias("via"), (F.col("depth") + 1).alias("depth"))
+    met = found.where("depth > 0").join(steps, "node").join(before, ["source", "via", "depth"])
+    return met.groupBy("source", "node", "depth").agg(F.min("via").alias("via")).select("source", "node", "via", "depth")
+
+
+def chain_levels(chained: DataFrame) -> DataFrame:
+    """source, depth, n, total: the nodes of each level of a chain and of all its levels."""
+    each = chained.groupBy("source", "depth").agg(F.count("*").alias("n"))
+    return each.withColumn("total", F.sum("n").over(Window.partitionBy("source")))  # one row a level
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
@@ -149,22 +166,83 @@ def cycles(edges: DataFrame, longest: int = 3, trim_rounds: int = 2) -> DataFram
     return _union(found)
 
 
-def shortest_cycle(edges: DataFrame, longest: int = 10) -> DataFrame:
-    """length: that of the shortest cycle, from breadth first search of each node back to itself; no row
-    if there is none up to `longest`. A loop has length 1."""
-    steps = write_round(edges.select("src", "dst").distinct(), "edges")
-    loop = steps.where("src = dst").limit(1).select(F.lit(1).alias("length"))
-    if not loop.isEmpty():
-        return loop
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of all strongly connected parts of two nodes or more.
+
+    Each round draws a rank for every node; a node's colour is the node of least rank that reaches it, so
+    parts never lie in two colours, and what reaches its colour's node within the colour is a part. Edges
+    between colours and the parts found go; as ranks are drawn anew, about half of a long path's nodes lose
+    their colour a round."""
+    rest = write_round(edges.select("src", "dst").where("src != dst").distinct(), "edges")
+    found = rest.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
+    for r in count():
+        if rest.isEmpty():
+            return found
+        colours = _colours(rest, r)
+        a, b = colours.select(F.col("node").alias("src"), F.col("top").alias("c")), colours.select(F.col("node").alias("dst"), F.col("top").alias("c"))
+        kept = write_round(rest.join(a, "src").join(b, ["dst", "c"]).select("src", "dst"), "edges")
+        tops = colours.select(F.col("top").alias("source"), F.col("top").alias("node")).distinct()
+        part = reach(kept, tops, None, up=True)
+        least = part.groupBy("source").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = write_round(found.unionByName(part.join(least, "source").select("component", "node")), "parts")
+        gone = part.select("node")
+        rest = kept.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = write_round(rest.select("src", "dst"), "edges")
+
+
+def _colours(edges: DataFrame, draw: int) -> DataFrame:
+    """node, top: the node of least rank that reaches it, itself included."""
+    ranked = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    labels = write_round(ranked.select("node", F.xxhash64(F.lit(draw), "node").alias("rank"), F.col("node").alias("top")), "colours")
+    while True:
+        own = F.struct("rank", "top")
+        near = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(own).alias("_near"))
+        lower = labels.withColumn("_own", own).join(near, "node", "left").select("node", F.col("top").alias("_old"), F.least("_own", "_near").alias("_low"))
+        # What reaches a node's top reaches the node.
+        jump = labels.select(F.col("node").alias("_at"), own.alias("_far"))
+        least = lower.join(jump, F.col("_low.top") == F.col("_at")).select("node", "_old", F.least("_low", "_far").alias("_new"))
+        after = write_round(least.select("node", F.col("_new.rank").alias("rank"), F.col("_new.top").alias("top"), "_old"), "colours")
+        labels = after.drop("_old")
+        if after.where("top != _old").isEmpty():
+            return labels.select("node", "top")
+
+
+def _closed_walk(steps: DataFrame, longest: int | None) -> tuple[int, DataFrame]:
+    """The length of the shortest cycle of distinct edges and the nodes (start) on one of that length; 0 if
+    there is none."""
+    steps = write_round(steps, "edges")
     at = steps.select(F.col("src").alias("start"), F.col("dst").alias("src"))
-    for length in range(2, longest + 1):
+    for length in count(1):
+        hit = at.where("start = src").select("start")
+        if not hit.isEmpty():
+            return length, hit
+        if length == longest:
+            return 0, hit
         at = write_round(at.join(steps, "src").select("start", F.col("dst").alias("src")).distinct(), "walks")
         if at.isEmpty():
-            break
-        hit = at.where("start = src").limit(1).select(F.lit(length).alias("length"))
-        if not hit.isEmpty():
-            return hit
-    return loop
+            return 0, hit
+
+
+def shortest_cycle(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """length: that of the shortest cycle, from breadth first search of each node back to itself; no row
+    if there is none (up to `longest`, if given). A loop has length 1."""
+    length, hit = _closed_walk(edges.select("src", "dst").distinct(), longest)
+    return hit.limit(1 if length else 0).select(F.lit(length).alias("length"))
+
+
+def shortest_cycle_path(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """cycle: the nodes of a shortest cycle, in order: that of the smallest node on any, closed by the smallest
+    callers from its end. One row, or none if there is no cycle."""
+    steps = write_round(edges.select("src", "dst").distinct(), "edges")
+    length, hit = _closed_walk(steps, longest)
+    start = hit.agg(F.min("start").alias("node"))
+    path = start.select(F.array("node").alias("cycle"), F.col("node").alias("dst"))
+    if length > 1:
+        levels = reach(steps, start.select(F.col("node").alias("source"), "node"), length - 1)
+        for depth in range(length - 1, 0, -1):  # one row
+            back = path.join(steps, "dst").join(levels.where(F.col("depth") == depth).select(F.col("node").alias("src")), "src")
+            path = back.groupBy("cycle").agg(F.min("src").alias("dst")).select(F.concat(F.slice("cycle", 1, 1), F.array("dst"), F.expr("slice(cycle, 2, size(cycle))")).alias("cycle"), "dst")
+    return path.where(F.lit(length > 0)).select("cycle")
 
 
 def module_graph(edges: DataFrame, module_of: DataFrame) -> DataFrame:

@@ -110,6 +110,42 @@ def health(counts: DataFrame, high: str = "high", medium: str = "medium", low: s
     return counts.withColumn("score", score).withColumn("level", levels(score, (90, "excellent"), (70, "good"), (50, "fair"), other="poor"))
 
 
+# Lowest sizes of the severities high, medium and low by category.
+HEALTH_LIMITS = {"large_files": (2000, 1000, 500), "complex_functions": (30, 20, 10), "long_functions": (200, 100, 50)}
+
+
+def health_frames(measured: dict[str, DataFrame], limits: dict[str, tuple] = HEALTH_LIMITS) -> DataFrame:
+    """category, item, value, severity of what reaches a limit, of (item, value) by category."""
+    out = None
+    for category, rows in measured.items():
+        high, medium, low = limits[category]
+        value = F.col("value")
+        severity = levels(value, (high, "high"), (medium, "medium"), other="low")
+        found = rows.where(value >= low).select(F.lit(category).alias("category"), F.col("item").cast("string").alias("item"), value.cast("long").alias("value"), severity.alias("severity"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# Above the first a risk, above the second a high one; the classes without are always so.
+RISK_LIMITS = {"high_complexity": (20, 30), "oversized_function": (500, 1000)}
+RISK_ALWAYS = {"blocking_finding": "high", "broken_audit": "high", "db_stale": "medium"}
+
+
+def risks(classes: dict[str, DataFrame], top: int = 15) -> DataFrame:
+    """type, severity, item, value of (item, value) by class: the `top` largest of each, high ones first."""
+    out = None
+    for name, rows in classes.items():
+        if name in RISK_LIMITS:
+            some, high = RISK_LIMITS[name]
+            rows, severity = rows.where(F.col("value") > some), F.when(F.col("value") > high, "high").otherwise("medium")
+        else:
+            severity = F.lit(RISK_ALWAYS[name])
+        found = rows.select(F.lit(name).alias("type"), severity.alias("severity"), F.col("item").cast("string").alias("item"), F.col("value").cast("long").alias("value"))
+        found = found.orderBy(F.desc("value"), "item").limit(top)
+        out = found if out is None else out.unionByName(found)
+    return out.orderBy(F.col("severity") != "high", "type", F.desc("value"), "item")
+
+
 def savings(df: DataFrame, key: str, amount: str, pct: str) -> DataFrame:
     """Sum, count and mean by key and over all (key null), in one pass with rollup."""
     return df.rollup(key).agg(F.count("*").alias("n"), F.round(F.sum(amount), 2).alias("saved"), F.round(F.avg(pct), 4).alias("avg_pct"), F.grouping(key).cast("int").alias("is_total"))

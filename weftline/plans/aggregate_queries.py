@@ -284,6 +284,37 @@ def file_levels(spark, sf):
     return read(spark, sf, "documents").select("doc_id", r.levels(F.col("n_chars"), (20000, "critical"), (10000, "high"), (5000, "medium")).alias("level"))
 
 
+_QUANTITY = "select l_orderkey as item, sum(l_quantity)::bigint as value from lineitem group by 1"
+
+
+@query("health_categories", f"""with m as (select 'large_files' as category, doc_id::varchar as item, n_chars::bigint as value, 2000 as h, 1000 as m, 500 as l from documents
+    union all select 'complex_functions', p_partkey::varchar, p_size, 30, 20, 10 from part union all select 'long_functions', item::varchar, value, 200, 100, 50 from ({_QUANTITY}))
+    select category, item, value, case when value >= h then 'high' when value >= m then 'medium' else 'low' end as severity from m where value >= l""")
+def health_categories(spark, sf):
+    quantity = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.sum("l_quantity").cast("long").alias("value"))
+    files = read(spark, sf, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").alias("value"))
+    return r.health_frames({"large_files": files, "complex_functions": read(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("value")), "long_functions": quantity})
+
+
+@query("risk_classes", f"""with {FINDINGS}, m as (select 'high_complexity' as type, case when p_size > 30 then 'high' else 'medium' end as severity, p_partkey::varchar as item, p_size::bigint as value from part where p_size > 20
+    union all select 'oversized_function', case when n_chars > 1000 then 'high' else 'medium' end, doc_id::varchar, n_chars from documents where n_chars > 500
+    union all select 'blocking_finding', 'high', id::varchar, 1 from findings where severity = 'ERROR'
+    union all select 'broken_audit', 'high', conv_id::varchar, count(*) from conversations group by conv_id having max(turn) + 1 <> count(*)
+    union all select 'db_stale', 'medium', 'orders', 1 where (select max(o_orderdate) from orders) < (select max(l_shipdate) from lineitem))
+    select type, severity, item, value from m qualify row_number() over (partition by type order by value desc, item) <= 15""")
+def risk_classes(spark, sf):
+    one = lambda df, item, value: df.select(F.col(item).alias("item"), F.col(value).alias("value"))
+    audits = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("item")).agg(F.count("*").alias("value"), F.max("turn").alias("_last")).where("_last + 1 <> value")
+    ends = read(spark, sf, "orders").agg(F.max("o_orderdate").alias("a")).crossJoin(read(spark, sf, "lineitem").agg(F.max("l_shipdate").alias("b")))  # one row each
+    return r.risks({
+        "high_complexity": one(read(spark, sf, "part"), "p_partkey", "p_size"),
+        "oversized_function": one(read(spark, sf, "documents"), "doc_id", "n_chars"),
+        "blocking_finding": findings(spark, sf).where("severity = 'ERROR'").select(F.col("id").alias("item"), F.lit(1).alias("value")),
+        "broken_audit": audits.select("item", "value"),
+        "db_stale": ends.where("a < b").select(F.lit("orders").alias("item"), F.lit(1).alias("value")),
+    })
+
+
 @query("dependency_providers", f"""with d as (select l_orderkey, l_partkey from lineitem where l_orderkey % 50 = 0), p as (select s_nationkey, s_suppkey from supplier)
     select o_orderkey, count(s_suppkey) as providers, case when count(s_suppkey) = 1 then min(s_suppkey) end as chosen from orders join customer on c_custkey = o_custkey left join supplier on s_nationkey = c_nationkey group by o_orderkey""")
 def providers(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from .adapters import EDGES, ENTITIES, edges, entities, read
+from .iterate import Budget
 
 QUERIES, SQL = {}, {}
 
@@ -167,6 +168,48 @@ def shortest_cycle(spark, sf):
     return g.shortest_cycle(edges(spark, sf).where("src <> dst"))
 
 
+@query("graph_shortest_cycle_path", f"""with {EDGES}, s as (select distinct src, dst from edges where src <> dst),
+    c as (select 2 as l, a.src as x, a.dst as y, null::bigint as z from s a join s b on a.dst = b.src and b.dst = a.src
+        union all select 3, a.src, b.src, c.src from s a join s b on a.dst = b.src join s c on b.dst = c.src and c.dst = a.src)
+    select case when l = 2 then [x, y] else [x, y, z] end as cycle from c order by l, x, z, y limit 1""")
+def shortest_cycle_path(spark, sf):
+    return g.shortest_cycle_path(edges(spark, sf).where("src <> dst"))
+
+
+@query("graph_strong_components", f"""{STEPS}, r(a, b) as (select src, dst from steps union select a, dst from r join steps on src = b)
+    select x.a as node, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a having count(*) > 1""")
+def strong_components(spark, sf):
+    return g.strong_components(edges(spark, sf)).select("node", "component")
+
+
+NAMED = f"with recursive {EDGES}, {ENTITIES}, steps as (select distinct a.qualified as src, b.qualified as dst from edges join entities a on a.id = src join entities b on b.id = dst where src <> dst)"
+
+
+@query("graph_chain_names", NAMED + """, walk(node, depth) as (select qualified, 0 from entities where id = 1 union select s.dst, depth + 1 from walk join steps s on s.src = node where depth < 2),
+    least as (select node, min(depth)::int as depth from walk group by node)
+    select a.node, min(b.node) as via, a.depth from least a join steps s on s.dst = a.node join least b on b.node = s.src and b.depth = a.depth - 1 where a.depth > 0 group by a.node, a.depth""")
+def chain_names(spark, sf):
+    e = entities(spark, sf).select("id", "qualified")
+    named = edges(spark, sf).join(e.select(F.col("id").alias("src"), F.col("qualified").alias("a")), "src").join(e.select(F.col("id").alias("dst"), F.col("qualified").alias("b")), "dst")
+    start = e.where("id = 1").select(F.col("qualified").alias("source"), F.col("qualified").alias("node"))
+    return g.chain(named.select(F.col("a").alias("src"), F.col("b").alias("dst")), start, 2).select("node", "via", "depth")
+
+
+@query("graph_chain_levels", _reach_sql("dst", "src", 2, "select p_partkey, p_partkey, 0 from part") + """, least as (select source, node, min(depth)::int as depth from walk group by all having min(depth) > 0)
+    select source, depth, count(*) as n, sum(count(*)) over (partition by source)::bigint as total from least group by source, depth""")
+def chain_levels(spark, sf):
+    starts = read(spark, sf, "part").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("node"))
+    return g.chain_levels(g.chain(edges(spark, sf), starts, 2, up=True))
+
+
+@query("graph_budget", _reach_sql("src", "dst", 2) + """, least as (select node, min(depth)::int as depth from walk group by node)
+    select node, depth, (select count(*) > 100 or max(depth) = 2 from least) as partial from least order by depth, node limit 100""")
+def budgeted(spark, sf):
+    limits = Budget(depth=2)
+    found = g.reach(edges(spark, sf), _one(spark, 1), None, budget=limits)
+    return limits.cut(found.select("node", "depth"), "depth", "node")
+
+
 @query("mod_edges", f"""with {EDGES} select a.p_brand as src_module, b.p_brand as dst_module, count(*) as calls, count(distinct src) as callers, count(distinct dst) as callees
     from edges join part a on a.p_partkey = src join part b on b.p_partkey = dst where a.p_brand <> b.p_brand group by all""")
 def module_edges(spark, sf):

@@ -4,6 +4,7 @@ short and a lost executor costs a round's tasks at most."""
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +40,18 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = SMALL_BYTES) -> Dat
 
 
 class Budget:
-    """Limits of a traversal: depth, nodes and results; `partial` tells whether one was reached."""
-
-    def __init__(self, depth: int = 5, nodes: int | None = 1000, results: int | None = 100):
-        self.depth, self.nodes, self.results = depth, nodes, results
-        self.partial = False
-
-    def goes_on(self, level: int, nodes: int) -> bool:
-        if level > self.depth or (self.nodes is not None and nodes > self.nodes):
+    """Limits of a traversal: depth, nodes, results, nodes of a level (frontier) and seconds from the first
+    level on; `partial` tells whether one was reached."""
+
+    def __init__(self, depth: int = 5, nodes: int | None = 1000, results: int | None = 100, frontier: int | None = 500, seconds: float | None = None):
+        self.depth, self.nodes, self.results, self.frontier, self.seconds = depth, nodes, results, frontier, seconds
+        self.partial, self.began = False, None
+
+    def goes_on(self, level: int, nodes: int, frontier: int = 0) -> bool:
+        now = time.monotonic()
+        self.began = now if self.began is None else self.began
+        over = lambda value, limit: limit is not None and value > limit
+        if level > self.depth or over(nodes, self.nodes) or over(frontier, self.frontier) or over(now - self.began, self.seconds):
             self.partial = True
             return False
         return True
