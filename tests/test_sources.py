@@ -33,6 +33,8 @@ def test_builds(spark, tmp_path):
     assert tuple(found) == (["X=1", "Y"], ["inc"], ["-O2", "-Wall"])
     path = write(tmp_path, "Makefile", "CC := gcc\nall: a.o b.o\n\tcc a\nFLAGS += -O\n")
     assert rows(code.makefile(spark, path), "kind", "name") == [("target", "all", "a.o b.o"), ("variable", "CC", "gcc"), ("variable", "FLAGS", "-O")]
+    path = write(tmp_path, "Makefile.long", "SRC = a.c \\\n\tb.c\nall: a.o \\\n  b.o\n")
+    assert rows(code.makefile(spark, path), "kind", "name") == [("target", "all", "a.o b.o"), ("variable", "SRC", "a.c b.c")]
     path = write(tmp_path, "OWNERS", "# c\n* @all\n/src/ @dev @x\n")
     assert [r[2] for r in rows(code.codeowners(spark, path), "idx")] == ["@all", "@dev @x"]
     path = write(tmp_path, "d.patch", "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n+b\n c\n@@ -9 +10 @@\n-z\n+y\n")

@@ -38,3 +38,11 @@ def test_scores(spark):
     assert [(x["score"], x["level"]) for x in r.health(counts).collect()] == [(0.0, "poor"), (92.5, "excellent"), (100.0, "excellent")]
     lines = spark.createDataFrame([(1, 1, 0), (1, 2, 5), (1, 3, 0)], "entity int, line int, hits int")
     assert tuple(r.entity_coverage(lines).first()) == (1, 3, 1, 33.33, [1, 3])
+
+
+def test_enclosing_symbol(spark):
+    matches = spark.createDataFrame([("a", 2), ("a", 5), ("a", 9), ("b", 2)], "file string, line int")
+    symbols = spark.createDataFrame([("a", 1, "class", 1, 6), ("a", 2, "method", 4, 5), ("b", 3, "function", 3, 4)], "file string, id int, kind string, start_line int, end_line int")
+    found = {(r["file"], r["line"]): (r["symbol"], r["kind"]) for r in t.enclosing(matches, symbols).collect()}
+    assert found == {("a", 2): (1, "class"), ("a", 5): (2, "method"), ("a", 9): (None, None), ("b", 2): (None, None)}
+    assert [r["line"] for r in t.enclosing(matches, symbols, ["method"]).collect()] == [5]

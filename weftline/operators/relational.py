@@ -89,6 +89,11 @@ def hotspots(metrics: DataFrame, weights: dict[str, float], key: str = "entity")
     return metrics.crossJoin(most).select(key, *weights, F.round(total, 4).alias("score"))  # one row
 
 
+def hotspot_label(changes: Column, days: Column) -> Column:
+    """persistent: more than 5 changes, the last in 30 days; emerging: 3 to 5, the last in 7 days; else null."""
+    return F.when((changes > 5) & (days <= 30), "persistent").when(changes.between(3, 5) & (days <= 7), "emerging")
+
+
 def stability(runs: DataFrame, test: str, ts: str, last: int = 50, tie: str | None = None) -> DataFrame:
     """n, passed, pass_rate, avg_ms over the last runs of each test (status, duration)."""
     order = [F.col(ts).desc(), *([F.col(tie).desc()] if tie else [])]

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import stab_narrowest
+
 # Control words and operators that each add one path, as regular expressions. '&&' and '||'
 # count only where word characters touch them. Languages with ternaries, and comprehensions of Python.
 BRANCHES = (
@@ -71,6 +73,15 @@ def grep(df: DataFrame, key: str, text: str, patterns: list[str], limit: int = 5
     return rows.orderBy(key, "line").limit(limit)
 
 
+def enclosing(matches: DataFrame, symbols: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """matches (file, line, ...) plus symbol and kind: the narrowest of symbols (file, id, kind, start_line,
+    end_line) around the line, null outside of all; kinds: only matches in a symbol of these kinds."""
+    held = stab_narrowest(matches.select("file", "line").distinct(), symbols, ["file"])
+    named = held.join(symbols.select("file", "id", "kind").distinct(), ["file", "id"]).withColumnRenamed("id", "symbol")
+    out = matches.join(named, ["file", "line"], "left")
+    return out.where(F.col("kind").isin(kinds)) if kinds is not None else out
+
+
 # Issue rules (key, severity, pattern) for all languages and by language.
 COMMON_ISSUES = (
     ("todo_fixme", "warn", r"\b(TODO|FIXME|HACK|XXX|WORKAROUND)\b"),

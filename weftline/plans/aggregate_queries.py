@@ -110,6 +110,14 @@ def hot(spark, sf):
     return r.hotspots(m, {"freq": 0.4, "defects": 0.3, "complexity": 0.3})
 
 
+@query("evo_hotspot_labels", """with m as (select user_id, json_extract_string(props, '$.k') as rule, count(*) as changes, (epoch(timestamp '2024-01-31') - epoch(max(ts))) / 86400 as days from events group by all)
+    select user_id, rule, changes, case when changes > 5 and days <= 30 then 'persistent' when changes between 3 and 5 and days <= 7 then 'emerging' end as label from m""")
+def hotspot_labels(spark, sf):
+    m = read(spark, sf, "events").groupBy("user_id", F.get_json_object("props", "$.k").alias("rule")).agg(F.count("*").alias("changes"), F.max("ts").alias("last"))
+    days = (F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 86400e6
+    return m.select("user_id", "rule", "changes", r.hotspot_label(F.col("changes"), days).alias("label"))
+
+
 @query("defect_rate", f"select user_id, count(*) as changes, count_if(event_type = 'error') as defects, {RATIO.format(chr(99) + 'ount_if(event_type = ' + chr(39) + 'error' + chr(39) + ')', 'count(*)', 4)} as rate from events group by user_id")
 def defect_rate(spark, sf):
     n = F.count_if(F.col("event_type") == "error")

@@ -106,6 +106,17 @@ def grep(spark, sf):
     return t.grep(docs(spark, sf), "doc_id", "text", ["(?im)^the", r"(?m)ing\.$"]).select("doc_id", "line")
 
 
+@query("grep_enclosing", r"""with m as (select doc_id as file, line::int as line from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)
+    where regexp_matches(content, '(?i)^the')), s as (select l_orderkey as file, l_linenumber as id, min(l_returnflag) as kind, l_linenumber as start_line, (l_linenumber + max(l_quantity) % 4)::bigint as end_line from lineitem group by l_orderkey, l_linenumber)
+    select m.file, m.line, s.id as symbol, s.kind from m join s on s.file = m.file and m.line between s.start_line and s.end_line
+    qualify row_number() over (partition by m.file, m.line order by s.end_line - s.start_line, s.start_line, s.id) = 1 and kind in ('A', 'R')""")
+def grep_enclosing(spark, sf):
+    matches = t.text_lines(docs(spark, sf).where("text is not null"), "doc_id", "text").where(F.col("content").rlike("(?i)^the")).select(F.col("doc_id").alias("file"), "line")
+    lines = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("id")).agg(F.min("l_returnflag").alias("kind"), F.max("l_quantity").alias("q"))
+    symbols = lines.select("file", "id", "kind", F.col("id").alias("start_line"), (F.col("id") + F.col("q") % 4).cast("long").alias("end_line"))
+    return t.enclosing(matches, symbols, ["A", "R"]).select("file", "line", "symbol", "kind")
+
+
 @query("file_slice", "select doc_id, line::int as line, content from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) where line between 2 and 3")
 def file_slice(spark, sf):
     return t.text_lines(docs(spark, sf).where("text is not null"), "doc_id", "text").where("line between 2 and 3")

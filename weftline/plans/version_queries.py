@@ -82,6 +82,13 @@ def snapshot(spark, sf):
     return o.snapshot_diff(old, oe, new, ne)
 
 
+@query("diff_snapshot_scope", SQL["diff_snapshot"].replace("from olds a full join news b on", "from (select * from olds where module in (3, 7)) a full join (select * from news where module in (3, 7)) b on"))
+def snapshot_scope(spark, sf):
+    old, new = snapshots(spark, sf)
+    oe, ne = _snapshot_edges(spark, sf)
+    return o.snapshot_diff(old, oe, new, ne, F.col("module").isin(3, 7))
+
+
 @query("diff_edges", f"with {SNAP_EDGES} select src, dst, 'added' as change from (select * from ne except select * from oe) union all select src, dst, 'removed' from (select * from oe except select * from ne)")
 def edge_delta(spark, sf):
     return o.edge_delta(*_snapshot_edges(spark, sf))

@@ -122,9 +122,12 @@ def parse_tree(files: DataFrame) -> DataFrame:
     return files.select("path", "hash", "language").join(facts, ["hash", "language"]).select(*[x.split()[0] for x in PARSED.split(", ")])
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """path, n, line of whole text files: a report's lines have an order."""
+def _numbered(spark: SparkSession, path: str, joined: str | None = None) -> DataFrame:
+    """path, n, line of whole text files: a report's lines have an order. joined: what is a space, such as
+    line ends that do not end a line."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    if joined:
+        files = files.withColumn("value", F.regexp_replace("value", joined, " "))
     return files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
 
@@ -273,8 +276,8 @@ def compile_commands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def makefile(spark: SparkSession, path: str) -> DataFrame:
-    """kind (variable or target), name, value."""
-    rows = _numbered(spark, path)
+    """kind (variable or target), name, value; a line that ends in a backslash goes on in the next one."""
+    rows = _numbered(spark, path, r"[ \t]*\\\r?\n[ \t]*")
     variable, target = r"^(\w+)\s*[:+?]?=\s*(.*)$", r"^([\w./%-]+)\s*:(?!=)\s*(.*)$"
     kind = F.when(F.col("line").rlike(variable), "variable").when(F.col("line").rlike(target), "target")
     part = lambda i: F.when(F.col("kind") == "variable", F.regexp_extract("line", variable, i)).otherwise(F.regexp_extract("line", target, i))
