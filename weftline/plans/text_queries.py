@@ -211,10 +211,9 @@ def bodies(spark, sf, min_chars=0):
     return rows.withColumn("items", s.shingles(F.col("tokens"))).drop("text", "tokens")
 
 
-@query("clone_t1", "select a.doc_id as a, b.doc_id as b from documents a join documents b on a.text = b.text and a.doc_id < b.doc_id")
+@query("clone_t1", "select a, b from (select doc_id as b, min(doc_id) over (partition by text) as a from documents where text is not null) where a <> b")
 def clone_t1(spark, sf):
-    d = docs(spark, sf).where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.withColumnRenamed("doc_id", "a").join(d.withColumnRenamed("doc_id", "b"), "h").where("a < b").select("a", "b")
+    return s.stars(docs(spark, sf).where("text is not null").select("doc_id", F.sha2("text", 256).alias("h")), ["h"], "doc_id")
 
 
 NORMAL_SQL = r"""normals as (select doc_id as id, sha256(text) as ch, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -222,11 +221,13 @@ NORMAL_SQL = r"""normals as (select doc_id as id, sha256(text) as ch, trim(regex
     '([^\s\x01-\x03])', ' \1 ', 'g'), chr(1), 'STR'), chr(2), 'ID'), chr(3), 'NUM'), '\s+', ' ', 'g')) as n from documents where length(text) > 0)"""
 
 
-@query("clone_t2", f"with {NORMAL_SQL} select a.id as a, b.id as b from normals a join normals b on substr(sha256(a.n), 1, 16) = substr(sha256(b.n), 1, 16) and a.id < b.id and a.ch <> b.ch")
+TYPE2_SQL = "firsts as (select substr(sha256(n), 1, 16) as th, ch, min(id) as b from normals group by n, ch), twos as (select a, b from (select b, min(b) over (partition by th) as a from firsts) where a <> b)"
+
+
+@query("clone_t2", f"with {NORMAL_SQL}, {TYPE2_SQL} select a, b from twos")
 def clone_t2(spark, sf):
     d = docs(spark, sf).where("length(text) > 0").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("ch"), s.token_hash(s.normalise(F.col("text"))).alias("th"))
-    x, y = d.alias("x"), d.alias("y")
-    return x.join(y, (F.col("x.th") == F.col("y.th")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.ch") != F.col("y.ch"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return s.stars(d.groupBy("ch", "th").agg(F.min("id").alias("id")), ["th"])
 
 
 SETS_SQL = r"""words as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as w from documents where length(text) > 0),
@@ -235,10 +236,12 @@ SETS_SQL = r"""words as (select doc_id, string_split(trim(regexp_replace(text, '
     pairs as (select a.doc_id as a, b.doc_id as b, count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) as j from inv a join inv b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)"""
 
 
-@query("clone_t3", f"with {SETS_SQL} select a, b, round(j, 4) as similarity from pairs where j >= 0.8 and j < 1")
+@query("clone_t3", f"""with {SETS_SQL}, classes as (select doc_id as b, min(doc_id) over (partition by list_sort(items)) as a from sets)
+    select a, b, round(j, 4) as similarity from pairs where j >= 0.8 and j < 1 and a in (select a from classes) and b in (select a from classes)
+    union all select a, b, 1.0::double from classes where a <> b""")
 def clone_t3(spark, sf):
-    rows = bodies(spark, sf).select("id", "items")
-    return s.similar_sets(rows, 0.8).where("similarity < 1").select("a", "b", F.round("similarity", 4).alias("similarity"))
+    found = s.similar_classes(bodies(spark, sf).select("id", "items"), 0.8)
+    return found.select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
 @query("clone_groups", "select substr(sha256('1:' || sha256(text)), 1, 16) as group_hash, 1 as clone_type, count(*) as members, min(doc_id) as representative from documents where text is not null group by text having count(*) > 1")
@@ -247,9 +250,9 @@ def clone_groups(spark, sf):
     return s.clone_groups(d, "content_hash", 1)
 
 
-@query("clone_pairs", f"""with {SETS_SQL}, {NORMAL_SQL}, t as (select id, ch, substr(sha256(n), 1, 16) as th from normals), reps as (select th, min(id) as id from t group by th)
-    select a.id as a, b.id as b, 1 as clone_type, 1.0::double as similarity from t a join t b on a.ch = b.ch and a.id < b.id
-    union all select a.id, b.id, 2, 1.0::double from t a join t b on a.th = b.th and a.id < b.id where a.ch <> b.ch
+@query("clone_pairs", f"""with {SETS_SQL}, {NORMAL_SQL}, {TYPE2_SQL}, reps as (select min(id) as id from normals group by n),
+    ones as (select a, b from (select id as b, min(id) over (partition by ch) as a from normals) where a <> b)
+    select a, b, 1 as clone_type, 1.0::double as similarity from ones union all select a, b, 2, 1.0::double from twos
     union all select a, b, 3, round(j, 3) from pairs where j >= 0.8 and j < 1 and a in (select id from reps) and b in (select id from reps)""")
 def clone_pairs(spark, sf):
     return s.clone_pairs(bodies(spark, sf), 0.8)
