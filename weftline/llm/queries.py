@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the test tables, and SQL for those that it can express."""
+"""The queries op1 to op13 over the test tables, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, lang_id, line_dedup, mixing, packing, quality_classifier, quality_rules, url_filters
+from . import ann, chat, fill_in_middle, jaccard_join, lang_id, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, url_filters
 from .common import fold, table
 
 RULES = (
@@ -88,6 +88,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("form"), F.col("output"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1,
     "op2_language_id": op2,
@@ -99,8 +110,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8,
     "op9_quality_rules": op9,
     "op10_jaccard_join": op10,
+    "op11_fill_in_middle": op11,
+    "op13_license_scan": op13,
 }
 
+def _rows(rows) -> str:
+    """SQL rows of constants."""
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+TEMPLATES = [license_scan.Template.of(*t) for t in license_scan.TEMPLATES]
+TEMPLATE_ROWS = _rows((k, t.label, i, w, int(i in t.mandatory)) for k, t in enumerate(TEMPLATES) for i, w in enumerate(t.words))
+PHRASE_ROWS = _rows((k, label, i, w) for k, (p, label) in enumerate(license_scan.PHRASES) for i, w in enumerate(p.split(" ")))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": """
 with rules(rh, rp, rv) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
@@ -184,4 +206,29 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
     sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::bigint as formatted_chars
 from turns group by conv_id""",
+    "op11_fill_in_middle": """
+with docs as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as b,
+    text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 as plain, ('0x' || substr(h, 25, 8))::bigint % 100 < 20 as spm from docs),
+parts as (select *, substr(text, 1, least(a, b)) as p, substr(text, least(a, b) + 1, greatest(a, b) - least(a, b)) as m, substr(text, greatest(a, b) + 1) as s from drawn)
+select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form, case when not plain then length(p)::bigint end as prefix_chars,
+    case when not plain then length(m)::bigint end as middle_chars, sha256(case when plain then text when spm then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+    sha256(text) as restored_sha256 from parts""",
+    "op13_license_scan": rf"""
+with templates(t, label, pos, word, must) as (values {TEMPLATE_ROWS}), phrases(p, label, pos, word) as (values {PHRASE_ROWS}),
+docs as (select row_number() over () as k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+words as (select k, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from docs),
+held as (select word, count(distinct k) as n from words group by word),
+sizes as (select t, any_value(label) as label, count(*) as size, sum(must) as must from templates group by t),
+firsts as (select t, templates.word, min(pos) as pos, coalesce(any_value(n), 0) as n from templates left join held on held.word = templates.word group by t, templates.word),
+rare as (select t, firsts.pos from firsts join sizes using (t) qualify row_number() over (partition by t order by n, firsts.pos) <= least({license_scan.RARE}, (size + 1) // 2)),
+needed as (select t, count(*) as n from rare group by t),
+placed as (select k, templates.t, i - templates.pos as s, count(*) as same, sum(must) as must, count(rare.pos) as rares from words join templates using (word) left join rare on rare.t = templates.t and rare.pos = templates.pos group by 1, 2, 3),
+notices as (select k, label, same / size as score from placed join sizes using (t) join needed using (t) where placed.must = sizes.must and 100 * rares >= {license_scan.PERCENT} * n),
+found as (select k, list(distinct label) as labels, max(score) as score from notices group by k),
+places as (select k, p, any_value(label) as label, i - pos as s from words join phrases using (word) group by k, p, i - pos having count(*) = (select count(*) from phrases q where q.p = phrases.p)),
+base as (select k, count(*) as n_base, min(s) as first_word, max(s) as last_word, list(distinct label) as labels from places group by k)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') as labels, coalesce(score, 0)::double as score
+from docs left join base using (k) left join found using (k)""",
 }
