@@ -65,9 +65,9 @@ def test_against_brute_force(spark):
 
 
 def test_own_templates(spark):
-    docs = spark.createDataFrame([(1, "You may copy this freely, Bob."), (2, "copy this")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "You may copy this freely, Bob."), (2, "may copy this freely"), (3, "copy this")], "doc_id long, text string")
     found = scan_licenses(docs, phrases=[], templates=[("free", "you may [copy this] freely")]).orderBy("doc_id").collect()
-    assert [(r["n_base"], r["labels"], r["score"]) for r in found] == [(0, "free", 1.0), (0, "free", 0.5)]
-    assert found[1]["notices"][0]["first_word"] == -2
+    assert [(r["n_base"], r["labels"], r["score"]) for r in found] == [(0, "free", 1.0), (0, "free", 0.8), (0, "", 0.0)]
+    assert found[1]["notices"][0]["first_word"] == -1
     with pytest.raises(ValueError):
         scan_licenses(docs, templates=[("none", "no phrase")])

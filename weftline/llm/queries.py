@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fill_in_middle, jaccard_join, lang_id, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, url_filters
-from .common import fold, table
+from . import ann, chat, fill_in_middle, jaccard_join, lang_id, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, time_partitions, url_filters
+from .common import fold, scratch_dir, table
 
 RULES = (
     ("com", "/", "allow"),
@@ -94,6 +95,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def click_moment() -> Column:
+    """When a click counts: some are moved back by years, some to the Monday of their week."""
+    k = F.crc32(F.coalesce(F.col("click_id").cast("string"), F.lit("")).cast("binary")) % 128
+    ts = F.col("ts").cast("timestamp_ntz")
+    back = F.make_dt_interval(((k + 6) * (k + 6) * (k + 6)).cast("int"))
+    monday = F.date_sub(ts.cast("date"), F.weekday(ts.cast("date"))).cast("timestamp_ntz")
+    return F.when(k < 16, ts - back).when(k > 111, monday).otherwise(ts)
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_partitioned(table(spark, sf_dir, "clicks"))
+
+
+def time_partitioned(clicks: DataFrame) -> DataFrame:
+    folder = f"{scratch_dir(clicks.sparkSession)}/time-partitions-{uuid.uuid4().hex}"
+    first = F.coalesce(F.col("arrived_at") < F.lit("2024-05-01 00:00:00").cast("timestamp_ntz"), F.lit(False))
+    files = time_partitions.time_files(clicks, folder, click_moment(), ["arrived_at", "click_id"], 1 + clicks.count() // 500)
+    files.rewrite(clicks.where(first))
+    stayed = files.rewrite(clicks)
+    path = F.concat(F.lit(folder), F.substring_index("path", folder.rpartition("/")[2], -1))
+    rewritten = ~F.col("path").isin(*stayed) if stayed else F.lit(True)
+    return files.digests("click_id", ~first).select("leaf", F.lit(",".join(clicks.columns)).alias("columns"), "ids_sha256", path.alias("path"), "part", "n_rows", "n_new", rewritten.alias("rewritten"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -111,9 +136,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9,
     "op10_jaccard_join": op10,
     "op11_fill_in_middle": op11,
+    "op12_time_partitions": op12,
     "op13_license_scan": op13,
 }
 
+
 def _rows(rows) -> str:
     """SQL rows of constants."""
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
