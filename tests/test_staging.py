@@ -45,3 +45,34 @@ def test_watch_and_back_pressure(spark, tmp_path):
     batch = spark.createDataFrame([(1, 10), (2, 20)], "id long, size long")
     assert shed(batch, 0, 0)[1] is False
     assert shed(batch, 9_999, 0)[1] and shed(batch, 0, 256 << 20)[0].count() == 0
+
+
+def test_changes_of_equal_time(spark, tmp_path):
+    log = StagingLog(spark, str(tmp_path / "log"), patience=0)
+    event = spark.createDataFrame([("a", "created", "1")], "path string, kind string, content_hash string")
+    now = "2024-01-01 00:00:00"
+    log.append(event, now)
+    status = lambda: {r["lsn"]: r["status"] for r in log.state().collect()}
+    log.transition("applying", now)
+    log.recover(now)
+    assert status() == {1: "pending"}
+    for to in ("applying", "failed", "pending", "applying", "applied"):
+        log.transition(to, now)
+        assert status() == {1: to}
+
+
+def test_two_writers_and_dead_ones(spark, tmp_path):
+    a, b = (StagingLog(spark, str(tmp_path / "log"), patience=p) for p in (60, 0))
+    events = lambda p: spark.createDataFrame([(p, "created", "1")], "path string, kind string, content_hash string")
+    now = "2024-01-01 00:00:00"
+    a.append(events("x"), now)
+    dead = a._claim()  # claims a number, writes nothing
+    b.append(events("y"), now)  # does not wait for it
+    with pytest.raises(RuntimeError):  # comes back to life
+        a._write(dead, a.state())
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: StagingLog(spark, str(tmp_path / "log")).append(events(f"t{i}"), now), range(3)))
+    rows = a.state().collect()
+    assert sorted(r["lsn"] for r in rows) == [1, 2, 3, 4, 5] and {r["path"] for r in rows} == {"x", "y", "t0", "t1", "t2"}

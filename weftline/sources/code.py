@@ -33,15 +33,26 @@ def canonical_text(text: Column) -> Column:
     return F.regexp_replace(out, r"[ \t]+(\n|$)", "$1")
 
 
-def source_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """path, language, content, hash of the source files below a folder, canonical. Bytes that are no UTF-8
-    are replaced, so no file is lost."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def source_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, modificationTime, length, content and language of the source files below folders or at paths;
+    what is not selected of them is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     language = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), lambda k, _: k == F.lower(F.substring_index("path", ".", -1)))), F.lit(0))
+    return files.withColumn("language", language).where("language is not null")
+
+
+def canonical_source(files: DataFrame) -> DataFrame:
+    """path, language, content, hash of source files, canonical. Bytes that are no UTF-8 are replaced, so no
+    file is lost."""
     utf16 = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
     text = F.when(utf16, F.decode("content", "UTF-16")).otherwise(F.col("content").cast("string"))
-    rows = files.select("path", language.alias("language"), canonical_text(F.make_valid_utf8(text)).alias("content"))
-    return rows.where("language is not null").withColumn("hash", F.sha2("content", 256))
+    rows = files.select("path", "language", canonical_text(F.make_valid_utf8(text)).alias("content"))
+    return rows.withColumn("hash", F.sha2("content", 256))
+
+
+def source_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """path, language, content, hash of the source files below a folder, canonical."""
+    return canonical_source(source_files(spark, folder))
 
 
 def _python(content: str) -> tuple[list, list, list]:
