@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dynamic as d
 from ..operators import graph as g
 from .adapters import EDGES, ENTITIES, edges, entities, read
-from .iterate import Budget
+from .iterate import Budget, write_round
 
 QUERIES, SQL = {}, {}
 
@@ -309,6 +310,21 @@ def review(spark, sf):
     return hit.agg(F.count("*").alias("impacted"), F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("p_size") >= 25).alias("must_test"), g.risk_of(F.count("*"), 20, 5).alias("risk"))
 
 
+@query("graph_layers_delta", f"""with recursive {EDGES}, a as (select distinct src, dst from edges where src < dst),
+    b as (select * from a where src % 97 <> 5 union select p_partkey, p_partkey + 13 from part where p_partkey % 101 = 3 and p_partkey + 13 in (select p_partkey from part)),
+    wa(node, layer) as (select p_partkey, 0 from part union select a.src, wa.layer + 1 from wa join a on a.dst = wa.node),
+    wb(node, layer) as (select p_partkey, 0 from part union select b.src, wb.layer + 1 from wb join b on b.dst = wb.node),
+    la as (select node, max(layer)::int as old_layer from wa group by node), lb as (select node, max(layer)::int as new_layer from wb group by node)
+    select node, old_layer, new_layer from la join lb using (node) where old_layer <> new_layer""")
+def layers_delta(spark, sf):
+    """Layers corrected from those before a change of some edges, not computed anew."""
+    ids = entities(spark, sf).select("id")
+    old = write_round(edges(spark, sf).where("src < dst").select("src", "dst").distinct(), "old")
+    more = ids.where("id % 101 = 3").select(F.col("id").alias("src"), (F.col("id") + 13).alias("dst")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    new = old.where("src % 97 <> 5").unionByName(more).distinct()
+    return d.layers_delta(new, *d.edge_changes(old, new), write_round(g.layers(ids, old), "layers"))
+
+
 @query("context_edges", f"""with e as (select o_orderpriority as context, l_partkey as callee from lineitem join orders on o_orderkey = l_orderkey)
     select context, count(*) as edges, count_if(callee % 7 <> 0) as resolved, round(count_if(callee % 7 <> 0)::double / count(*), 4) as rate from e group by context""")
 def context_edges(spark, sf):
