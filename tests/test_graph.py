@@ -131,3 +131,35 @@ def test_budget_of_a_level_and_of_time(spark):
     for limits, most in ((Budget(frontier=3), 1), (Budget(seconds=0.0), 2), (Budget(), 3)):
         assert g.reach(frame(spark, pairs), seed, None, budget=limits).agg({"depth": "max"}).first()[0] == most
         assert limits.partial == (most < 3)
+
+
+def naive_cycles(pairs, longest):
+    found, steps = set(), {}
+    for a, b in pairs:
+        steps.setdefault(a, set()).add(b)
+
+    def grow(path):
+        for b in steps.get(path[-1], ()):
+            if b == path[0] and len(path) > 1:
+                found.add(tuple(path))
+            elif b > path[0] and b not in path and len(path) < longest:
+                grow([*path, b])
+
+    for a in steps:
+        grow([a])
+    return sorted(found, key=lambda c: (len(c), c))
+
+
+def test_long_cycles(spark):
+    rng = random.Random(8)
+    pairs = [(i, (i + 1) % 10) for i in range(10)] + [(20 + rng.randrange(12), 20 + rng.randrange(12)) for _ in range(30)] + [(40, 41), (41, 3)]
+    want = naive_cycles(pairs, 10)
+    assert max(map(len, want)) == 10 and len(want) > 8
+    assert sorted(tuple(r["cycle"]) for r in g.cycles(frame(spark, pairs), 10).collect()) == sorted(want)
+    some = g.cycles(frame(spark, pairs), 10, most=3).collect()
+    assert [tuple(r["cycle"]) for r in some] == want[:3] and all(r["partial"] for r in some)
+    ring = frame(spark, pairs[:10])
+    found = g.cycles(ring, 10, most=50).collect()
+    assert [tuple(r) for r in found] == [(list(range(10)), False)]
+    assert g.cycles(ring, 9).count() == 0 and g.shortest_cycle(ring).first()["length"] == 10
+    assert g.shortest_cycle_path(ring).first()["cycle"] == list(range(10)) and g.shortest_cycle(ring, 9).count() == 0

@@ -143,26 +143,65 @@ def layers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
     return _union([*done, state.select("node", F.lit(-1).alias("layer"))])
 
 
-def cycles(edges: DataFrame, longest: int = 3, trim_rounds: int = 2) -> DataFrame:
+#: Cycles beyond this length are looked for within strongly connected parts.
+SHORT = 3
+
+
+def cycles(edges: DataFrame, longest: int = 10, most: int | None = None) -> DataFrame:
     """cycle: node arrays, smallest node first, of all cycles of 2 to `longest` nodes, once each.
 
-    Nodes without a caller or a callee are trimmed for some rounds; then paths grow from each start
-    by larger nodes only, and close with an edge back."""
+    Paths grow from each start by larger nodes only, and only to nodes whose distance back to the start,
+    over larger nodes, fits in what is left: a path that cannot close is not kept. most: the shortest ones
+    up to that number, then by nodes, and a column partial that tells whether there are more; lengths are
+    then tried one after another, so longer cycles than needed are not looked for."""
     steps = edges.select("src", "dst").where("src != dst").distinct()
-    for _ in range(trim_rounds):
-        steps = steps.join(steps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        steps = steps.join(steps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    steps = write_round(steps.select("src", "dst"), "edges")
-    paths = steps.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("dst").alias("src"))
-    back = steps.select("src", F.col("dst").alias("first"))
+    if longest > SHORT:
+        part = strong_components(steps)
+        a, b = part.select(F.col("node").alias("src"), F.col("component").alias("p")), part.select(F.col("node").alias("dst"), F.col("component").alias("p"))
+        steps = steps.join(a, "src").join(b, ["dst", "p"]).select("src", "dst")
+    steps = write_round(steps, "edges")
+    found, back, n = [], None, 0
+    for distance, level in _distances(steps):
+        level = level.withColumn("distance", F.lit(distance))
+        back = level if back is None else back.unionByName(level)
+        size = distance + 1
+        if most is not None:
+            found.append(write_round(_closed(steps, back, size, (size,)), "cycles"))
+            n += found[-1].count()
+        if size == longest or (most is not None and n > most):
+            break
+    if back is None:
+        return steps.select(F.array("src").alias("cycle"), *[F.lit(False).alias("partial")] * (most is not None)).limit(0)
+    if most is None:
+        return _closed(steps, back, size, range(2, size + 1))
+    return _union(found).orderBy(F.size("cycle"), "cycle").limit(most).withColumn("partial", F.lit(n > most))
+
+
+def _distances(steps: DataFrame):
+    """distance, (start, node): nodes above a start that lead to it over such nodes, level by level, each once."""
+    level = write_round(steps.where("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("node")), "back")
+    seen, distance = level, 1
+    while not level.isEmpty():
+        yield distance, level
+        fresh = level.join(steps.withColumnRenamed("dst", "node"), "node").where("src > start").select("start", F.col("src").alias("node")).distinct()
+        level = write_round(fresh.join(seen, ["start", "node"], "left_anti"), "back")
+        seen = seen.unionByName(level)
+        distance += 1
+        if distance % 16 == 0:
+            seen = write_round(seen, "seen")
+
+
+def _closed(steps: DataFrame, back: DataFrame, size: int, sizes) -> DataFrame:
+    """Cycles of the given sizes, `size` at most. back: start, node, distance."""
+    paths = steps.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("node"))
     found = []
-    for size in range(2, longest + 1):
+    for k in range(2, size + 1):
+        paths = paths.join(back.where(F.col("distance") <= size - k + 1), ["start", "node"])
         paths = write_round(paths, "paths")
-        found.append(paths.withColumn("first", F.get("path", F.lit(0))).join(back, ["src", "first"]).select(F.col("path").alias("cycle")))
-        if size < longest:
-            paths = paths.join(steps, "src").where((F.col("dst") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("dst"))).select(
-                F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src")
-            )
+        if k in sizes:
+            found.append(paths.where("distance = 1").select(F.col("path").alias("cycle")))
+        on = paths.drop("distance").join(steps, F.col("node") == F.col("src")).where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
+        paths = on.select(F.concat("path", F.array("dst")).alias("path"), "start", F.col("dst").alias("node"))
     return _union(found)
 
 
@@ -208,23 +247,23 @@ def _colours(edges: DataFrame, draw: int) -> DataFrame:
 
 
 def _closed_walk(steps: DataFrame, longest: int | None) -> tuple[int, DataFrame]:
-    """The length of the shortest cycle of distinct edges and the nodes (start) on one of that length; 0 if
-    there is none."""
+    """The length of the shortest cycle of distinct edges and the smallest nodes (start) of those of that
+    length; 0 if there is none."""
     steps = write_round(steps, "edges")
-    at = steps.select(F.col("src").alias("start"), F.col("dst").alias("src"))
-    for length in count(1):
-        hit = at.where("start = src").select("start")
+    hit = steps.where("src = dst").select(F.col("src").alias("start"))
+    if not hit.isEmpty():
+        return 1, hit
+    for distance, level in _distances(steps):
+        if longest is not None and distance >= longest:
+            break
+        hit = level.join(steps.select(F.col("src").alias("start"), F.col("dst").alias("node")), ["start", "node"]).select("start")
         if not hit.isEmpty():
-            return length, hit
-        if length == longest:
-            return 0, hit
-        at = write_round(at.join(steps, "src").select("start", F.col("dst").alias("src")).distinct(), "walks")
-        if at.isEmpty():
-            return 0, hit
+            return distance + 1, hit
+    return 0, hit.limit(0)
 
 
 def shortest_cycle(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """length: that of the shortest cycle, from breadth first search of each node back to itself; no row
+    """length: that of the shortest cycle, by distances back to its smallest node; no row
     if there is none (up to `longest`, if given). A loop has length 1."""
     length, hit = _closed_walk(edges.select("src", "dst").distinct(), longest)
     return hit.limit(1 if length else 0).select(F.lit(length).alias("length"))

@@ -162,9 +162,23 @@ def cycles(spark, sf):
     return g.cycles(edges(spark, sf), 3)
 
 
-@query("graph_shortest_cycle", f"""with {EDGES}, s as (select distinct src, dst from edges where src <> dst)
-    select case when exists (select 1 from s a join s b on a.dst = b.src and b.dst = a.src) then 2
-    when exists (select 1 from s a join s b on a.dst = b.src join s c on b.dst = c.src and c.dst = a.src) then 3 else 4 end as length""")
+#: Of each part's successors the first and the last: a sparse graph, in which cycles are few and long.
+SPARSE = f"{EDGES}, s as (select src, min(dst) as dst from edges where src <> dst group by src union select src, max(dst) from edges where src <> dst group by src)"
+
+
+@query("graph_cycles_deep", f"""with recursive {SPARSE}, walk(path) as (select [src, dst] from s where dst > src
+    union all select list_append(path, dst) from walk join s on s.src = path[-1] where len(path) < 10 and dst > path[1] and not list_contains(path, dst)),
+    c as (select path as cycle from walk join s on s.src = path[-1] and s.dst = path[1])
+    select cycle, (select count(*) > 50 from c) as partial from c order by len(cycle), cycle limit 50""")
+def cycles_deep(spark, sf):
+    """The first 50 cycles of up to ten nodes."""
+    ends = edges(spark, sf).where("src <> dst").groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
+    return g.cycles(ends.select("src", F.explode(F.array("a", "b")).alias("dst")), 10, most=50)
+
+
+@query("graph_shortest_cycle", f"""with recursive {STEPS.removeprefix("with recursive ")}, walk(start, node, n) as (select src, dst, 1 from steps
+    union select w.start, s.dst, w.n + 1 from walk w join steps s on s.src = w.node where w.start <> w.node and w.n < 4)
+    select min(n)::int as length from walk where start = node having min(n) is not null""")
 def shortest_cycle(spark, sf):
     return g.shortest_cycle(edges(spark, sf).where("src <> dst"))
 
