@@ -212,14 +212,21 @@ def build_index(
     return materialise(rows.groupBy("shard").applyInArrow(run, INDEX), "index")
 
 
+def by_powers(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component below one: exact, and products of
+    very large or small components neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 class Shard:
     """A row of the index, ready to be searched."""
 
     def __init__(self, row: dict, links: int):
         n, dim = row["n"], row["dim"]
-        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
+        vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
+        self.vectors = by_powers(vectors)
         self.ids, self.first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
-        scaled = self.vectors / np.abs(self.vectors).max(1, keepdims=True)
+        scaled = vectors / np.abs(vectors).max(1, keepdims=True)
         unit = (scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))).astype(np.float32)
         flat, lists, at = np.frombuffer(row["lists"], np.int32), [], 0
         for layer in range(row["layers"]):
@@ -234,7 +241,7 @@ class Shard:
         scaled = queries / np.abs(queries).max(1, keepdims=True)
         unit = (scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))).astype(np.float32)
         found: list[tuple[int, int, float]] = []
-        for query_id, q, row in zip(query_ids, queries, self.graph.search(unit, beam), strict=True):
+        for query_id, q, row in zip(query_ids, by_powers(queries), self.graph.search(unit, beam), strict=True):
             nodes = row[row >= 0]
             scores = (self.vectors[nodes] * q).sum(1) / (self.norms[nodes] * np.sqrt((q * q).sum()))
             out: list[tuple[float, int]] = []

@@ -33,6 +33,17 @@ def hash_fraction(col: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def valid_text(text: Column) -> Column:
+    """A text column for Python workers: bytes that are no UTF-8 become U+FFFD, null stays null."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns of df as values to hash, and whether each is null; types with maps, which have no hash, as JSON."""
+    cols = [F.to_json(F.struct(df[f.name])) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else df[f.name] for f in df.schema]
+    return [*cols, *(df[f.name].isNull() for f in df.schema)]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

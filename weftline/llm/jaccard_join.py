@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ASCII_SPACE, flat, materialise, release_heaps, release_worker, require, slices
+from .common import ASCII_SPACE, flat, hashable, materialise, release_heaps, release_worker, require, slices
 from .components import connected_components
 
 SHINGLE = 4
@@ -387,11 +387,11 @@ def drop_near_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, list_cost: float = LIST_COST
 ) -> DataFrame:
     """One row of each component stays: that of the smallest id, null last (then the smallest hash of all
-    its columns); rows whose text has no words stay all. Rows with a null id or one that occurs again
+    its columns, maps as JSON); rows whose text has no words stay all. Rows with a null id or one that occurs again
     are documents of their own. Columns of docs."""
     require(docs, doc_id, text)
     columns = [F.col(c) for c in docs.columns]
-    row = F.xxhash64(*columns, *(c.isNull() for c in columns))
+    row = F.xxhash64(*hashable(docs))
     # The row in one column: no name of docs can clash with those used here.
     packed = docs.select(F.struct(*columns).alias("doc"), F.col(doc_id).cast("long").alias("did"), F.col(text).alias("text"), row.alias("row"))
     sets, ids = _classes(packed.select("did", "text", "row"), percent, size, list_cost)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import flat, hash_fraction, release_heaps, release_worker, require, slices
+from .common import flat, hash_fraction, release_heaps, release_worker, require, slices, valid_text
 
 UNKNOWN = "und"
 #: Training rows: about so many a language, drawn by a hash of the id.
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], train_docs / r["n"])])
     number = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["lang"], i)])
     drawn = hash_fraction(F.col(doc_id), seed) < F.element_at(share, F.col(lang))
-    sample = known.where(drawn).select(F.element_at(number, F.col(lang)).alias("_lang"), F.col(text).alias("_text"))
+    sample = known.where(drawn).select(F.element_at(number, F.col(lang)).alias("_lang"), valid_text(F.col(text)).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +330,7 @@ def labelled(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                 )
         release_worker()
 
-    packed = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("doc"), docs[text].alias("text"))
+    packed = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("doc"), valid_text(docs[text]).alias("text"))
     return packed.mapInArrow(run, StructType([packed.schema["doc"], *StructType.fromDDL(FOUND).fields]))
 
 

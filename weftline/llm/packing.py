@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import KEPT, release_heaps, release_worker, require
+from .common import KEPT, release_heaps, release_worker, require, valid_text
 
 WINDOW = 4096
 END_ID = 2
@@ -237,7 +238,7 @@ def pack_documents(
 
     Each task packs the rows it reads, in one pass and without a shuffle; its sequences are
     numbered from its partition's number times 2**32, so they are unique over the table and the
-    same again if a lost task is run anew. A null or empty text is one piece, the end token alone.
+    same again if a lost task is run anew. Bytes that are no UTF-8 become U+FFFD. A null or empty text is one piece, the end token alone.
     Repeated rows and null ids are documents of their own. Other columns are not read. Empty
     input: no rows. tokenizer_path: a `tokenizers` file whose pre-tokeniser splits at white space.
     """
@@ -270,4 +271,4 @@ def pack_documents(
         yield out()
         release_worker(keep=f"ids of {tokenizer_path}")
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, OUTPUT)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), valid_text(F.col(text)).alias("text")).mapInArrow(run, OUTPUT)

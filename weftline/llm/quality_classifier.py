@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, release_heaps, release_worker, require
+from .common import hash_fraction, release_heaps, release_worker, require, valid_text
 
 BITS = 20
 #: Labelled rows the model is fitted to, about; drawn by a hash of the id.
@@ -160,7 +160,7 @@ def fit(
     usable = usable.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     n = usable.count()
     drawn = usable.withColumn("_u", hash_fraction(F.col("_id"), seed)).where(F.col("_u") < train_rows / max(n, 1)).drop("_u")
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    sample = docs.select(F.col(doc_id).alias("_id"), valid_text(F.col(text)).alias("_text")).join(F.broadcast(drawn), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -179,7 +179,7 @@ def score(
 ) -> DataFrame:
     """doc_id, score in (0, 1), predicted (1 if score >= threshold) for every row's whole text.
 
-    Null and empty texts have no features and get the score of the bias alone. Null ids and
+    Bytes that are no UTF-8 become U+FFFD. Null and empty texts have no features and get the score of the bias alone. Null ids and
     repeated rows are rows like others; other columns are not read. Empty input: no rows.
     """
     require(docs, doc_id, text)
@@ -196,4 +196,4 @@ def score(
             )
         release_worker()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), valid_text(F.col(text)).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, valid_text
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -134,7 +135,7 @@ def clean_lines(
     Lines with words that look like navigation, symbol junk or shouting, lack terminal punctuation
     or hold boilerplate are removed; a document is kept if it has min_words words, at most
     max_repeated of them in repeated three-word windows, and lost at most max_lost of them with its
-    lines. Null and empty texts have no words, all counts 0 and fail. Null ids stay null, repeated
+    lines. Bytes that are no UTF-8 become U+FFFD. Null and empty texts have no words, all counts 0 and fail. Null ids stay null, repeated
     rows give a row each, other columns are not read. Empty input: no rows.
     """
     require(docs, doc_id, text)
@@ -148,7 +149,7 @@ def clean_lines(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=NAMES
             )
 
-    ids = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), valid_text(F.col(text)).alias("text"))
     return ids.mapInArrow(run, OUTPUT)
 
 

@@ -51,13 +51,17 @@ def judge_urls(
     if the URL's path starts with its path. The longest rule (host and path together, then host)
     wins; equal rules that disagree block. Rules with a null or empty host fit nothing, a null path
     is an empty one. No rule: rule is null and verdict is `default`. Every input row gives one row,
-    repeated rows too; columns named host, path, rule or verdict in pages are replaced. An empty
+    repeated rows too; columns named host, path, rule or verdict in pages are replaced, others, of any
+    name and type, come through as they are. An empty
     table of pages or rules is no special case.
     """
     require(pages, url)
     require(rules, "host", "path", "verdict")
-    host, path = url_parts(F.col(url))
-    pages = pages.drop("rule", "verdict").withColumns({"_host": host, "_path": path}).drop("host", "path")
+    host, path = url_parts(pages[url])
+    new = ("host", "path", "rule", "verdict")
+    own = [c for c in pages.columns if c not in new]
+    # The row in one column: no name of pages can clash with those used here.
+    pages = pages.select(F.struct(*[pages[c] for c in own]).alias("_page"), host.alias("_host"), path.alias("_path"))
 
     rules = (
         rules.select(
@@ -104,7 +108,7 @@ def judge_urls(
     verdicts = met.where("_digest = _rule_digest").groupBy("_host", "_path").agg(best)
 
     return pages.join(verdicts, ["_host", "_path"], "left").select(
-        *[c for c in pages.columns if c not in ("_host", "_path")],
+        *[F.col("_page").getField(c).alias(c) for c in own],
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("_best._rule").alias("rule"),
