@@ -160,3 +160,38 @@ def test_long_cycles(spark):
     assert [tuple(r["cycle"]) for r in some] == want[:3] and all(r["partial"] for r in some)
     ring = frame(spark, [(i, (i + 1) % 6) for i in range(6)])
     assert g.shortest_cycle(ring).first()["length"] == 6 and g.shortest_cycle(ring, 5).count() == 0
+
+
+def test_sets_of_sources(spark):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(15), rng.randrange(15)) for _ in range(25)]
+    seeds = [(s, rng.randrange(15)) for s in (0, 1, 2, 40_000, 40_001, 100_000)] + [(1, 3)]
+    rows = spark.createDataFrame(seeds, "source long, node long")
+    for depth, up in ((2, True), (3, False)):
+        walked = [(b, a) for a, b in pairs] if up else pairs
+        want = {}
+        for s, n in seeds:
+            for x in model_reach(walked, n, depth):
+                want.setdefault(x, set()).add(s)
+        found = {}
+        for r in g.reach_sets(frame(spark, pairs), rows, depth, up).collect():
+            first = 32_768 * (r["bucket"] - 1) + 1 if r["bucket"] else 0  # 0 has a bucket of its own
+            bits = {first + 8 * i + k for i, byte in enumerate(r["bits"]) for k in range(8) if byte >> k & 1}
+            found.setdefault(r["node"], set()).update(bits)
+        assert found == want
+
+
+def test_rollup(spark):
+    rng = random.Random(7)
+    parent = {i: rng.randrange(i) for i in range(1, 60)} | {70: 99, 71: None}
+    value = {i: i % 5 for i in [*range(60), 70, 71, 72]}
+    below = lambda n: value[n] + sum(below(c) for c, p in parent.items() if p == n)
+    links = spark.createDataFrame(sorted(parent.items()), "node long, parent long")
+    values = spark.createDataFrame(sorted(value.items()), "node long, v long")
+    assert {r["node"]: r["v"] for r in g.rollup(links, values, "v").collect()} == {n: below(n) for n in value}
+    n = 10_000  # a chain
+    chain = spark.range(n).selectExpr("id as node", "case when id > 0 then id - 1 end as parent", "1L as v")
+    sums = g.rollup(chain.select("node", "parent"), chain.select("node", "v"), "v")
+    assert sums.count() == n and sums.where(f"v != {n} - node").count() == 0
+    with pytest.raises(RuntimeError):
+        g.rollup(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"), spark.createDataFrame([(1, 1), (2, 1)], "node long, v long"), "v")

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.streaming import events as e
@@ -71,3 +72,45 @@ def test_publish(spark, tmp_path):
     assert sorted(tuple(r)[:2] for r in publish.current(spark, folder).collect()) == [("a", 2), ("c", 1)]
     assert publish.drop_old(spark, folder, 1) == [1]
     assert publish.current(spark, folder).where(F.col("k") == "a").count() == 1
+
+
+GUARDED = [
+    ("a", 1, "seen", 1, 1), ("a", 2, "seen", 1, 2), ("a", 3, "commit", 1, 1), ("a", 4, "commit", 1, 2), ("a", 5, "commit", 1, 2), ("a", 6, "seen", 1, 2),
+    ("b", 7, "commit", 1, 1), ("b", 8, "seen", 3, 0), ("a", 9, "seen", 0, 9), ("a", 10, "seen", 2, 0), ("a", 11, "commit", 1, 2), ("a", 12, "commit", 2, 0), ("b", 13, "seen", 2, 9),
+]
+VERDICTS = ["accept", "accept", "stale", "commit", "commit", "duplicate", "stale", "accept", "stale", "accept", "stale", "commit", "stale"]
+
+
+def test_two_phases_over_restarts(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    schema = "path string, arrival long, phase string, epoch long, seq long"
+    batch = e.two_phase_guard(spark.createDataFrame(GUARDED, schema), "path", "arrival").orderBy("arrival").collect()
+    assert [r["verdict"] for r in batch] == VERDICTS
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, part in enumerate((GUARDED[:2], GUARDED[2:7], GUARDED[7:])):  # a start each, on one checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+        guarded = e.two_phase_guard_stream(stream, "path", "arrival").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        guarded.start(sink).awaitTermination()
+    found = spark.read.parquet(sink).orderBy("arrival").collect()
+    assert [r["verdict"] for r in found] == VERDICTS and [r["arrival"] for r in found] == list(range(1, 14))
+
+
+def test_latest_wins_stream_is_the_batch(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    schema = "path string, ts timestamp, v int, note string"
+    rows = [("a", at(0), 1, None), ("a", at(0.2), 2, "x"), ("b", at(0.3), 3, "y"), ("a", at(5), 4, None), ("a", at(5.1), 5, "z"), ("a", at(5.2), 6, "w"), ("a", at(5.3), 7, "u"), ("b", at(9), 8, None)]
+    want = {tuple(r) for r in e.latest_wins(spark.createDataFrame(rows, schema), "path", "ts", 500, 3).collect()}
+    assert {(r[0], r[1], r[2], r[4]) for r in want} == {("a", 2, "quiet", 2), ("b", 1, "quiet", 3), ("a", 3, "number", 6), ("a", 1, "quiet", 7), ("b", 1, "quiet", 8)}
+    parts = [rows[:2], rows[2:5], rows[5:], [("z", at(100), 0, None)], [("z", at(200), 0, None)]]
+    got = run_stream(spark, tmp_path, parts, schema, lambda s: e.latest_wins_stream(s.withWatermark("ts", "0 seconds"), "path", "ts", 500, 3), "latest")
+    assert {x for x in got if x[0] != "z"} == want
+
+
+def test_removals_in_hash_diff(spark, tmp_path):
+    schema = "path string, ts timestamp, hash string"
+    rows = [("a", at(i), h) for i, h in enumerate(["x", None, None, "x", "y", None])] + [("b", at(9), None)]
+    batch = [(r["path"], r["hash"], r["change"]) for r in e.hash_diff(spark.createDataFrame(rows, schema), "path", ["ts"], "hash").orderBy("ts").collect()]
+    assert batch == [("a", "x", "added"), ("a", None, "removed"), ("a", "x", "added"), ("a", "y", "modified"), ("a", None, "removed")]
+    got = run_stream(spark, tmp_path, [rows[:2], rows[2:]], schema, lambda s: e.hash_diff_stream(s, "path", "ts", "hash"), "removals")
+    assert sorted(got, key=str) == sorted(batch, key=str)

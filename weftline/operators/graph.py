@@ -310,13 +310,57 @@ def risk_of(count: Column, high: int, medium: int) -> Column:
     return F.when(count > high, "high").when(count > medium, "medium").otherwise("low")
 
 
+def reach_sets(edges: DataFrame, seeds: DataFrame, depth: int, up: bool = False) -> DataFrame:
+    """node, bucket, bits: the sources (longs) that reach each node within depth, as bitmaps of 32,768 sources a
+    bucket. seeds: source, node; sources of one node travel together. A round sends on the bitmaps that have
+    grown, so there is one row for a node and bucket, not one for a node and source; sources should be
+    numbered densely (sparse ones only cost rows)."""
+    a, b = ("dst", "src") if up else ("src", "dst")
+    steps = write_round(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node != next").distinct(), "edges")
+    own = seeds.groupBy("node", F.bitmap_bucket_number("source").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("source")).alias("bits"))
+    state = write_round(own, "sets")
+    fresh = state
+    for _ in range(depth):
+        sent = fresh.join(steps, "node").groupBy(F.col("next").alias("node"), "bucket").agg(F.bitmap_or_agg("bits").alias("sent"))
+        both = state.join(sent, ["node", "bucket"], "full")
+        either = both.where("bits is null or sent is null").select("node", "bucket", F.coalesce("bits", "sent").alias("bits"), F.col("bits").isNull().alias("grown"))
+        # Both: the two rows of a node meet in the aggregate once more.
+        pairs = both.where("bits is not null and sent is not null").select("node", "bucket", "bits", F.explode(F.array("bits", "sent")).alias("one"))
+        joined = pairs.groupBy("node", "bucket", "bits").agg(F.bitmap_or_agg("one").alias("all")).select("node", "bucket", F.col("all").alias("bits"), (F.col("all") != F.col("bits")).alias("grown"))
+        after = write_round(either.unionByName(joined), "sets")
+        state, fresh = after.drop("grown"), after.where("grown").drop("grown")
+    return state
+
+
 def vulnerability(edges: DataFrame, findings: DataFrame, depth: int = 3, top: int = 20) -> DataFrame:
     """node, n_findings of the nodes that at least two findings (id, node) reach upwards; the top ones."""
-    hit = reach(edges, findings.select(F.col("id").alias("source"), "node"), depth, up=True)
-    counts = hit.groupBy("node").agg(F.countDistinct("source").alias("n_findings")).where("n_findings >= 2")
+    sets = reach_sets(edges, findings.select(F.col("id").alias("source"), "node"), depth, up=True)
+    counts = sets.groupBy("node").agg(F.sum(F.bitmap_count("bits")).alias("n_findings")).where("n_findings >= 2")
     return counts.orderBy(F.col("n_findings").desc(), "node").limit(top)
 
 
+def rollup(parents: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """node and the sums of columns over each node and all below it. parents: node, parent (null or in no row
+    of values: a root); values: node and columns, a row a node.
+
+    A node's sum over the levels within 2^k below it and its ancestor 2^k above are kept: a round adds what
+    those ancestors' others have and doubles the distance. One row a node at any depth, as many rounds as a
+    depth has binary digits. Raises if the parents have a cycle."""
+    up = parents.select("node", "parent").join(values.select(F.col("node").alias("parent")), "parent", "left_semi")
+    rows = write_round(values.select("node", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns]).join(up, "node", "left").withColumnRenamed("parent", "up"), "sums")
+    n = rows.count()
+    for k in count():
+        linked = rows.where("up is not null")
+        if linked.isEmpty():
+            return rows.select("node", *columns)
+        if 2**k > n:
+            raise RuntimeError("the parents have a cycle")
+        below = linked.groupBy(F.col("up").alias("node")).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+        jump = rows.select(F.col("node").alias("up"), F.col("up").alias("_next"))
+        added = rows.join(below, "node", "left").join(jump, "up", "left")
+        rows = write_round(added.select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in columns], F.col("_next").alias("up")), "sums")
+
+
 def descend(children: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """ancestor, node, depth of a tree given as (child, parent), level by level to its end. Raises if it
     is deeper than `most`, or has a cycle."""

@@ -286,15 +286,11 @@ def tree(spark, sf):
     t(ancestor, node) as (select p_partkey, p_partkey from part union all select ancestor, child from t join n on parent = node)
     select ancestor, count(*) as total, count_if(p_size >= 25) as done, round(count_if(p_size >= 25)::double / count(*), 4) as progress from t join part on p_partkey = node group by ancestor""")
 def tree_rollup(spark, sf):
-    return _tree_rollup(spark, sf, "true")
-
-
-def _tree_rollup(spark, sf, roots):
     part = read(spark, sf, "part")
-    children = part.where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent"))
-    pairs = g.descend(children, part.where(roots).select(F.col("p_partkey").alias("id")))
-    done = F.count_if(F.col("p_size") >= 25)
-    return pairs.join(part, F.col("node") == F.col("p_partkey")).groupBy("ancestor").agg(F.count("*").alias("total"), done.alias("done"), g.ratio(done, F.count("*")).alias("progress"))
+    parents = part.where("p_partkey > 0").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 3").alias("parent"))
+    values = part.select(F.col("p_partkey").alias("node"), F.lit(1).cast("long").alias("total"), (F.col("p_size") >= 25).cast("long").alias("done"))
+    sums = g.rollup(parents, values, "total", "done")
+    return sums.select(F.col("node").alias("ancestor"), "total", "done", g.ratio(F.col("done"), F.col("total")).alias("progress"))
 
 
 @query("symbol_detail", f"""with {EDGES}, o as (select src as id, array_to_string(list_sort(list_distinct(list(dst))), ',') as calls_out from edges group by src),

@@ -52,11 +52,12 @@ def debounced_by(events: DataFrame, key: str, ts: str, quiet: str) -> DataFrame:
 
 
 def hash_diff(events: DataFrame, key: str, order: list[str], hash_: str) -> DataFrame:
-    """Events whose content hash differs from the key's last one, with change: added or modified."""
+    """Events whose content hash differs from the key's last one, with change: added, modified or, if the hash is
+    null, removed; what comes after a removal is added."""
     before = F.lag(hash_).over(Window.partitionBy(key).orderBy(*order))
     marked = events.withColumn("_before", before)
-    changed = F.col("_before").isNull() | (F.col("_before") != F.col(hash_))
-    return marked.where(changed).withColumn("change", F.when(F.col("_before").isNull(), "added").otherwise("modified")).drop("_before")
+    change = F.when(F.col(hash_).isNull(), "removed").when(F.col("_before").isNull(), "added").otherwise("modified")
+    return marked.where(~F.col("_before").eqNullSafe(F.col(hash_))).withColumn("change", change).drop("_before")
 
 
 def trailing_counts(events: DataFrame, ts: str, seconds: int) -> DataFrame:
@@ -80,6 +81,44 @@ def generation_guard(events: DataFrame, session: str, arrival: str, epoch: str =
     return events.withColumn("verdict", verdict)
 
 
+def two_phase_guard(events: DataFrame, key: str, arrival: str, phase: str = "phase", epoch: str = "epoch", seq: str = "seq") -> DataFrame:
+    """events plus verdict. phase 'seen' announces an (epoch, sequence) of the key: accept if it is above all seen
+    before, duplicate if it is the last one, else stale. phase 'commit' confirms it: commit only if it is
+    still the last one seen, else stale."""
+    now = F.struct(epoch, seq)
+    seen = F.col(phase) == "seen"
+    top = F.max(F.when(seen, now)).over(Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    announced = F.when(top.isNull() | (now > top), "accept").when(now == top, "duplicate").otherwise("stale")
+    return events.withColumn("verdict", F.when(seen, announced).when(now == top, "commit").otherwise("stale"))
+
+
+def latest_wins(events: DataFrame, key: str, ts: str, quiet_ms: int, most: int) -> DataFrame:
+    """key, n, closed and the columns of the last row of each batch of a key: a batch ends before a gap of more than
+    quiet_ms, or with its row number `most`. Rows of one time have the order of their columns."""
+    own = Window.partitionBy(key).orderBy("at_ms", "row_text")
+    rows = _as_rows(events, key, ts)
+    gap = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(own) > quiet_ms, F.lit(True))
+    rows = rows.withColumn("_s", F.sum(gap.cast("int")).over(own))
+    nth = F.row_number().over(Window.partitionBy(key, "_s").orderBy("at_ms", "row_text"))
+    rows = rows.withColumn("_b", F.floor((nth - 1) / most))
+    last = rows.groupBy(key, "_s", "_b").agg(F.max(F.struct("at_ms", "row_text")).alias("m"), F.count("*").alias("n"))
+    return _from_rows(last.select(key, F.col("m.row_text").alias("row_text"), "n", F.when(F.col("n") == most, "number").otherwise("quiet").alias("closed")), events, key)
+
+
+#: Times in full.
+_FULL = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _as_rows(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """key, at_ms, row_text: a row as text, whose state has one form for all columns."""
+    return events.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("at_ms"), F.to_json(F.struct(*events.columns), _FULL).alias("row_text"), *[c for c in [ts] if c != key])
+
+
+def _from_rows(rows: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    read = rows.withColumn("_r", F.from_json("row_text", events.schema, _FULL))
+    return read.select(key, "n", "closed", *[F.col("_r").getField(c).alias(c) for c in events.columns if c != key])
+
+
 # Streams
 
 
@@ -111,7 +150,7 @@ def coalesce_stream(events: DataFrame, key: str, ts: str, kind: str, quiet_ms: i
 
 
 def hash_diff_stream(events: DataFrame, key: str, ts: str, hash_: str) -> DataFrame:
-    """key, hash, change of events whose hash is new for the key; state is the last hash."""
+    """key, hash, change of events whose hash is new for the key, null hashes being removals; state is the last hash."""
     import pandas as pd
 
     ship_package(events.sparkSession)
@@ -120,8 +159,9 @@ def hash_diff_stream(events: DataFrame, key: str, ts: str, hash_: str) -> DataFr
         last = state.get[0] if state.exists else None
         out = []
         for x in pd.concat(list(frames)).sort_values(ts, kind="stable")[hash_]:
+            x = None if pd.isna(x) else x
             if x != last:
-                out.append((name[0], x, "added" if last is None else "modified"))
+                out.append((name[0], x, "removed" if x is None else "added" if last is None else "modified"))
                 last = x
         state.update((last,))
         yield pd.DataFrame(out, columns=[key, hash_, "change"])
@@ -130,6 +170,97 @@ def hash_diff_stream(events: DataFrame, key: str, ts: str, hash_: str) -> DataFr
     return events.select(key, ts, hash_).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind_of}, `{hash_}` string, change string", "last string", "append", "NoTimeout")
 
 
+#: transformWithState keeps its state and timers in this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def two_phase_guard_stream(events: DataFrame, key: str, arrival: str, phase: str = "phase", epoch: str = "epoch", seq: str = "seq") -> DataFrame:
+    """key, arrival, phase, epoch, seq, verdict: as two_phase_guard, where rows of a key arrive in order. State is
+    the pair last seen and the pair last committed of each key, and outlives restarts with the checkpoint."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    ship_package(events.sparkSession)
+    events.sparkSession.conf.set(*STORE)
+    slim = events.select(key, arrival, phase, epoch, seq)
+
+    class Guard(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.state = handle.getValueState("guard", "seen_epoch long, seen_seq long, done_epoch long, done_seq long")
+
+        def handleInputRows(self, name, frames, timers):
+            held = self.state.get() if self.state.exists() else (None,) * 4
+            seen, done = tuple(held[:2]), tuple(held[2:])
+            rows = pd.concat(list(frames)).sort_values(arrival, kind="stable")
+            verdicts = []
+            for kind, now in zip(rows[phase], zip(rows[epoch].astype(int), rows[seq].astype(int), strict=True), strict=True):
+                if kind == "seen":
+                    verdicts.append("accept" if seen[0] is None or now > seen else "duplicate" if now == seen else "stale")
+                    seen = now if verdicts[-1] == "accept" else seen
+                else:
+                    verdicts.append("commit" if now == seen else "stale")
+                    done = now if now == seen else done
+            self.state.update(tuple(int(x) if x is not None else None for x in (*seen, *done)))
+            yield rows[[key, arrival, phase, epoch, seq]].assign(verdict=verdicts)
+
+        def close(self) -> None:
+            pass
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+    return slim.groupBy(key).transformWithStateInPandas(Guard(), f"{fields}, verdict string", "Append", "None")
+
+
+def latest_wins_stream(events: DataFrame, key: str, ts: str, quiet_ms: int = 500, most: int = 100) -> DataFrame:
+    """As latest_wins: a batch closes when the watermark that events has to have is quiet_ms past its last row, when a
+    row comes after such a gap, or by its number of rows. State is a batch's last row and number."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    ship_package(events.sparkSession)
+    events.sparkSession.conf.set(*STORE)
+    rows, column = _as_rows(events, key, ts), key
+
+    class Latest(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("batch", "row string, n long, newest long")
+
+        def out(self, name, row, n, closed):
+            return pd.DataFrame({column: [name[0]], "row_text": [row], "n": [n], "closed": [closed]})
+
+        def handleInputRows(self, name, frames, timers):
+            last, n, newest = self.state.get() if self.state.exists() else (None, 0, 0)
+            for x in pd.concat(list(frames)).sort_values(["at_ms", "row_text"], kind="stable").itertuples(index=False):
+                ms, row = int(x.at_ms), x.row_text
+                if n and ms - newest > quiet_ms:
+                    yield self.out(name, last, n, "quiet")
+                    n = 0
+                last, n, newest = row, n + 1, ms
+                if n == most:
+                    yield self.out(name, last, n, "number")
+                    n = 0
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            if n:
+                self.state.update((last, n, newest))
+                self.handle.registerTimer(newest + quiet_ms + 1)
+            else:
+                self.state.clear()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.state.exists():
+                last, n, newest = self.state.get()
+                self.state.clear()
+                yield self.out(key, last, n, "quiet")
+
+        def close(self) -> None:
+            pass
+
+    kind = events.schema[key].dataType.simpleString()
+    found = rows.groupBy(key).transformWithStateInPandas(Latest(), f"`{key}` {kind}, row_text string, n long, closed string", "Append", "EventTime")
+    return _from_rows(found, events, key)
+
+
 def storms(events: DataFrame, ts: str, window: str, slide: str, least: int) -> DataFrame:
     """started, n, reconcile of sliding windows with at least `least` events; for batches and streams."""
     grouped = events.groupBy(F.window(ts, window, slide).alias("w")).agg(F.count("*").alias("n"))
