@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import histograms as h
 from ..operators import relational as r
 from ..operators.graph import ratio, risk_of
 from .adapters import COVERAGE, FINDINGS, coverage, findings, read
@@ -354,3 +355,13 @@ def pr_check(spark, sf):
     changed = read(spark, sf, "events").where("event_type = 'purchase' and value > 90").select("user_id")
     errors = F.count_if(F.col("severity") == "ERROR")
     return findings(spark, sf).join(changed, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("open_findings"), errors.alias("errors"), (errors > 0).alias("blocked"))
+
+
+VALUE_BOUNDS = (10.0, 25.0, 50.0, 75.0, 90.0)
+
+
+@query("metrics_buckets", """select event_type, le::double as le, count(*) filter (where value <= le) as n from events, (values (10.0::double), (25), (50), (75), (90), ('inf'::double)) b(le) group by event_type, le""")
+def metrics_buckets(spark, sf):
+    """Histograms by hour, merged by type."""
+    hours = h.observe(read(spark, sf, "events"), "value", "event_type", F.date_trunc("hour", "ts").alias("hour"), bounds=VALUE_BOUNDS)
+    return h.buckets(h.merge(hours, "event_type", bounds=VALUE_BOUNDS), "event_type", bounds=VALUE_BOUNDS)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.histograms import BOUNDS, buckets
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -14,16 +17,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _swap(df: DataFrame, path: str) -> None:
-    """Writes beside the target, then renames, so that a failed write loses nothing."""
+    """Writes beside the target, then renames; the old table is kept aside until the new one is there, so
+    neither a failed write nor a crash between the steps loses it."""
     spark = df.sparkSession
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     df.write.parquet(beside)
     jvm = spark.sparkContext._jvm
     new, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{beside}-old")
+    kept = fs.exists(target)
+    if kept and not fs.rename(target, old):
+        raise OSError(f"cannot rename {path}")
     if not fs.rename(new, target):
+        if kept:
+            fs.rename(old, target)
         raise OSError(f"cannot rename {beside} to {path}")
+    if kept:
+        fs.delete(old, True)
 
 
 def upsert(df: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
@@ -84,10 +95,29 @@ def sarif(findings: DataFrame, tool: str, most: int = 100_000) -> DataFrame:
     return results.agg(F.concat(F.lit(head), body, F.lit("]}]}")).alias("value"))
 
 
+def _labels(labels: list[str]) -> Column:
+    """Pairs of names and escaped values: backslashes, quotes and line feeds; null is empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    escape = lambda c: F.replace(F.replace(F.replace(text(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escape(c), F.lit('"')) for c in labels])
+
+
+def prometheus_histogram(histograms: DataFrame, name: str, labels: list[str], bounds: Sequence[float] = BOUNDS) -> DataFrame:
+    """value: the text exposition of histograms (see operators.histograms): buckets, sum and count of each."""
+    own = histograms.withColumn("_own", _labels(labels))
+    comma = F.when(F.col("_own") != "", F.concat("_own", F.lit(","))).otherwise("")
+    end = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))
+    rows = buckets(own, "_own", bounds=bounds).select("_own", F.lit(1).alias("_o"), "le", F.concat(F.lit(f"{name}_bucket{{"), comma, F.lit('le="'), end, F.lit('"} '), F.col("n").cast("string")).alias("value"))
+    braced = F.when(F.col("_own") != "", F.concat(F.lit("{"), "_own", F.lit("} "))).otherwise(" ")
+    for o, (suffix, column) in enumerate((("sum", "total"), ("count", "n")), 2):
+        rows = rows.unionByName(own.select("_own", F.lit(o).alias("_o"), F.lit(0.0).alias("le"), F.concat(F.lit(f"{name}_{suffix}"), braced, F.col(column).cast("string")).alias("value")))
+    head = histograms.sparkSession.createDataFrame([("", 0, 0.0, f"# TYPE {name} histogram")], "_own string, _o int, le double, value string").withColumn("_first", F.lit(0))
+    return head.unionByName(rows.withColumn("_first", F.lit(1))).orderBy("_first", "_own", "_o", "le").select("value")
+
+
 def prometheus(samples: DataFrame, name: str, kind: str, labels: list[str], value: str) -> DataFrame:
     """value: the text exposition of one metric."""
-    escape = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escape(c), F.lit('"')) for c in labels])
+    pairs = _labels(labels)
     lines = samples.select(F.lit(1).alias("_o"), F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("value"))
     head = samples.sparkSession.createDataFrame([(0, f"# TYPE {name} {kind}")], "_o int, value string")
     return head.unionByName(lines).orderBy("_o", "value").select("value")
