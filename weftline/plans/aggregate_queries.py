@@ -281,11 +281,14 @@ def storm(spark, sf):
     return trailing_counts(read(spark, sf, "events"), "ts", 3600).where("n >= 25").select("event_id", "n", (F.col("n") >= 25).alias("storm"))
 
 
-@query("scope_rules", """select rule, specificity from (values ('all', 0), ('en', 1), ('prefix', 1), ('both', 2)) t(rule, specificity)""")
+@query("scope_rules", """with c as (select c_custkey as rule, c_custkey % 4 as kind, c_mktsegment = 'BUILDING' as segment, c_name = 'Customer#000000001' or c_name[1:9] = 'Customer#' as name from customer)
+    select rule, case kind when 0 then 0 when 3 then 2 else 1 end as specificity from c where case kind when 0 then true when 1 then segment when 2 then name else segment and name end""")
 def scope(spark, sf):
-    rules = [("all", "{}"), ("en", '{"lang": ["en", "fr"]}'), ("de", '{"lang": ["de"]}'), ("prefix", '{"path": ["src/*"]}'), ("both", '{"lang": ["en"], "path": ["src/a.py"]}'), ("neither", '{"lang": ["en"], "path": ["docs/*"]}')]
-    found = r.scope_matches(spark.createDataFrame(rules, "rule string, scope string"), {"lang": "en", "path": "src/a.py"})
-    return found.select("rule", "specificity")
+    """A rule a customer: for all, for its segment, for names that begin like its own, or for both."""
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("rule"), (F.col("c_custkey") % 4).alias("kind"), F.array("c_mktsegment").alias("lang"), F.array(F.concat(F.substring("c_name", 1, 9), F.lit("*"))).alias("path"))
+    asked = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c)).alias(c)
+    rules = rows.select("rule", F.to_json(F.struct(asked("lang", 1, 3), asked("path", 2, 3))).alias("scope"))
+    return r.scope_matches(rules, {"lang": "BUILDING", "path": "Customer#000000001"}).select("rule", "specificity")
 
 
 @query("file_levels", "select doc_id, case when n_chars >= 20000 then 'critical' when n_chars >= 10000 then 'high' when n_chars >= 5000 then 'medium' else 'ok' end as level from documents")

@@ -121,10 +121,35 @@ def cas(spark, sf):
     return o.cas_merge(d.groupBy("hash").agg(F.min("doc_id").alias("first_doc")), d).select("doc_id", "source", "first_doc")
 
 
-@query("chain_verify", "select conv_id % 10 as table_name, count(*) as n, count_if(false) as broken, null::bigint as first_broken from conversations group by 1")
+@query("chain_verify", """with r as (select conv_id % 10 as table_name, conv_id * 100 + turn as seq, turn = 3 as changed, turn = 1 and conv_id % 7 = 2 as gone from conversations),
+    l as (select *, lag(gone, 1, false) over (partition by table_name order by seq) as cut from r)
+    select table_name, count(*) as n, count(*) filter (where changed or cut) as broken, min(seq) filter (where changed or cut) as first_broken from l where not gone group by 1""")
 def chain(spark, sf):
-    rows = read(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("table_name"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.col("text").alias("payload"))
-    return o.verify_chain(o.chain(rows))
+    """A log in which some payloads were changed and some rows deleted after they had been signed."""
+    rows = read(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("table_name"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.col("text").alias("payload"), "turn", "conv_id")
+    signed = o.chain(rows).where("not (turn = 1 and conv_id % 7 = 2)")
+    return o.verify_chain(signed.withColumn("payload", F.when(F.col("turn") == 3, F.concat(F.coalesce("payload", F.lit("")), F.lit("!"))).otherwise(F.col("payload"))))
+
+
+@query("stream_latest_wins", """with e as (select *, epoch_ms(ts) as ms from events), g as (select *, coalesce(ms - lag(ms) over (partition by user_id order by ms, ts, event_id::varchar) > 600000, true)::int as fresh from e),
+    s as (select *, sum(fresh) over (partition by user_id order by ms, ts, event_id::varchar) as s from g), b as (select *, row_number() over (partition by user_id, s order by ms, ts, event_id::varchar) as nth from s)
+    select user_id, count(*) as n, case when count(*) = 3 then 'number' else 'quiet' end as closed, arg_max(event_id, nth) as last_id from b group by user_id, s, (nth - 1) // 3""")
+def latest_wins(spark, sf):
+    """Batches of a user end before ten quiet minutes or with their third event; the last one wins."""
+    from ..streaming import events as e
+
+    rows = read(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    return e.latest_wins(rows, "user_id", "ts", 600_000, 3).select("user_id", "n", "closed", F.col("event_id").alias("last_id"))
+
+
+@query("stream_two_phase_guard", """with e as (select event_id, user_id, event_type in ('click', 'view') as seen, event_id // 4000 * 10 + (event_id * 7919) % 5 as g from events),
+    m as (select *, max(g) filter (where seen) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as top from e)
+    select event_id, case when seen then case when top is null or g > top then 'accept' when g = top then 'duplicate' else 'stale' end when g = top then 'commit' else 'stale' end as verdict from m""")
+def two_phase_guard(spark, sf):
+    from ..streaming import events as e
+
+    rows = read(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type").isin("click", "view"), "seen").otherwise("commit").alias("phase"), F.expr("event_id div 4000").alias("epoch"), F.expr("(event_id * 7919) % 5").alias("seq"))
+    return e.two_phase_guard(rows, "user_id", "event_id").select("event_id", "verdict")
 
 
 @query("stream_coalesce_batch", """with e as (select user_id, event_type, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) select user_id, event_type as kind, event_id as last_id from e where n = 1""")
