@@ -327,17 +327,14 @@ def risk_classes(spark, sf):
     })
 
 
-@query("dependency_providers", f"""with d as (select l_orderkey, l_partkey from lineitem where l_orderkey % 50 = 0), p as (select s_nationkey, s_suppkey from supplier)
-    select o_orderkey, count(s_suppkey) as providers, case when count(s_suppkey) = 1 then min(s_suppkey) end as chosen from orders join customer on c_custkey = o_custkey left join supplier on s_nationkey = c_nationkey group by o_orderkey""")
+@query("dependency_providers", """select o_orderkey, count(s_suppkey) as providers, case when count(s_suppkey) = 1 then min(s_suppkey) end as chosen
+    from orders join customer on c_custkey = o_custkey left join supplier on s_nationkey = c_nationkey group by o_orderkey""")
 def providers(spark, sf):
-    return _providers(spark, sf, read(spark, sf, "orders"), read(spark, sf, "supplier"))
-
-
-def _providers(spark, sf, orders, suppliers):
-    o = orders.join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    s = suppliers.select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
-    n = F.count("s_suppkey")
-    return o.join(s, "c_nationkey", "left").groupBy("o_orderkey").agg(n.alias("providers"), F.when(n == 1, F.min("s_suppkey")).alias("chosen"))
+    """Suppliers are counted by nation first: an order meets a row, not each supplier of its nation."""
+    by_nation = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("providers"), F.min("s_suppkey").alias("least"))
+    own = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(by_nation, "c_nationkey", "left")
+    n = F.coalesce("providers", F.lit(0))
+    return own.select("o_orderkey", n.cast("long").alias("providers"), F.when(n == 1, F.col("least")).alias("chosen"))
 
 
 @query("attribution", """select c_custkey, count(distinct o_orderkey) as commits, count(*) as changes, count(distinct l_partkey) as symbols from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by 1""")

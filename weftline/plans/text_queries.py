@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import similarity as s
 from ..operators import text as t
 from ..operators import vector as v
+from ..operators.context import question_context
 from ..operators.trigram import TrigramIndex
-from .adapters import read
+from .adapters import EDGES, edges, read
 from .iterate import shared_folder
 
 QUERIES, SQL = {}, {}
@@ -302,3 +303,18 @@ def similar(spark, sf):
 def missing(spark, sf):
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return v.missing(docs(spark, sf).select("doc_id"), vectors, "doc_id")
+
+
+@query("rag_context", f"""with {EDGES}, seeds as (select *, row_number() over (order by cos desc, seed) as rank from (select a.vec_id as seed, {COS} as cos from embeddings a, embeddings b where b.vec_id = 0) order by cos desc, seed limit 5),
+    callers as (select *, row_number() over (partition by seed order by node) as n from (select distinct seed, rank, cos, src as node from seeds join edges on dst = seed where src <> dst)),
+    callees as (select *, row_number() over (partition by seed order by node) as n from (select distinct seed, rank, cos, dst as node from seeds join edges on src = seed where src <> dst)),
+    blocks as (select seed, rank, cos, seed as node, 0 as role from seeds union all select seed, rank, cos, node, 1 from callers where n <= 2 union all select seed, rank, cos, node, 2 from callees where n <= 1),
+    once as (select * from blocks qualify row_number() over (partition by node order by rank, role) = 1),
+    placed as (select *, row_number() over (order by rank, role, node) as place, sum(length(text)) over (order by rank, role, node) as total from once join documents on doc_id = node where length(text) > 0)
+    select place::int as place, node, ['seed', 'caller', 'callee'][role + 1] as role, seed, round(cos, 6) as score, length(text)::bigint as n, (select max(total) > 40000 from placed) as truncated from placed where total <= 40000""")
+def rag_context(spark, sf):
+    """Documents stand for the texts of the parts of the same number, embeddings for their vectors."""
+    vectors = read(spark, sf, "embeddings")
+    question = vectors.where("vec_id = 0").first()["embedding"]
+    found = question_context(vectors, question, docs(spark, sf).select(F.col("doc_id").alias("node"), "text"), edges(spark, sf), most=40_000)
+    return found.select("place", "node", "role", "seed", F.round("score", 6).alias("score"), F.length("text").cast("long").alias("n"), "truncated")
