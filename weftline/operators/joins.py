@@ -81,13 +81,23 @@ def least_by(table: DataFrame, keys: list[str], ident: str = "id") -> DataFrame:
 
 def suffix_match(paths: DataFrame, files: DataFrame, path: str = "path", file: str = "file", ident: str = "id", separator: str = "/") -> DataFrame:
     """paths with the id of a file one of which ends with the other, at a separator: equal ones first,
-    then the longest common suffix, then the smallest id. They meet on the last segment."""
-    last = lambda c: F.substring_index(F.col(c), separator, -1)
-    met = paths.withColumn("_last", last(path)).join(files.select(F.col(file).alias("_file"), F.col(ident).alias("_id")).withColumn("_last", last("_file")), "_last")
-    a, b = F.concat(F.lit(separator), F.col(path)), F.concat(F.lit(separator), F.col("_file"))
-    met = met.where(F.endswith(a, b) | F.endswith(b, a))
-    rank = F.struct((F.col(path) != F.col("_file")).alias("d"), (-F.least(F.length(path), F.length("_file"))).alias("l"), F.col("_id").alias("i"))
-    return met.groupBy(path).agg(F.min(rank).alias("_m")).select(path, F.col("_m.i").alias(ident))
+    then the longest common suffix, then the smallest id.
+
+    Each file gives all suffixes of its path, each path all of its own. Per suffix only the smallest id of the files
+    that end so, and of those that are it, are kept, so a name that a million files have is one row, and no
+    path meets more rows than it has segments."""
+    def suffixes(c: str) -> Column:
+        parts = F.split(F.col(c), F.lit(f"\\Q{separator}\\E"), -1)
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), separator)))
+
+    known = files.where(F.col(file).isNotNull()).select(F.col(file).alias("_file"), F.col(ident).alias("_id"))
+    asked = paths.where(F.col(path).isNotNull()).select(path).distinct()
+    whole = known.groupBy(F.col("_file").alias("_suffix")).agg(F.min("_id").alias("_id"))
+    ending = known.select(suffixes("_file").alias("_suffix"), "_id").groupBy("_suffix").agg(F.min("_id").alias("_id"))
+    rank = lambda equal, length: F.struct((~equal).alias("d"), (-length).alias("l"), F.col("_id").alias("i")).alias("_rank")
+    longer = asked.withColumn("_suffix", F.col(path)).join(ending, "_suffix").select(path, rank(F.lit(False), F.length("_suffix")))
+    shorter = asked.select(path, suffixes(path).alias("_suffix")).join(whole, "_suffix").select(path, rank(F.col("_suffix") == F.col(path), F.length("_suffix")))
+    return longer.unionByName(shorter).groupBy(path).agg(F.min("_rank").alias("_m")).select(path, F.col("_m.i").alias(ident))
 
 
 GLOB = re.compile(r"(?P<escaped>\\.)|(?P<class>\[[!^]?\]?[^\]]*\])|(?P<deep>\*\*/)|(?P<all>\*\*)|(?P<star>\*)|(?P<one>\?)|(?P<plain>.)", re.S)
