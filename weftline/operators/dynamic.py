@@ -46,7 +46,7 @@ class Rows(NamedTuple):
 def _settle(rows: DataFrame) -> Rows:
     some = rows.limit(NAMED + 1).collect()
     if len(some) <= NAMED:
-        return Rows(rows.sparkSession.createDataFrame(some, rows.schema), sorted({r["node"] for r in some}))
+        return Rows(rows.sparkSession.createDataFrame(some, rows.schema).coalesce(1), sorted({r["node"] for r in some}))
     return Rows(write_round(rows), None)
 
 
@@ -119,19 +119,12 @@ def layers_delta(edges: DataFrame, added: DataFrame, removed: DataFrame, layers:
         new = before.join(highest, "node", "left").join(pinned.withColumn("pin", F.lit(True)), "node", "left")
         new = new.select("node", "before", F.when(F.col("pin"), TOP).otherwise(F.least(F.coalesce(F.col("highest") + 1, F.lit(0)), F.lit(TOP))).alias("layer"))
         fresh = _settle(new.where("layer != before").select("node", "layer"))
-        changed.append(fresh.frame)
-        if len(changed) > 12:  # one table of last changes
-            rows = changed[0].withColumn("round", F.lit(0))
-            for k, x in enumerate(changed[1:], 1):
-                rows = rows.unionByName(x.withColumn("round", F.lit(k)))
-            changed = [write_round(rows.groupBy("node").agg(F.max_by("layer", "round").alias("layer")), "changed")]
+        last = fresh.frame if not changed else fresh.frame.unionByName(changed[0].join(fresh.frame.select("node"), "node", "left_anti"))
+        changed = [_settle(last).frame]  # one table of last changes
         dirty = _settle(_nodes(F.col("src"), fresh.touching(edges, "dst")))
     if not changed:
         return dirty.frame.select("node", F.lit(0).alias("old_layer"), F.lit(0).alias("new_layer"))
-    every = changed[0].select("node")
-    for x in changed[1:]:
-        every = every.union(x.select("node"))
-    every = _settle(every.distinct())
+    every = _settle(changed[0].select("node"))
     out = lambda c, name: F.when(F.col(c) == TOP, -1).otherwise(F.col(c)).cast("int").alias(name)
     both = _layers_of(every, stored, []).withColumnRenamed("layer", "old").join(_layers_of(every, stored, changed), "node").where("old != layer")
     return both.select("node", out("old", "old_layer"), out("layer", "new_layer"))
