@@ -195,3 +195,17 @@ def test_rollup(spark):
     assert sums.count() == n and sums.where(f"v != {n} - node").count() == 0
     with pytest.raises(RuntimeError):
         g.rollup(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"), spark.createDataFrame([(1, 1), (2, 1)], "node long, v long"), "v")
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_counts_of_levels_without_pairs(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(90)]
+    seeds = spark.createDataFrame([(n, n) for n in range(0, 30, 3)] + [(0, 7), (99, 99)], "source long, node long")
+    monkeypatch.setattr(g, "NEAR", 2)  # several rows of neighbours a node
+    for depth, up in ((0, False), (1, True), (2, True), (3, False)):
+        want = g.reach(frame(spark, pairs), seeds, depth, up).groupBy("source", "depth").count().collect()
+        assert sorted(map(tuple, g.reach_counts(frame(spark, pairs), seeds, depth, up).collect())) == sorted(map(tuple, want))
+    via = g.chain(frame(spark, pairs), seeds.where("source = 3"), 3).collect()
+    level = {3: 0} | {r["node"]: r["depth"] for r in via}
+    assert all(r["via"] == min(a for a, b in pairs if b == r["node"] and level.get(a) == r["depth"] - 1) for r in via)
