@@ -209,3 +209,15 @@ def test_counts_of_levels_without_pairs(spark, seed, monkeypatch):
     via = g.chain(frame(spark, pairs), seeds.where("source = 3"), 3).collect()
     level = {3: 0} | {r["node"]: r["depth"] for r in via}
     assert all(r["via"] == min(a for a, b in pairs if b == r["node"] and level.get(a) == r["depth"] - 1) for r in via)
+
+
+def test_vulnerability_without_sets_of_sources(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(20), rng.randrange(20)) for _ in range(45)]
+    found = [(rng.randrange(12) * 1_000_003, rng.randrange(24)) for _ in range(40)]  # some ids at several nodes
+    monkeypatch.setattr(g, "reach_sets", None)  # a bitmap a node and bucket is large where ids are sparse
+    up = {n: {a for a in range(24) if n in model_reach(pairs, a, 2)} for n in range(24)}
+    want = {a: len({i for i, n in found if a in up[n]}) for a in range(24)}
+    want = sorted(((a, n) for a, n in want.items() if n >= 2), key=lambda x: (-x[1], x[0]))
+    got = g.vulnerability(frame(spark, pairs), spark.createDataFrame(found, "id long, node long"), 2, 6).collect()
+    assert [tuple(r) for r in got] == want[:6]
