@@ -53,3 +53,15 @@ def test_table(spark):
     assert found[1]["turns_sha256"] == hashlib.sha256(b"\nfirst\nuser\nq\nassistant\n\n").hexdigest()
     assert (found[2]["loss_chars"], found[2]["loss_sha256"]) == (2, hashlib.sha256(b"aa").hexdigest())
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_prefixes_are_rendered_whatever_a_template_declares():
+    seen = []
+
+    def template(turns):
+        seen.append(len(turns))
+        return chat.chatml(turns)
+
+    template.concatenates = True
+    chat.locate([("user", "a"), ("assistant", "b"), ("user", "c")], template)
+    assert sorted(set(seen)) == [1, 2, 3] and len(seen) == 9

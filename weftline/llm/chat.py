@@ -48,10 +48,6 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
-#: Declares that a template's output is that of the single turns one after the other.
-chatml.concatenates = True
-
-
 def parse_chatml(formatted: str) -> list[Turn]:
     """The turns of a chatml output, unescaped."""
     parts = formatted.split(START)[1:]
@@ -79,14 +75,8 @@ MARK = "\u2063"
 
 
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple] | None]:
-    """The output and for each turn (role, start, end, text start, text end); None if the template
-    rewrites history. What precedes the first turn belongs to it."""
-    if getattr(template, "concatenates", False):
-        return _concatenated(turns, template)
-    return _by_prefix(turns, template)
-
-
-def _by_prefix(turns: list[Turn], template: Template) -> tuple[str, list[tuple] | None]:
+    """The output and for each turn (role, start, end, text start, text end), by rendering one prefix of the
+    turns after the other; None if the template rewrites history. What precedes the first turn belongs to it."""
     before, spans = "", []
     for k, (role, text) in enumerate(turns):
         after = template(turns[: k + 1])
@@ -104,19 +94,6 @@ def _by_prefix(turns: list[Turn], template: Template) -> tuple[str, list[tuple]
     return before, spans
 
 
-def _concatenated(turns: list[Turn], template: Template) -> tuple[str, list[tuple] | None]:
-    """As locate, in linear time, for a template that is declared a concatenation: the output of all turns is
-    rendered once too, and if the single ones do not make it up, prefixes are rendered after all."""
-    singles, spans, at = [], [], 0
-    for turn in turns:
-        single, found = _by_prefix([turn], template)
-        spans.append((turn[0], at, at + len(single), at + found[0][3], at + found[0][4]))
-        singles.append(single)
-        at += len(single)
-    joined = "".join(singles)
-    return (joined, spans) if joined == template(turns) else _by_prefix(turns, template)
-
-
 def format_turns(turns: list[Turn], template: Template, trained: tuple[str, ...]) -> tuple:
     text, spans = locate(turns, template)
     loss = [(s[3], s[4]) for s in spans or () if s[0] in trained]
@@ -135,7 +112,7 @@ def format_conversations(
     """One row a conversation: OUTPUT's columns; positions are code points of `formatted`.
 
     template: any function from a list of (role, text) to the whole output; it is called for every
-    prefix, or for single turns if its attribute `concatenates` is true. Rows are ordered by turn (null
+    prefix. Rows are ordered by turn (null
     first), then role and text, so ties and repeated rows, which count as turns, have one order. Null role or text: empty; bytes that are no UTF-8 become U+FFFD. Rows with a null id are one
     conversation. Other columns are not read. Empty input: no rows. A conversation is one training
     text, so its turns meet in one task; all else is dealt by conversation.
