@@ -1,3 +1,5 @@
+import re
+
 from weftline.operators import lookups, resolve, text
 from weftline.operators.joins import glob_to_regex
 from weftline.operators.similarity import coefficients, fnv1a, fnv1a_column, minhash_estimate, minhashed, permuted
@@ -83,3 +85,39 @@ def test_blame_and_counts(spark):
     rows = spark.createDataFrame([("f", "b", "2024-01-02"), ("f", "a", "2024-01-02"), ("f", "c", "2024-01-01")], "file string, author string, ts string").selectExpr("file", "author", "cast(ts as timestamp) ts")
     assert [tuple(r) for r in lookups.blame_owners(rows, "file", "author", "ts").collect()] == [("f", "a", 0.3333)]
     assert {r["category"]: r["n"] for r in lookups.counts_by(rows, "author", ["a", "z"]).collect()} == {"a": 1, "z": 0}
+
+
+def test_imports_by_distinct_paths(spark):
+    """Many importers of a name that many have: as many joined rows as answers, not importers times definitions."""
+    symbols = [(100 + i, f"w{i % 3}", "s", f"p{i % 5}.s") for i in range(60)] + [(1, "w2", "s", "far.p1.s"), (2, "w1", "", ""), (3, "w1", "s", "1.s")]
+    imports = [(i, f"w{i % 2}", p) for i in range(40) for p in ("far.p1.s", "x/s", "", "p2.s")]
+    got = resolve.resolve_imports(spark.createDataFrame(imports, "source long, workspace string, path string"), spark.createDataFrame(symbols, "id long, workspace string, name string, qualified string"))
+    want = {}
+    for source, own, path in imports:
+        spelled, name = {path, path.replace("::", "."), path.replace("/", ".")}, re.split(r"\.|::|/", path)[-1]
+        best = {}
+        for i, w, n, q in symbols:
+            c = 0.95 if q in spelled else (0.85 if path.endswith(q) else 0.7) if name and n == name else None
+            if c and w != own:
+                best[w] = max(best.get(w, (0, 0)), (c, -i))
+        for w, (c, i) in best.items():
+            want[source, w, -i] = max(want.get((source, w, -i), 0), c)
+    assert {(r["source"], r["target_workspace"], r["target"]): r["confidence"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the answers of distinct paths
+
+
+def test_tests_of_frequent_names(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "CELL", 3)
+    tests = [(i, ("testOne_two", "two_one_test", "check")[i % 3]) for i in range(30)]
+    functions = [(100 + i, ("one", "two", "three")[i % 3]) for i in range(30)] + [(200, "one"), (200, "two")]
+    calls = [(0, 100), (0, 102), (1, 200), (2, 5), (99, 100), (3, 0)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    pairs = {(t, f): "name_convention" for t, n in tests for f, m in functions if n != "check" and m in ("one", "two")}
+    want = pairs | {c: "direct_call" for c in calls if c[0] < 30 and c[1] > 0}
+    for some in (functions, functions[:30]):
+        got = resolve.test_relations(frame(tests), frame(some), spark.createDataFrame(calls, "src long, dst long"))
+        ids = {f for f, _ in some}
+        assert sorted((r["test"], r["tested"], r["method"]) for r in got.collect()) == sorted((*k, v) for k, v in want.items() if k[1] in ids or v == "direct_call")
+    # No pair is shuffled: pairs of the single names are made last.
+    assert not re.search(r"Aggregate \[test#\d+L, tested#", got._jdf.queryExecution().optimizedPlan().toString())
