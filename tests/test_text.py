@@ -46,3 +46,15 @@ def test_enclosing_symbol(spark):
     found = {(r["file"], r["line"]): (r["symbol"], r["kind"]) for r in t.enclosing(matches, symbols).collect()}
     assert found == {("a", 2): (1, "class"), ("a", 5): (2, "method"), ("a", 9): (None, None), ("b", 2): (None, None)}
     assert [r["line"] for r in t.enclosing(matches, symbols, ["method"]).collect()] == [5]
+
+
+def test_lines_of_many_matches_in_one_pass(spark):
+    import re
+    import time
+
+    texts = {1: "x = 1\n" * 6000, 2: "a = \n\nb = x\n", 3: "= \n*= \n*", 4: "", 5: "none"}
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    began = time.monotonic()
+    got = t.guard(frame, "id", "text", (("r", "c", "warn", r"=\s+"),)).select("id", "line").collect()
+    assert time.monotonic() - began < 20
+    assert sorted(map(tuple, got)) == sorted((k, x.count("\n", 0, m.start()) + 1) for k, x in texts.items() for m in re.finditer(r"=\s+", x))
