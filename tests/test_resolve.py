@@ -121,3 +121,12 @@ def test_tests_of_frequent_names(spark, monkeypatch):
         assert sorted((r["test"], r["tested"], r["method"]) for r in got.collect()) == sorted((*k, v) for k, v in want.items() if k[1] in ids or v == "direct_call")
     # No pair is shuffled: pairs of the single names are made last.
     assert not re.search(r"Aggregate \[test#\d+L, tested#", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_calls_are_copied_to_no_executor(spark):
+    calls = spark.createDataFrame([("f", "m", "s1"), ("f", None, "s2"), ("f", "m", "gone")], "file string, module string, name string")
+    symbols = spark.createDataFrame([(i, f"m.s{i}", f"s{i}", "g") for i in range(1, 60)], "id long, qualified string, name string, file string")
+    none = spark.createDataFrame([], "file string, alias string, path string"), spark.createDataFrame([], "id long, qualified string, name string, package string")
+    found = resolve.resolve_calls(calls, symbols, *none)
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()  # calls are the left side of each join
+    assert sorted(map(tuple, found.collect())) == [("f", "", "s2", 2, "g", "unique", True), ("f", "m", "gone", 0, "", "unresolved", False), ("f", "m", "s1", 1, "g", "exact", True)]

@@ -98,7 +98,8 @@ class DerivedTables:
         made = self._current("calls", buckets).select(F.col("path").alias("file"), "module", "name").distinct()
         answer = F.max(F.struct("gen", "callee_id", "callee_file", "method", "is_cross", "short")).alias("m")
         last = self._stored("edges", buckets).groupBy(*key).agg(answer)
-        return last.join(made, key, "left_semi").select(*key, "m.callee_id", "m.callee_file", "m.method", "m.is_cross", "m.short")
+        # Both are grouped by the key, so they meet where they are; a copy of all calls would pass through the driver.
+        return last.join(made.hint("merge"), key, "left_semi").select(*key, "m.callee_id", "m.callee_file", "m.method", "m.is_cross", "m.short")
 
     # Writing
 
