@@ -123,9 +123,14 @@ def test_tests_of_frequent_names(spark, monkeypatch):
     assert not re.search(r"Aggregate \[test#\d+L, tested#", got._jdf.queryExecution().optimizedPlan().toString())
 
 
-def test_calls_are_copied_to_no_executor(spark):
-    calls = spark.createDataFrame([("f", "m", "s1"), ("f", None, "s2"), ("f", "m", "gone")], "file string, module string, name string")
-    symbols = spark.createDataFrame([(i, f"m.s{i}", f"s{i}", "g") for i in range(1, 60)], "id long, qualified string, name string, file string")
+def test_calls_are_copied_to_no_executor(spark, tmp_path):
+    rows = {
+        "calls": spark.createDataFrame([("f", "m", "s1"), ("f", None, "s2"), ("f", "m", "gone")], "file string, module string, name string").coalesce(1),
+        "symbols": spark.range(1, 5000).selectExpr("id", "concat('m.s', id) as qualified", "concat('s', id) as name", "'g' as file"),
+    }
+    for name, table in rows.items():  # tables with the sizes of files
+        table.write.parquet(str(tmp_path / name))
+    calls, symbols = (spark.read.parquet(str(tmp_path / name)) for name in rows)
     none = spark.createDataFrame([], "file string, alias string, path string"), spark.createDataFrame([], "id long, qualified string, name string, package string")
     found = resolve.resolve_calls(calls, symbols, *none)
     assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()  # calls are the left side of each join
