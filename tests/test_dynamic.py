@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from weftline.operators import dynamic
 from weftline.operators import graph as g
 from weftline.operators.dynamic import edge_changes, impact_delta, layers_delta
 
@@ -55,3 +56,23 @@ def test_no_change_and_impact(spark):
     assert found == {(2, 3, "downstream", "removed")}
     found = {tuple(r) for r in impact_delta(new, old, removed, added, 1).collect()}
     assert found == {(2, 3, "downstream", "added"), (2, 4, "downstream", "removed")}
+
+
+def test_search_for_cycles_grows_with_nodes(spark, monkeypatch):
+    old = {(i, 100) for i in range(30)} | {(100, j) for j in range(200, 230)}
+    new = old | {(300 + i, i) for i in range(30)} | {(205, 300)}
+    layers = g.layers(spark.createDataFrame([(i,) for i in range(300, 330)], "id long"), frame(spark, old))
+    added, removed = edge_changes(frame(spark, old), frame(spark, new))
+    sizes, write = [], dynamic.write_round
+
+    def written(rows, *name):
+        table = write(rows, *name)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(dynamic, "write_round", written)
+    found = {r["node"]: r["new_layer"] for r in layers_delta(frame(spark, new), added, removed, layers).collect()}
+    nodes = sorted({x for p in new for x in p})
+    before, after = naive_layers(old, nodes), naive_layers(new, nodes)
+    assert found == {n: after[n] for n in nodes if before[n] != after[n]}
+    assert max(sizes) <= len(new)  # pairs of a beginning and what it meets would be 960

@@ -12,25 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import write_round
+from .graph import layers as peeled
 from .graph import reach, strong_components
 
 #: The layer of nodes on or above a cycle, above all others.
 TOP = 1 << 30
 #: Up to so many nodes are written into a scan's filter, which then skips what holds none of them.
 NAMED = 500
+#: Beyond so many rows a table meets others by a shuffle: its files' size would have it collected on the driver.
+COPIED = 300_000
 
 
 def edge_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct edges that came and that went."""
     old, new = (x.select("src", "dst").distinct() for x in (old, new))
-    return new.join(old, ["src", "dst"], "left_anti"), old.join(new, ["src", "dst"], "left_anti")
+    # No side is copied, however little room its files take: both are whole graphs.
+    return new.join(old.hint("merge"), ["src", "dst"], "left_anti"), old.join(new.hint("merge"), ["src", "dst"], "left_anti")
 
 
 class Rows(NamedTuple):
-    """A table of a round: written, or held as it is if it is small. ids: then also the values of its node column."""
+    """A table of a round: written, or held as it is if it is small. ids: then also the values of its node column.
+    many: it has more than COPIED rows."""
 
     frame: DataFrame
     ids: list | None
+    many: bool = False
 
     @property
     def empty(self) -> bool:
@@ -40,14 +46,19 @@ class Rows(NamedTuple):
         """Rows whose column is one of the nodes."""
         if self.ids is not None:
             return rows.where(F.col(column).isin(self.ids))
-        return rows.join(self.frame.select(F.col("node").alias(column)).distinct(), column, "left_semi")
+        return rows.join(self.side(self.frame.select(F.col("node").alias(column)).distinct()), column, "left_semi")
+
+    def side(self, rows: DataFrame) -> DataFrame:
+        """Rows made of this table's, as the side of a join."""
+        return rows.hint("merge") if self.many else rows
 
 
 def _settle(rows: DataFrame) -> Rows:
     some = rows.limit(NAMED + 1).collect()
     if len(some) <= NAMED:
         return Rows(rows.sparkSession.createDataFrame(some, rows.schema).coalesce(1), sorted({r["node"] for r in some}))
-    return Rows(write_round(rows), None)
+    table = write_round(rows)
+    return Rows(table, None, table.count() > COPIED)
 
 
 def _layers_of(nodes: Rows, layers: DataFrame, changed: list[DataFrame]) -> DataFrame:
@@ -56,7 +67,7 @@ def _layers_of(nodes: Rows, layers: DataFrame, changed: list[DataFrame]) -> Data
     for k, x in enumerate(changed):
         rows = rows.unionByName(nodes.touching(x.select("node", "layer"), "node").withColumn("round", F.lit(k)))
     last = rows.groupBy("node").agg(F.max_by("layer", "round").alias("layer"))
-    return nodes.frame.select("node").distinct().join(last, "node", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer"))
+    return nodes.frame.select("node").distinct().join(nodes.side(last), "node", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 
 def _nodes(column: Column, rows: DataFrame) -> DataFrame:
@@ -66,8 +77,10 @@ def _nodes(column: Column, rows: DataFrame) -> DataFrame:
 def _on_new_cycles(edges: DataFrame, added: DataFrame, layers: DataFrame) -> DataFrame:
     """Callers of added edges that lie on a cycle through them.
 
-    Layers fall along an edge. A cycle that is new has an added edge along which they do not: searches
-    from the ends of these, down to the least layer they begin at, tell which of their beginnings are met."""
+    Layers fall along an edge. A cycle that is new has an added edge along which they do not, and its nodes are
+    met by one search from the ends of these, down to the least layer they begin at: a set of nodes, not of
+    pairs of a beginning and a node. Of these, what is left by peeling from both sides is on or between cycles,
+    and an edge within a strongly connected part of it is on one."""
     ends = _settle(_nodes(F.col("src"), added).union(_nodes(F.col("dst"), added)).distinct())
     at = _layers_of(ends, layers, [])
     up = added.join(at.select(F.col("node").alias("src"), F.col("layer").alias("a")), "src").join(at.select(F.col("node").alias("dst"), F.col("layer").alias("b")), "dst").where("a <= b")
@@ -75,24 +88,26 @@ def _on_new_cycles(edges: DataFrame, added: DataFrame, layers: DataFrame) -> Dat
     least = up.agg(F.min("a")).first()[0]
     if least is None:
         return ends.frame.limit(0)
-    frontier = _settle(up.select(F.col("dst").alias("source"), F.col("dst").alias("node")).distinct())
-    reached = frontier.frame
-    for level in count(1):
-        down = frontier.touching(edges, "src").join(up.select("src", "dst"), ["src", "dst"], "left_anti")
-        after = _settle(frontier.frame.join(down, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct())
-        high = _layers_of(after, layers, []).where(F.col("layer") >= least).select("node")
-        frontier = _settle(after.frame.join(high, "node").join(reached, ["source", "node"], "left_anti").select("source", "node"))
-        if frontier.empty:
+    frontier = _settle(_nodes(F.col("dst"), up))
+    reached = frontier
+    while not frontier.empty:
+        after = _settle(_nodes(F.col("dst"), frontier.touching(edges, "src")).join(reached.side(reached.frame), "node", "left_anti"))
+        frontier = _settle(_layers_of(after, layers, []).where(F.col("layer") >= least).select("node"))
+        reached = _settle(reached.frame.unionByName(frontier.frame))
+    within = reached.touching(reached.touching(edges, "src"), "dst").select("src", "dst")
+    left = within
+    for _ in range(2):  # what is on or above a cycle, and of that what is on or below one
+        rest = _settle(peeled(_nodes(F.col("src"), left).withColumnRenamed("node", "id"), left).where("layer = -1").select("node"))
+        if rest.empty:
             break
-        reached = reached.unionByName(frontier.frame)
-        if level % 16 == 0:
-            reached = write_round(reached, "reached")
-    # An edge on a cycle leads to a head from which, over heads of the same part, its own beginning is met.
-    met = write_round(reached.join(up.select(F.col("src").alias("node"), F.col("dst").alias("head")), "node").select("source", "node", "head").distinct(), "met")
-    parts = strong_components(met.select(F.col("source").alias("src"), F.col("head").alias("dst")))
+        left = write_round(rest.touching(rest.touching(left, "src"), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "left")
+    loops = up.where("src = dst").select(F.col("src").alias("node"))
+    if rest.empty:
+        return loops.distinct()
+    parts = strong_components(left)
     part = lambda c, name: parts.select(F.col("node").alias(c), F.col("component").alias(name))
-    joined = met.join(part("source", "p"), "source", "left").join(part("head", "q"), "head", "left")
-    return _nodes(F.col("node"), joined.where("source = head or p = q"))
+    joined = up.join(part("src", "p"), "src").join(part("dst", "q"), "dst").where("p = q")
+    return loops.unionByName(_nodes(F.col("src"), joined)).distinct()
 
 
 def layers_delta(edges: DataFrame, added: DataFrame, removed: DataFrame, layers: DataFrame) -> DataFrame:
