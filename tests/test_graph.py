@@ -162,6 +162,23 @@ def test_long_cycles(spark):
     assert g.shortest_cycle(ring).first()["length"] == 6 and g.shortest_cycle(ring, 5).count() == 0
 
 
+def test_first_cycles_without_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [(20 + rng.randrange(12), 20 + rng.randrange(12)) for _ in range(30)] + [(40 + i, 41 + i) for i in range(6)] + [(46, 25), (25, 60), (60, 61), (61, 62), (62, 61)]
+    want = [list(c) for c in naive_cycles(pairs, 4)]
+    rows = lambda pairs, most: [(r["cycle"], r["partial"]) for r in g.cycles(frame(spark, pairs), 4, most=most).collect()]
+    sought = []
+    parts = g.strong_components
+    monkeypatch.setattr(g, "strong_components", lambda steps: sought.append(1) or parts(steps))
+    assert rows(pairs, 3) == [(c, True) for c in want[:3]]
+    assert rows([(1, 2), (2, 3), (1, 3)], 5) == []
+    assert not sought  # they were found first, in some hundreds of jobs
+    monkeypatch.setattr(g, "PAIRS", (12, 0))
+    assert rows(pairs, 500) == [(c, False) for c in want] and sought == [1]
+    kept = g._trimmed(frame(spark, pairs).where("src <> dst").distinct())
+    assert 40 not in {x for r in kept.collect() for x in r}
+
+
 def test_sets_of_sources(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(15), rng.randrange(15)) for _ in range(25)]
