@@ -1,3 +1,6 @@
+import pyarrow as pa
+
+from weftline.operators import trigram
 from weftline.operators.trigram import TrigramIndex, query_grams
 
 
@@ -36,3 +39,14 @@ def test_only_the_buckets_of_the_grams_are_read(spark, tmp_path):
     assert index.postings(grams).select("gram").distinct().count() == len(grams)
     assert len({r["bucket"] for r in index.postings(grams).select("bucket").collect()}) <= len(grams) < len(read)
     assert query_grams("a bc") == []
+
+
+def test_postings_are_lists_by_slices(monkeypatch):
+    texts = {7: "abcabc", 3: "ab", 9: "", 4: "zabc é\U0001f600x\n", 5: "abc" * 40, 6: "\U0001f600x\n"} | {100 + i: chr(0x4E00 + i) + "bca" for i in range(200)}
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(texts.values())], ["key", "text"])
+    want = sorted({(t[i : i + 3], k) for k, t in texts.items() for i in range(len(t) - 2)})
+    for size, rows in ((1 << 20, len({g for g, _ in want})), (50, None), (1, len(want))):
+        monkeypatch.setattr(trigram, "SLICE", size)
+        lists = [r for b in trigram.gram_lists(iter([batch])) for r in b.to_pylist()]
+        assert sorted((r["gram"], k) for r in lists for k in r["keys"]) == want and all(r["n"] == len(r["keys"]) for r in lists)
+        assert rows is None or len(lists) == rows
