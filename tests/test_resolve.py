@@ -123,6 +123,28 @@ def test_tests_of_frequent_names(spark, monkeypatch):
     assert not re.search(r"Aggregate \[test#\d+L, tested#", got._jdf.queryExecution().optimizedPlan().toString())
 
 
+def shuffled_rows(spark):
+    """The stages so far with the rows that each has written for a shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, *[getattr(store, f"stageList$default${i}")() for i in (4, 5)])
+    return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_what_meets_by_a_name_is_shuffled_a_few_times_only(spark, monkeypatch):
+    for name, value in {"CELL": 1, "PARTS": 4, "LOOKED": 2}.items():
+        monkeypatch.setattr(resolve, name, value, raising=False)
+    tests, functions = [(i, "two_test") for i in range(40)] + [(40, "one_two_test")], [(100 + i, "two") for i in range(40)]
+    calls = [(0, 100 + i) for i in range(5)] + [(1, 101), (1, 102), (2, 103), (3, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    for more in ([], [(100, "one"), (None, "two")]):  # a function of two names, one without an id
+        before = shuffled_rows(spark)
+        got = resolve.test_relations(frame(tests), frame(functions + more), spark.createDataFrame(calls, "src long, dst long")).collect()
+        called = [(*c, "direct_call") for c in calls]
+        want = called + [(t, f, "name_convention") for t, _ in tests for f in {i for i, _ in functions + more} if (t, f) not in calls]
+        assert sorted(((r["test"], r["tested"], r["method"]) for r in got), key=str) == sorted(want, key=str)
+        assert max(n for stage, n in shuffled_rows(spark).items() if stage not in before) <= 8 * 41  # not 41 times 40
+
+
 def test_calls_are_copied_to_no_executor(spark, tmp_path):
     rows = {
         "calls": spark.createDataFrame([("f", "m", "s1"), ("f", None, "s2"), ("f", "m", "gone")], "file string, module string, name string").coalesce(1),
