@@ -56,6 +56,19 @@ def test_debounce_and_storm(spark):
     assert e.rolling(rows, "ts", [], "i", "10 seconds").first()["n"] == 6
 
 
+def test_trailing_counts_without_a_sliding_frame(spark):
+    times = [at(s) for s in [0, 0, 4.999999, 5, 5, 5.000001, 10, 10.5, 14.999999, 15, 15.000001, 40]] + [None, None]
+    rows = spark.createDataFrame(list(enumerate(times * 3)), "i int, ts timestamp")
+    counted = e.trailing_counts(rows, "ts", 5)
+    assert counted.columns == ["i", "ts", "n"]
+    inside = lambda t, u: t is None and u is None or t is not None and u is not None and 0 <= (t - u).total_seconds() <= 5
+    assert {r["i"]: r["n"] for r in counted.collect()} == {i: sum(inside(t, u) for u in times * 3) for i, t in enumerate(times * 3)}
+    # A frame that slides is counted anew for each row: no cell of a few thousand times takes long.
+    many = spark.range(60_000).selectExpr("id", "timestamp_micros(1704067200000000 + id * 10) as ts")
+    assert e.trailing_counts(many, "ts", 3600).where("n <> id + 1").count() == 0
+    assert "specifiedwindowframe(RangeFrame" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_guard(spark):
     rows = spark.createDataFrame([("s", 1, 1, 1), ("s", 2, 1, 1), ("s", 3, 1, 0), ("s", 4, 2, 0), ("t", 5, 0, 9)], "session string, arrival int, epoch int, seq int")
     assert [r["verdict"] for r in e.generation_guard(rows, "session", "arrival").orderBy("arrival").collect()] == ["accept", "duplicate", "stale", "accept", "accept"]
